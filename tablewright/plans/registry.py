@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tablewright.plans import revenue  # noqa: F401
+from tablewright.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
