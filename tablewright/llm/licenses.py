@@ -91,38 +91,73 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
 
-#: Fixed steps of the canonical form, in order: (pattern, replacement), read alike by Java and RE2.
+#: ASCII punctuation and control characters, one by one: Java looks such a class up in a table.
+_MARKS = "".join(f"\\x{b:02X}" for b in range(128) if not (chr(b).isdigit() or chr(b).islower() or chr(b).isupper() or b == 32))
+#: Punctuation beyond ASCII.
+_WIDE = r"\x{2010}-\x{2033}\x{2212}«»´·"
+
+#: Fixed steps of the canonical form, in order, read alike by Java and RE2: (a string without which the
+#: step changes nothing, or none, pattern, replacement).
 STEPS = [
-    ("[‐‑‒–—―−]", "-"),
-    ("[‘’‚‛′`´]", "'"),
-    ("[“”„‟″«»]", '"'),
-    (r"(?m)^[ \t/*#;!-]*(?:portions )?(?:copyright|©|\(c\))[^\n]*[0-9]{4}[^\n]*$", " "),
-    (r"(?m)^[ \t/*#;!-]*all rights reserved\.?[ \t\r]*$", " "),
-    (r"(?m)^[ \t/*#;!-]*(?:\(?[0-9a-z]{1,2}[.)]|[•·])[ \t]+", " "),
-    ("©", " (c) "),
-    ("[^a-z0-9\\x{80}-\\x{10FFFF}]+", " "),
+    (("copyright", "©", "(c)"), r"(?m)^[ \t/*#;!-]*(?:portions )?(?:copyright|©|\(c\))[^\n]*[0-9]{4}[^\n]*$", " "),
+    (("all rights reserved",), r"(?m)^[ \t/*#;!-]*all rights reserved\.?[ \t\r]*$", " "),
+    ((), r"(?m)^[ \t/*#;!-]*(?:\(?[0-9a-z]{1,2}[.)]|[•·])[ \t]+", " "),
+    (("©",), "©", " (c) "),
+    ((f"[{_WIDE}]",), f"[{_WIDE}]+", " "),
+    # a run of punctuation and spaces becomes one space; a single space is such a run already
+    ((), f" *[{_MARKS}][{_MARKS} ]*|  +", " "),
 ]
 
 
-def canonical(text: Column) -> Column:
-    """Lower case without copyright lines, list marks, punctuation and spelling variants,
-    one space between words, none at the ends. A null text is an empty one."""
-    out = F.lower(F.coalesce(text, F.lit("")))
-    for pattern, to in STEPS:
-        out = F.regexp_replace(out, pattern, to)
-    out = F.concat(F.lit(" "), out, F.lit(" "))
-    # the guard saves the scans for texts that hold no variant
-    for a, b in EQUIVALENT.items():
-        a, b = (" " + x.replace("-", " ") + " " for x in (a, b))
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(out, " +", " "))
+def _variants() -> list[tuple[str, str]]:
+    return [tuple(" " + x.replace("-", " ") + " " for x in pair) for pair in EQUIVALENT.items()]
+
+
+def _any_variant() -> str:
+    """One pattern for all variants, with a branch for each first letter."""
+    by_letter: dict[str, list[str]] = {}
+    for a, _ in _variants():
+        by_letter.setdefault(a[1], []).append(a[2:])
+    return " (?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by_letter.items())) + ")"
+
+
+def step(out: Column, needs: tuple[str, ...], pattern: str, to: str) -> Column:
+    changed = F.regexp_replace(out, pattern, to)
+    if not needs:
+        return changed
+    if needs[0].startswith("["):
+        has = out.rlike(needs[0])
+    else:
+        has = out.contains(needs[0])
+        for n in needs[1:]:
+            has |= out.contains(n)
+    return F.when(has, changed).otherwise(out)
+
+
+def respelled(out: Column) -> Column:
+    """Spelling variants brought to one, in texts that hold any; ``out`` has a space at either end."""
+    new = out
+    for a, b in _variants():
+        new = F.replace(new, F.lit(a), F.lit(b))
+    return F.trim(F.when(out.rlike(_any_variant()), new).otherwise(out))
 
 
 def digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """license and digest of the known texts, one row for each digest; its size is that of
     the list, which the caller holds, so it may be broadcast."""
     rows = spark.createDataFrame(known or KNOWN, "license string, text string")
-    return rows.select("license", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("license").alias("license_id"))
+    return _formed(rows, "license", "text").select("license", F.sha2("_c", 256).alias("digest")).groupBy("digest").agg(F.min("license").alias("license_id"))
+
+
+def _formed(df: DataFrame, keep: str, text: str) -> DataFrame:
+    """The column kept and _c, the canonical text: lower case without copyright lines, list marks,
+    punctuation and spelling variants, one space between words, none at the ends; empty for null.
+    Each step is a projection of its own, which Catalyst doesn't merge with the next, as that reads it twice."""
+    df = df.select(F.col(keep), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_c"))
+    for needs, pattern, to in STEPS:
+        df = df.select(F.col(keep), step(F.col("_c"), needs, pattern, to).alias("_c"))
+    df = df.select(F.col(keep), F.concat(F.lit(" "), F.trim("_c"), F.lit(" ")).alias("_c"))
+    return df.select(F.col(keep), respelled(F.col("_c")).alias("_c"))
 
 
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", known: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -132,7 +167,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", known: list[
     Null and empty texts have the digest of the empty text and no licence. Null and repeated
     ids are kept; other columns are dropped, whatever their names.
     """
-    c = df.select(F.col(doc_id), canonical(F.col(text)).alias("_c")).select(F.col(doc_id), F.length("_c").cast("bigint").alias("n_canonical"), F.sha2("_c", 256).alias("digest"))
+    c = _formed(df, doc_id, text).select(F.col(doc_id), F.length("_c").cast("bigint").alias("n_canonical"), F.sha2("_c", 256).alias("digest"))
     return c.join(F.broadcast(digests(df.sparkSession, known)), "digest", "left").select(doc_id, "n_canonical", "digest", "license_id")
 
 
@@ -142,13 +177,12 @@ def oracle() -> str:
 
     def form(column: str) -> str:
         out = f"lower(coalesce({column}, ''))"
-        for pattern, to in STEPS:
+        for _, pattern, to in STEPS:
             out = f"regexp_replace({out}, {quote(pattern)}, {quote(to)}, 'g')"
-        out = f"' ' || {out} || ' '"
-        for a, b in EQUIVALENT.items():
-            a, b = (" " + x.replace("-", " ") + " " for x in (a, b))
+        out = f"' ' || trim({out}, ' ') || ' '"
+        for a, b in _variants():
             out = f"replace({out}, {quote(a)}, {quote(b)})"
-        return f"trim(regexp_replace({out}, ' +', ' ', 'g'), ' ')"
+        return f"trim({out}, ' ')"
 
     known = ", ".join(f"({quote(k)}, {quote(t)})" for k, t in KNOWN)
     return f"""
