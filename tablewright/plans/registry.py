@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablewright.plans import revenue  # noqa: F401
+from tablewright.plans import revenue, scalar  # noqa: F401
 from tablewright.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
