@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablewright.plans import grids, paging, revenue, scalar, scores  # noqa: F401
+from tablewright.plans import grids, ledgers, paging, revenue, scalar, scores  # noqa: F401
 from tablewright.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
