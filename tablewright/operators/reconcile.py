@@ -53,7 +53,7 @@ def band(total: Column, clean: tuple[float, float], warn: tuple[float, float]) -
 def share_plausibility(items: DataFrame, low: float = 97, high: float = 103) -> DataFrame:
     """A report is clean if each of its dimensions has shares that sum to 97..103 and there are two
     rows or more; ``ratio`` may be missing from rows but not from a whole dimension."""
-    dims = items.groupBy(*REPORT, "dim").agg(F.count("*").alias("n"), F.sum("ratio").alias("s"))
+    dims = items.groupBy(*REPORT, "dim").agg(F.count("*").alias("n"), F.round(F.sum("ratio"), 6).alias("s"))
     ok = F.coalesce(F.col("s").between(low, high), F.lit(False))
     return dims.groupBy(*REPORT).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_dims"), F.count_if(ok).alias("ratio_ok_dims")).withColumn(
         "clean", (F.col("ratio_ok_dims") == F.col("n_dims")) & (F.col("n_rows") >= 2)

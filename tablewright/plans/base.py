@@ -59,8 +59,8 @@ VIEWS: dict[str, str] = {
         SELECT code, year, k, p_brand AS name, CAST(round(sum(CASE WHEN k = 2 AND l_linestatus = 'F' THEN CAST(0 AS DECIMAL(18,4)) ELSE cst END), 2) AS DECIMAL(20,2)) AS amount
         FROM fact GROUP BY code, year, k, p_brand""",
     "rnd": """
-        SELECT code, year, k, l_returnflag AS name, CAST(round(CASE WHEN k = 3 THEN sum(tax) * 2 WHEN k = 2 THEN sum(tax) * CAST(0.97 AS DECIMAL(4,2)) ELSE sum(tax) END, 2) AS DECIMAL(20,2)) AS amount
-        FROM fact GROUP BY code, year, k, l_returnflag""",
+        SELECT code, year, k, l_returnflag AS name, CAST(round(CASE WHEN k = 3 THEN t * 2 WHEN k = 2 THEN t * CAST(0.97 AS DECIMAL(4,2)) ELSE t END, 2) AS DECIMAL(20,2)) AS amount
+        FROM (SELECT code, year, k, l_returnflag, CAST(sum(tax) AS DECIMAL(20,4)) AS t FROM fact GROUP BY code, year, k, l_returnflag) f""",
     "rnd_total": "SELECT code, year, CAST(round(sum(tax), 2) AS DECIMAL(20,2)) AS total FROM fact GROUP BY code, year",
     "emp": """
         SELECT code, year, k, 'composition' AS dim, l_linestatus AS name, CAST(count(*) + CASE WHEN k = 3 AND l_linestatus = 'F' THEN 1 WHEN k = 4 AND l_linestatus = 'F' THEN 9 ELSE 0 END AS BIGINT) AS n
@@ -91,7 +91,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A bridge view, or an input table, as one lazy plan."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    ctes = [*_needed(VIEWS[name], VIEWS), name]
+    ctes = [*_needed(VIEWS[name], {k: v for k, v in VIEWS.items() if k != name}), name]
     body = ",\n".join(f"{n} AS ({_expand(VIEWS[n], True)})" for n in ctes)
     tables = [t for t in TABLES if re.search(rf"\b{t}\b", body)]
     head = "".join(f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`),\n" for t in tables)

@@ -60,7 +60,7 @@ def success_rate(load):
 
 
 @query("q_plaus_a", """
-WITH d AS (SELECT code, year, dim, count(*) AS n, sum(ratio) AS s FROM shared GROUP BY ALL)
+WITH d AS (SELECT code, year, dim, count(*) AS n, round(sum(ratio), 6) AS s FROM shared GROUP BY ALL)
 SELECT code, year, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_dims, count(*) FILTER (s BETWEEN 97 AND 103) AS ratio_ok_dims,
        count(*) FILTER (s BETWEEN 97 AND 103) = count(*) AND sum(n) >= 2 AS clean FROM d GROUP BY code, year""")
 def plaus_a(load):
