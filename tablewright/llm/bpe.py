@@ -150,7 +150,9 @@ class Coder:
 
     def whole(self, texts: list[str | None]) -> list[bytes]:
         """As encode(), through the piece store alone."""
-        return self.by_pieces([PIECE.findall(t or "") for t in texts])
+        special = [any(a in (t or "") for a in self.added) for t in texts]
+        out = self.by_pieces([[] if x else PIECE.findall(t or "") for t, x in zip(texts, special, strict=True)])
+        return [self.by_library([t])[0] if x else ids for t, x, ids in zip(texts, special, out, strict=True)]
 
     def by_library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
