@@ -201,7 +201,7 @@ def without_parents(items: DataFrame, low: float = 0.99, high: float = 1.01) ->
             hit = (n >= 2) & (total >= x["amount"] * low) & (total <= x["amount"] * high)
             return F.when(stop, a).otherwise(F.struct(total.alias("sum"), n.alias("n"), F.when(hit, n).otherwise(0).cast("int").alias("found")))
 
-        return F.aggregate(F.slice(F.col("rows"), i + 2, F.lit(2147483646)), start, add, lambda a: a["found"])
+        return F.aggregate(F.slice(F.col("rows"), i + 2, F.size("rows")), start, add, lambda a: a["found"])
 
     sized = rows.withColumn("runs", F.transform("rows", lambda x, i: F.when(x["amount"] > 0, children(x, i)).otherwise(F.lit(0)).cast("int")))
     state = "struct<i:int,skip:int,drop:array<int>>"
