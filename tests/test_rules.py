@@ -191,3 +191,20 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     assert got == {(r.event_type, r.n, r.last_id) for r in events.groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id")).collect()}
     live.append_events(live.event_stream(spark, src), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.count()
+
+
+def test_vectors_and_templates(spark):
+    from tablewright.functions.embedding import model_vector, ngram_vector
+    from tablewright.operators.verdicts import RuleVerdicts, TableVerdicts
+
+    df = spark.createDataFrame([(1, "营业收入构成"), (2, "营业收入"), (3, "x"), (4, None)], "id int, t string")
+    v = {r.id: r.v for r in df.select("id", ngram_vector(F.col("t")).alias("v")).collect()}
+    assert abs(sum(x * x for x in v[1]) - 1) < 1e-5 and sum(v[3]) == sum(v[4]) == 0
+    assert sum(a * b for a, b in zip(v[1], v[2], strict=True)) > 0.5
+    m = df.select("id", model_vector(lambda: lambda texts: [[float(len(t))] for t in texts])("t").alias("v"))
+    assert {r.id: r.v for r in m.collect()} == {1: [6.0], 2: [4.0], 3: [1.0], 4: [0.0]}
+    assert df.where("id = 4").select(T.render("{{id}}/{{t}}/{{no}}", {"id": F.col("id"), "t": F.col("t")}).alias("x")).first().x == "4//{{no}}"
+    records = spark.createDataFrame([("1", 2024, "f", "high"), ("2", 2024, "f", "low")], "code string, year int, field string, confidence string")
+    judged = RuleVerdicts().judge(records)
+    assert {r.code: r.verdict for r in judged.collect()} == {"1": "pass", "2": "hold"}
+    assert TableVerdicts(judged).judge(records.where("code = '1'")).count() == 1
