@@ -158,6 +158,22 @@ def _worth(rule: Rule, x: np.ndarray, y: np.ndarray) -> float:
     return (p - n) / (p + n) if p + n else -1.0
 
 
+def _centred(rule: Rule, x: np.ndarray, y: np.ndarray) -> Rule:
+    """The same tests with each limit moved to the middle of the gap between the kept rows on its far side and all but the
+    last hundredth of the rejects that it covers, so that a rule doesn't hug the rows it was grown on."""
+    out = list(rule)
+    k = list(RATIOS)
+    for i, t in enumerate(rule):
+        v = x[:, k.index(t.name)]
+        rest = covered(tuple(r for j, r in enumerate(out) if j != i), x)
+        inside, outside = v[rest & t.holds(x) & y], v[rest & ~t.holds(x) & ~y]
+        if len(inside) and len(outside):
+            near, far = (np.quantile(inside, 0.01), outside.max()) if t.above else (np.quantile(inside, 0.99), outside.min())
+            if (near > far) == t.above and near != far:
+                out[i] = Test(t.name, t.above, float((near + far) / 2))
+    return tuple(out)
+
+
 def learn(x: np.ndarray, rejected: np.ndarray, precision: float = 0.95, most_rules: int = 12, most_tests: int = 3, cutpoints: int = 48) -> list[Rule]:
     """Ordered rules that reject; empty where there is too little to learn from. Row order
     decides which third of the rows prunes, so callers give rows in a fixed order."""
@@ -174,6 +190,8 @@ def learn(x: np.ndarray, rejected: np.ndarray, precision: float = 0.95, most_rul
         p, n = int((c & py).sum() + (g & gy).sum()), int((c & ~py).sum() + (g & ~gy).sum())
         if p < 5 or p / (p + n) < precision or (c.any() and (c & py).sum() < precision * c.sum() - 1):
             break
+        rule = _centred(rule, np.concatenate((gx, px)), np.concatenate((gy, py)))
+        c, g = covered(rule, px), covered(rule, gx)
         rules.append(rule)
         gx, gy, px, py = gx[~g], gy[~g], px[~c], py[~c]
     return rules
