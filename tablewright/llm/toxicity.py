@@ -254,16 +254,22 @@ class Model:
         return np.where(step >= 0.5, np.maximum(0.5, 0.98 * step + 0.02 * own), np.minimum(np.nextafter(0.5, 0), 0.98 * step + 0.02 * own))
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = 12_000, label: str = "toxic") -> Model:
+def fit(documents: DataFrame, labels: DataFrame, sample: int = 12_000, label: str = "toxic", sample_chars: int = 150_000_000, row_chars: int = 200_000) -> Model:
     """Learn from at most ``sample`` labelled documents outside the held-out fifth, those
     with the least hash of their id. Rows with a null id or label teach nothing; of a repeated
-    document or label one row does; with fewer than 5 of either label the score is their share."""
+    document or label one row does; with fewer than 5 of either label the score is their share. What
+    the driver holds is bounded by ``sample_chars``: of a sample text over ``row_chars`` it learns from the two
+    halves at its ends, and rows beyond the sum aren't learnt from. Scores always read whole texts."""
     few = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = documents.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sampled = texts.join(F.broadcast(few), "doc_id").select("doc_id", "label", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(10)).alias("part"), "text")
-    rows = {}
-    for r in sampled.select("doc_id", "label", "part", "text").toLocalIterator(prefetchPartitions=True):
-        rows[r["doc_id"]] = (r["part"], int(r["label"]), r["text"] if len(r["text"]) < 200_000 else r["text"][:100_000] + " " + r["text"][-100_000:])
+    rows, held, half = {}, 0, row_chars // 2
+    ends = F.when(F.length("text") <= row_chars, F.col("text")).otherwise(F.concat_ws(" ", F.substring("text", 1, half), F.substring("text", -half, half)))
+    for r in sampled.select("doc_id", "label", "part", ends.alias("text")).toLocalIterator(prefetchPartitions=True):
+        held += len(r["text"])
+        if held > sample_chars:
+            break
+        rows[r["doc_id"]] = (r["part"], int(r["label"]), r["text"])
     rows = [rows[k] for k in sorted(rows)]
     if not rows:
         return Model(0.0)
