@@ -16,7 +16,7 @@ VIEWS["shared"] = """
 @query("q_revenue_breakdown", """
 SELECT code, year, dim, name, CAST(amount AS DOUBLE) AS amount,
        round(CAST(amount AS DOUBLE) / CAST(nullif(sum(amount) OVER (PARTITION BY code, year, dim), 0) AS DOUBLE) * 100, 2) AS share_calc,
-       row_number() OVER (PARTITION BY code, year, dim ORDER BY amount DESC, name) AS rn FROM pred""")
+       CAST(row_number() OVER (PARTITION BY code, year, dim ORDER BY amount DESC, name) AS INT) AS rn FROM pred""")
 def revenue_breakdown(load):
     return R.shares(load("pred")).select("code", "year", "dim", "name", F.col("amount").cast("double").alias("amount"), "share_calc", "rn")
 

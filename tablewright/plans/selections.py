@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import selection as S
 from tablewright.operators.grid import DIMENSIONS, TABLE
+from tablewright.plans import paging  # noqa: F401  (defines the view report_page)
 from tablewright.plans.base import VIEWS, query
 from tablewright.plans.grids import STATS
 
