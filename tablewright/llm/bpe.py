@@ -86,7 +86,7 @@ class Coder:
             cls._made[path, engine] = cls(path, engine)
         return cls._made[path, engine]
 
-    def __init__(self, path: str, engine: str = "ranks", piece_bytes: int = 160 << 20, chunk_bytes: int = 48 << 20) -> None:
+    def __init__(self, path: str, engine: str = "ranks", piece_bytes: int = 128 << 20, chunk_bytes: int = 48 << 20) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -56,8 +56,8 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[list[list]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            if batch.num_rows:
-                columns = work([c.to_pylist() for c in batch.columns])
+            for at in range(0, batch.num_rows, 1024):  # lists of a part of a batch at a time
+                columns = work([c.to_pylist() for c in batch.slice(at, 1024).columns])
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
     return df.mapInArrow(run, schema)

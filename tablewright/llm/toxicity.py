@@ -74,7 +74,7 @@ class _Words(dict):
             c += 8
         if word.isupper() and len(f) > 1:
             c += 16
-        if len(self) >= 700_000:
+        if len(self) >= 300_000:
             self.clear()
         if len(word) <= 40:
             self[word] = c
