@@ -3,7 +3,7 @@ before the next. All stages but the last return the columns of documents.
 
 toxicity        documents predicted toxic go
 quality rules   documents that fail the base rules or a learned rule go
-simhash         of each group of near copies the document with the least id stays
+simhash         of each group of near copies (Jaccard 0.8 or more on five words) the document with the least id stays
 decontaminate   documents with a benchmark passage go
 bpe             n_tokens and digests of what is left
 """
@@ -35,10 +35,12 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with a null id belong to no group's representative and go with their group; rows
-    that share the representative's id all stay."""
-    groups = simhash.near_duplicates(docs)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
+    """Copies share 0.8 or more of their runs of five words. Rows with a null id belong to no
+    group's representative and go with their group; rows that share the representative's id all stay."""
+    docs.withColumn("_key", F.monotonically_increasing_id()).write.parquet(path := new_folder(spark, "keyed"))
+    docs = spark.read.parquet(path)
+    groups = docs.select("_key", "doc_id").join(simhash.near_copies(docs, "_key"), "_key")
+    stay = groups.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     return docs.join(stay, "doc_id", "left_semi").select(*COLUMNS)
 
 
