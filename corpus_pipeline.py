@@ -3,7 +3,7 @@ before the next. All stages but the last return the columns of documents.
 
 toxicity        documents predicted toxic go
 quality rules   documents that fail the base rules or a learned rule go
-simhash         of each group of near copies (Jaccard 0.8 or more on five words) the document with the least id stays
+simhash         of each group of near copies (Jaccard 0.8 or more on five words) the row with the least id stays
 decontaminate   documents with a benchmark passage go
 bpe             n_tokens and digests of what is left
 """
@@ -34,20 +34,25 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality.apply(docs, rules, keep=COLUMNS).where("kept").select(*COLUMNS)
 
 
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies share 0.8 or more of their runs of five words. Rows with a null id belong to no
-    group's representative and go with their group; rows that share the representative's id all stay."""
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows with a key of their own, read from files, so that it's the same at each reading."""
     docs.withColumn("_key", F.monotonically_increasing_id()).write.parquet(path := new_folder(spark, "keyed"))
-    docs = spark.read.parquet(path)
+    return spark.read.parquet(path)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of copies, which share 0.8 or more of their runs of five words, stays:
+    that with the least id, a null one last; of rows that share the id, the first."""
+    docs = _keyed(spark, docs)
     groups = docs.select("_key", "doc_id").join(simhash.near_copies(docs, "_key"), "_key")
-    stay = groups.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*COLUMNS)
+    stay = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first")).select("first._key")
+    return docs.join(stay, "_key", "left_semi").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark"))
-    hit = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    docs = _keyed(spark, docs)
+    found = decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark"), doc_id="_key")
+    return docs.join(found.where("contaminated").select("_key"), "_key", "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

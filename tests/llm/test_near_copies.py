@@ -60,3 +60,22 @@ def test_second_pass_finds_what_leaders_miss():
     assert simhash.leaders(members, 2) == [(1, 2), (1, 3)]
     assert simhash.across([(i, fp, i) for i, fp in members], 2) == [(1, 2), (1, 3), (2, 3)]
     assert simhash.across([(1, 0, 1), (2, 1, 1), (3, 3, 3)], 1) == [(2, 3)]
+
+
+def test_rows_stay_or_go_one_by_one(spark):
+    r = random.Random(5)
+    a, b, c, d, e = (" ".join("".join(r.choice("klmnop") for _ in range(6)) for _ in range(40)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, c), (2, d), (1, d), (3, e), (None, e), (None, e)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(3)
+    left = [(x.doc_id, x.text) for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(left, key=str) == sorted([(None, a), (None, b), (1, c), (1, d), (3, e)], key=str)
+
+
+def test_only_contaminated_rows_go(spark, tmp_path):
+    r = random.Random(6)
+    passage, other = (" ".join("".join(r.choice("qrstuv") for _ in range(6)) for _ in range(20)) for _ in range(2))
+    spark.createDataFrame([(1, passage)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, passage), (1, other), (None, f"x {passage} y"), (None, other), (2, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    left = [(x.doc_id, x.text) for x in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()]
+    assert sorted(left, key=str) == sorted([(1, other), (None, other), (2, None)], key=str)
