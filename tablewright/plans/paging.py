@@ -113,7 +113,7 @@ def near_numbers(load):
     return d.select("doc_id", F.array_join(F.regexp_extract_all(near, F.lit("[0-9]+(?:[.][0-9]+)?"), F.lit(0)), ",").alias("numbers"))
 
 
-VIEWS["spots"] = "SELECT code, year, table_id, page, top, bottom, cols FROM (SELECT *, row_number() OVER (PARTITION BY code, year ORDER BY page, top, table_id, tie, tie2) AS n FROM placed) p WHERE n <= 12"
+VIEWS["spots"] = "SELECT code, year, table_id, page, top, bottom, cols, tie, tie2 FROM placed"
 _FOLLOW = "b.code = a.code AND b.year = a.year AND b.cols BETWEEN a.cols - 2 AND a.cols + 2 AND ((b.page = a.page AND b.top - a.bottom BETWEEN 0 AND 180) OR (b.page = a.page + 1 AND b.top <= 150))"
 
 
