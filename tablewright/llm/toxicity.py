@@ -1,10 +1,14 @@
 """Toxicity scores: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-The labelled sample falls into three parts by a hash of the id. The first gives the
-lexicons: terms (words and word beginnings, after undoing look-alike spellings) that
-labelled rows with 1 hold far more often than the others, in two strengths. The second
-grows the trees over densities of the lexicons, their nearness to second-person words,
-capitals, punctuation and disguised spellings. The third calibrates the trees' margin.
+Lexicons are terms (words and word beginnings, after undoing look-alike spellings) that labelled
+rows with 1 hold far more often than the others, in two strengths. Trees grow over densities
+of the lexicons, their nearness to second-person words, capitals, punctuation and disguised
+spellings; an isotonic fit turns the trees' margin into a share.
+
+The three are cross-fitted, in the same way at every size: the sample falls into FOLDS folds, alike in
+both labels. A row's features for training come from lexicons of the other folds, its margin
+for calibration from trees of the other folds. The model that scores has the lexicons and
+trees of all folds. Texts stay with the workers: the driver holds term counts and features.
 """
 
 from __future__ import annotations
@@ -14,12 +18,13 @@ import re
 import string
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import held_out, map_rows
+from tablewright.llm.common import cut, held_out, map_rows
 
 #: Words that address the reader, in the corpus's languages.
 SECOND_PERSON = frozenset("you your yours yourself u ya du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos ti tus tuyo usted ustedes vosotros os".split())
@@ -42,12 +47,18 @@ def folded(word: str) -> tuple[str, bool]:
     return out, out != low and not low.replace(".", "").replace(",", "").isdigit()
 
 
-def terms_of(text: str | None) -> set[str]:
+def terms_of(text: str | None, known: dict | None = None) -> set[str]:
+    """Words and word beginnings; ``known`` remembers the terms of words met before."""
+    known = {} if known is None else known
     out: set[str] = set()
     for w in set((text or "").split()):
-        f, _ = folded(w)
-        out.add(f)
-        out.update(f[:n] + "*" for n in range(SHORTEST, min(LONGEST, len(f)) + 1))
+        t = known.get(w)
+        if t is None:
+            f, _ = folded(w)
+            t = (f, *(f[:n] + "*" for n in range(SHORTEST, min(LONGEST, len(f)) + 1)))
+            if len(w) <= 40 and len(known) < 200_000:
+                known[w] = t
+        out.update(t)
     out.discard("")
     return out
 
@@ -74,7 +85,7 @@ class _Words(dict):
             c += 8
         if word.isupper() and len(f) > 1:
             c += 16
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         if len(word) <= 40:
             self[word] = c
@@ -110,31 +121,57 @@ def features_of(text: str | None, classes: _Words) -> list[float]:
     return [len(strong) / n, weak / n, math.log1p(len(strong)), math.log1p(weak), most, near / n, len(second) / n, capitals / letters, float((c & 16).astype(bool).mean()), marks / len(text), bangs / len(text), float(hidden.astype(bool).mean()), float(((hidden > 0) & ((c & 3) > 0)).sum()) / n, math.log1p(n)]
 
 
-def grow_lexicons(documents: list[tuple[str, int]], most: int = 4000) -> tuple[frozenset, frozenset]:
-    """Strong and weak terms by the lower bound of their log odds among labelled documents;
-    a beginning counts only if no shorter term of the same strength says as much."""
-    held = [Counter(), Counter()]
-    size = [0, 0]
-    for text, label in documents:
-        held[label].update(terms_of(text))
-        size[label] += 1
-    if not all(size):
+FOLDS = 5
+LEAST_ODDS, STRONG_ODDS = 0.7, 2.5
+LEAST_ROWS = 3  # with label 1 that hold a term
+
+
+def _low(p, n, of_p, of_n, ln, sqrt):
+    """Lower bound of the log odds of a term that p of ``of_p`` and n of ``of_n`` rows hold."""
+    return ln((p + 0.5) / (of_p + 1)) - ln((n + 0.5) / (of_n + 1)) - 1.64 * sqrt(1 / (p + 0.5) + 1 / (n + 0.5))
+
+
+def grow_lexicons(terms: list[str], p: np.ndarray, n: np.ndarray, of_p: int, of_n: int, most: int = 4000) -> tuple[frozenset, frozenset]:
+    """Strong and weak terms by the lower bound of their log odds; p and n are the rows with label
+    1 and 0 that hold each term. The ``most`` that tell most rows apart count, ties in term order."""
+    if not of_p or not of_n or not len(terms):
         return frozenset(), frozenset()
-    scored = []
-    for term, p in held[1].items():
-        n = held[0][term]
-        if p < 3:
-            continue
-        odds = math.log((p + 0.5) / (size[1] + 1)) - math.log((n + 0.5) / (size[0] + 1))
-        low = odds - 1.64 * math.sqrt(1 / (p + 0.5) + 1 / (n + 0.5)) if n else odds - 1.64 / math.sqrt(p + 0.5)
-        if low > 0.7:
-            scored.append((-low * math.sqrt(p), term, low, p))
-    scored.sort()
-    strong, weak = set(), set()
-    least = max(4, 0.01 * size[1])
-    for _, term, low, p in scored[:most]:
-        (strong if low > 2.5 and p >= least else weak).add(term)
-    return frozenset(strong), frozenset(weak)
+    low = _low(p, n, of_p, of_n, np.log, np.sqrt)
+    worth = low * np.sqrt(p)
+    fit = [i for i in np.flatnonzero((p >= LEAST_ROWS) & (low > LEAST_ODDS)).tolist()]
+    fit.sort(key=lambda i: (-worth[i], terms[i]))
+    least = max(4, 0.01 * of_p)
+    strong = {i for i in fit[:most] if low[i] > STRONG_ODDS and p[i] >= least}
+    return frozenset(terms[i] for i in strong), frozenset(terms[i] for i in fit[:most] if i not in strong)
+
+
+def _term_counts(sample: DataFrame, sizes: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Terms and how many rows hold each, by fold and label (an array terms x FOLDS x 2), for terms that
+    belong to the lexicon of all folds or of all but one. What reaches the driver is bounded by
+    the sample's terms of that kind."""
+
+    def make():
+        known: dict = {}
+
+        def work(columns):
+            seen: Counter = Counter()
+            for fold, label, text in zip(*columns, strict=True):
+                seen.update((t, 2 * fold + label) for t in terms_of(text, known))
+            return [[t for t, _ in seen], [c for _, c in seen], list(seen.values())]
+
+        return work
+
+    counted = map_rows(sample.select("fold", "label", "text"), "term string, cell int, n int", make)
+    by_term = counted.groupBy("term").agg(*(F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in range(2 * FOLDS)))
+    zero, one = (reduce(lambda a, b: a + b, (F.col(f"c{2 * k + label}") for k in range(FOLDS))) for label in (0, 1))
+    fits = F.lit(False)
+    for k in (None, *range(FOLDS)):
+        p, n = (one, zero) if k is None else (one - F.col(f"c{2 * k + 1}"), zero - F.col(f"c{2 * k}"))
+        of_n, of_p = (sizes.sum(axis=0) - (0 if k is None else sizes[k])).tolist()
+        fits |= (p >= LEAST_ROWS) & (_low(p, n, of_p, of_n, F.log, F.sqrt) > LEAST_ODDS - 0.001)
+    rows = by_term.where(fits).collect()
+    rows.sort(key=lambda r: r["term"])
+    return [r["term"] for r in rows], np.array([list(r)[1:] for r in rows], float).reshape(-1, FOLDS, 2)
 
 
 @dataclass
@@ -227,7 +264,7 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float
             blocks[-1][3] = hi
     xs, ys = [], []
     for s, n, lo, hi in blocks:
-        p = (s + 0.5 * (s / n)) / (n + 0.5) if n else 0.0
+        p = s / n
         xs += [lo, hi] if hi > lo else [lo]
         ys += [p, p] if hi > lo else [p]
     return xs, ys
@@ -254,42 +291,48 @@ class Model:
         return np.where(step >= 0.5, np.maximum(0.5, 0.98 * step + 0.02 * own), np.minimum(np.nextafter(0.5, 0), 0.98 * step + 0.02 * own))
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = 12_000, label: str = "toxic", sample_chars: int = 150_000_000, row_chars: int = 200_000) -> Model:
-    """Learn from at most ``sample`` labelled documents outside the held-out fifth, those
-    with the least hash of their id. Rows with a null id or label teach nothing; of a repeated
-    document or label one row does; with fewer than 5 of either label the score is their share. What
-    the driver holds is bounded by ``sample_chars``: of a sample text over ``row_chars`` it learns from the two
-    halves at its ends, and rows beyond the sum aren't learnt from. Scores always read whole texts."""
-    few = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+def _folded_sample(documents: DataFrame, labels: DataFrame, sample: int, label: str) -> DataFrame:
+    """doc_id, label, fold and text of the rows to learn from, a row for each document."""
+    few = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    few = few.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(sample)
+    few = few.withColumn("fold", (F.row_number().over(Window.partitionBy("label").orderBy("_h", "doc_id")) % FOLDS).cast("int")).drop("_h")
     texts = documents.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sampled = texts.join(F.broadcast(few), "doc_id").select("doc_id", "label", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(10)).alias("part"), "text")
-    rows, held, half = {}, 0, row_chars // 2
-    ends = F.when(F.length("text") <= row_chars, F.col("text")).otherwise(F.concat_ws(" ", F.substring("text", 1, half), F.substring("text", -half, half)))
-    for r in sampled.select("doc_id", "label", "part", ends.alias("text")).toLocalIterator(prefetchPartitions=True):
-        held += len(r["text"])
-        if held > sample_chars:
-            break
-        rows[r["doc_id"]] = (r["part"], int(r["label"]), r["text"])
-    rows = [rows[k] for k in sorted(rows)]
-    if not rows:
-        return Model(0.0)
-    y = np.array([r[1] for r in rows], float)
-    if min(y.sum(), (1 - y).sum()) < 5:
-        return Model(float(y.mean()))
-    small = len(rows) < 1500  # too few to hold parts back from one another
-    lexicon = [r for r in rows if r[0] < 4] if not small else rows
-    strong, weak = grow_lexicons([(t, v) for _, v, t in lexicon])
-    classes = _Words(strong, weak)
-    grow = [r for r in rows if 4 <= r[0] < 8] if not small else rows
-    calibrate = [r for r in rows if r[0] >= 8] if not small else []
-    gy = np.array([r[1] for r in grow], float)
-    if min(gy.sum(), (1 - gy).sum()) < 5:
-        grow, gy = rows, y
-    trees = Trees().fit(np.array([features_of(t, classes) for *_, t in grow]), gy)
-    knots: tuple = ((), ())
-    if calibrate:
-        knots = isotonic(trees.margin(np.array([features_of(t, classes) for *_, t in calibrate])), np.array([r[1] for r in calibrate], float))
-    return Model(float(y.mean()), strong, weak, trees, knots)
+    return texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", "label", "fold").agg(F.min("text").alias("text"))
+
+
+def fit(documents: DataFrame, labels: DataFrame, sample: int = 12_000, label: str = "toxic") -> Model:
+    """Learn from at most ``sample`` labelled documents outside the held-out fifth, those with the least
+    hash of their id, by their whole texts. Rows with a null id or label teach nothing; a null text is an
+    empty one; of a document with several labels the greatest counts, of one with several texts the
+    least, so the order of rows decides nothing. With fewer than 5 of either label every score is
+    their share (0 without any). The driver holds a number for each term and 14 for each row of the sample."""
+    rows = cut(_folded_sample(documents, labels, sample, label))
+    sizes = np.zeros((FOLDS, 2))
+    for r in rows.groupBy("fold", "label").count().collect():
+        sizes[r["fold"], r["label"]] = r["count"]
+    of_n, of_p = sizes.sum(axis=0).tolist()
+    if min(of_n, of_p) < FOLDS:
+        return Model(of_p / max(1.0, of_n + of_p))
+    terms, held = _term_counts(rows, sizes)
+    rest = lambda x, k: x.sum(axis=-2) - (0 if k is None else x[..., k, :])
+    lexicons = [grow_lexicons(terms, rest(held, k)[:, 1], rest(held, k)[:, 0], rest(sizes, k)[1], rest(sizes, k)[0]) for k in (*range(FOLDS), None)]
+    shared = rows.sparkSession.sparkContext.broadcast(lexicons[:FOLDS])
+
+    def make():
+        classes = [_Words(*x) for x in shared.value]
+
+        def work(columns):
+            return [*columns[:3], [features_of(t, classes[k]) for k, t in zip(columns[2], columns[3], strict=True)]]
+
+        return work
+
+    described = map_rows(rows.select("doc_id", "label", "fold", "text"), f"doc_id {dict(rows.dtypes)['doc_id']}, label int, fold int, x array<double>", make)
+    got = sorted(described.collect(), key=lambda r: r["doc_id"])
+    x, y, fold = np.array([r["x"] for r in got]), np.array([r["label"] for r in got], float), np.array([r["fold"] for r in got])
+    margin = np.zeros(len(y))
+    for k in range(FOLDS):
+        margin[fold == k] = Trees().fit(x[fold != k], y[fold != k]).margin(x[fold == k])
+    return Model(float(y.mean()), *lexicons[FOLDS], Trees().fit(x, y), isotonic(margin, y))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
