@@ -1,15 +1,19 @@
 """Main text of web pages: flat text blocks, classified by a small decision tree.
 
-A page is read once into a flat list of text blocks (runs of text between block-level
-tags). Each block is described by its words and link density, by those of the blocks before and
-after it, and by which kind of container is nearest. A CART tree, grown on the labelled
-blocks of PAGES below, says which blocks are main text.
+A page is read once, from front to end and in linear time, into a flat list of text blocks (runs of
+text between block-level tags). Each block is described by its words and link density, by those of
+the blocks before and after it, and by which kind of container is nearest. A CART tree, grown
+on the labelled blocks of ``labelled_pages`` below, says which blocks are main text. Half of these
+pages have no telling names at all (only div, p, ul and headings), so the tree learns to go by
+words and links where containers say nothing.
 """
 
 from __future__ import annotations
 
 import html as entities
+import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,12 +22,17 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.common import map_rows
 
-TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*'|["'])*?)>""", re.S)
-CUT_OFF = re.compile(r"<[!/?]?[a-zA-Z!][^<>]*\Z")
+#: A tag; quotes count only after "=". Every part is possessive, so a try never goes back.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|[="'])*+)>""")
+#: The same for what is left of a page whose quotes never end.
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>")
+OPENS = re.compile(r"</?[a-zA-Z]")
+COMMENT_END = re.compile(r"--!?>")
 #: Elements by how HTML treats them.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
-RAW = frozenset("script style title textarea noscript template iframe noframes xmp svg math object select head-only".split())
+RAW = frozenset("script style title textarea noscript template iframe noframes xmp svg math object select".split())
 CONTAINERS = frozenset("article aside blockquote body center dd details dialog div dl fieldset figure footer form header html label li main menu nav ol section span table td th tr tbody ul".split())
+PARAGRAPHS = frozenset("p pre blockquote".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: What containers beside the main text are called.
@@ -35,7 +44,7 @@ MAIN_NAMES = frozenset("article content main post entry story text body articleb
 ATTR = re.compile(r"""([a-zA-Z_:][-a-zA-Z0-9_:.]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
-FEATURES = ("nearest", "main_around", "heading", "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after")
+FEATURES = ("nearest", "main_around", "heading", "paragraph", "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after")
 
 
 @dataclass
@@ -45,13 +54,26 @@ class Block:
     nearest: int = 0  # 1 the nearest telling container is main text, -1 it stands beside it
     main_around: int = 0
     heading: int = 0
+    paragraph: int = 0
     keep: bool = False
+    begun: bool = False
 
     @property
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
 
 
+@dataclass(frozen=True)
+class Around:
+    """An open container and what it passes on to those inside it."""
+
+    tag: str = ""
+    kind: int = 0  # its own, or that of the nearest telling one around
+    main: bool = False
+    paragraph: bool = False
+    keep: bool = False
+
+
 def kind_of(tag: str, attributes: str, inside_main: bool) -> int:
     """1, -1 or 0: what a container says about the text in it."""
     if tag in BESIDE_TAGS or (tag == "header" and not inside_main):
@@ -73,46 +95,92 @@ def kind_of(tag: str, attributes: str, inside_main: bool) -> int:
     return 0
 
 
+def raw_end(tag: str, page: str, at: int) -> tuple[int, int]:
+    """Where the end tag of an element without markup begins and where the page goes on; -1 without one."""
+    m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+    if not m:
+        return -1, len(page)
+    return m.start(), page.find(">", m.end()) + 1 or len(page)
+
+
+SMALL = frozenset(("span", "p", "label"))
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order; scripts, styles, comments and unfinished tags give no text."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, kind of it or of the nearest telling one around, keep
-    now, link, heading, skip = Block(), 0, 0, None
-    at = 0
-    page = CUT_OFF.sub("", page)
+    stack: list[Around] = [Around()]
+    open_tags: Counter = Counter()
+    now, link, heading = Block(), 0, 0
 
     def close() -> None:
         nonlocal now
-        if any(not p.isspace() for p in now.parts):
+        if now.begun:
             out.append(now)
         now = Block()
 
     def say(raw: str) -> None:
         text = entities.unescape(raw)
-        if not now.parts or not "".join(now.parts).strip():
-            now.nearest = stack[-1][1] if stack else 0
-            now.main_around = int(any(k == 1 for _, k, _ in stack))
-            now.keep = any(keep for *_, keep in stack)
+        if not now.begun:
+            top = stack[-1]
+            now.nearest, now.main_around, now.paragraph, now.keep = top.kind, int(top.main), int(top.paragraph), top.keep
             now.heading = int(heading > 0)
+            now.begun = bool(text) and not text.isspace()
         now.parts.append(text)
         if link:
             now.linked.append(text)
 
-    for m in TAG.finditer(page):
-        if skip is None and m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+    def leave(tag: str) -> None:
+        if not open_tags[tag]:
+            return
+        i = len(stack) - 1
+        while stack[i].tag != tag:
+            if tag in SMALL and stack[i].tag not in SMALL:
+                return  # a stray end of something small doesn't close what is around it
+            i -= 1
+        open_tags.subtract(x.tag for x in stack[i:])
+        del stack[i:]
+
+    def drop_top() -> None:
+        open_tags[stack.pop().tag] -= 1
+
+    at = start = 0  # what is looked at next; where text that isn't said yet begins
+    quotes = True
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith(("<!", "<?"), at) or (page.startswith("</", at) and not OPENS.match(page, at)):
+            if page.startswith("<!--", at):
+                m = COMMENT_END.search(page, at + 2)
+                end = m.end() if m else len(page)
+            else:
+                end = page.find(">", at) + 1 or len(page)
+            if at > start:
+                say(page[start:at])
+            at = start = end
             continue
-        ends = bool(m[1])
-        if skip is not None:
-            if ends and tag == skip:
-                skip = None
+        if not OPENS.match(page, at):
+            at += 1
             continue
+        m = TAG.match(page, at) if quotes else None
+        if not m:
+            quotes = False
+            m = PLAIN_TAG.match(page, at)
+        if not m:
+            end = page.find("<", at + 1)
+            if end >= 0:
+                at = end
+                continue
+            if at > start:  # cut off inside its last tag
+                say(page[start:at])
+            start = len(page)
+            break
+        if at > start:
+            say(page[start:at])
+        at = start = m.end()
+        ends, tag, attributes = bool(m[1]), m[2].lower(), m[3]
         if tag in RAW and not ends:
-            if not m[3].rstrip().endswith("/"):
-                skip = tag
+            found, end = raw_end(tag, page, at)
+            if not attributes.rstrip().endswith("/") or (found >= 0 and tag not in ("svg", "math")):
+                at = start = end
             continue
         if tag == "a":
             link = 0 if ends else 1
@@ -127,23 +195,20 @@ def blocks_of(page: str) -> list[Block]:
             now.parts.append(" ")
         if tag in CONTAINERS or tag == "p" or tag in HEADINGS or tag == "button":
             if ends:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        if tag in ("span", "p", "label") and any(t not in ("span", "p", "label") for t, *_ in stack[i:]):
-                            break  # a stray end of something small doesn't close what is around it
-                        del stack[i:]
-                        break
-            else:
-                if tag in BLOCKS:
-                    while stack and stack[-1][0] in ("p", *HEADINGS):
-                        stack.pop()
-                if tag == "li" and stack and stack[-1][0] == "li":
-                    stack.pop()
-                inside = any(k == 1 for _, k, _ in stack)
-                k = kind_of(tag, m[3], inside)
-                stack.append((tag, k or (stack[-1][1] if stack else 0), "data-keep" in m[3] or bool(stack and stack[-1][2])))
-    if skip is None and at < len(page):
-        say(page[at:])
+                leave(tag)
+                continue
+            if tag in BLOCKS:
+                while stack[-1].tag == "p" or stack[-1].tag in HEADINGS:
+                    drop_top()
+            if tag == "li" and stack[-1].tag == "li":
+                drop_top()
+            top = stack[-1]
+            kind = kind_of(tag, attributes, top.main)
+            paragraph = tag in PARAGRAPHS if tag in BLOCKS else top.paragraph
+            stack.append(Around(tag, kind or top.kind, top.main or kind == 1, paragraph, top.keep or "data-keep" in attributes))
+            open_tags[tag] += 1
+    if start < len(page):
+        say(page[start:])
     close()
     return out
 
@@ -158,48 +223,82 @@ def describe(blocks: list[Block]) -> np.ndarray:
     x[:, 0] = [b.nearest for b in blocks]
     x[:, 1] = [b.main_around for b in blocks]
     x[:, 2] = [b.heading for b in blocks]
-    x[:, 3], x[:, 4] = words, density
-    x[1:, 5], x[1:, 6] = words[:-1], density[:-1]
-    x[:-1, 7], x[:-1, 8] = words[1:], density[1:]
+    x[:, 3] = [b.paragraph for b in blocks]
+    x[:, 4], x[:, 5] = words, density
+    x[1:, 6], x[1:, 7] = words[:-1], density[:-1]
+    x[:-1, 8], x[:-1, 9] = words[1:], density[1:]
     return x
 
 
-#: The labelled table: small pages in which data-keep marks the elements that hold main text.
-_W = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega one two three four five six seven eight nine ten".split()
+#: Only the numbers of words and links of labelled pages matter, not the words.
+_W = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 
 
 def _words(n: int, at: int = 0) -> str:
     return " ".join(_W[(at + i) % len(_W)] for i in range(n))
 
 
-def labelled_pages() -> list[str]:
-    p = lambda n, at=0, keep=True: f"<p{' data-keep' * keep}>{_words(n, at)}.</p>"
-    nav = "<nav><ul>" + "".join(f"<li><a href=/{w}>{w}</a></li>" for w in _W[:6]) + "</ul></nav>"
-    links = "<ul>" + "".join(f"<li><a href=/{w}>{_words(5, i)}</a></li>" for i, w in enumerate(_W[:5])) + "</ul>"
-    foot = f"<footer>&copy; site {_words(12)}</footer>"
-    side = f"<aside><h2>more</h2>{links}{p(25, 3, False)}</aside>"
-    form = f"<form><label>mail</label>{p(9, 2, False)}<button>send</button></form>"
-    notice = f"<div class=cookie-notice>{p(22, 5, False)}<a href=/x>{_words(3)}</a></div>"
-    remarks = f"<section class=comments><h3>comments</h3>{p(30, 7, False)}{p(4, 1, False)}</section>"
-    plain_menu = "<div>" + " ".join(f"<a href=/{w}>{w}</a>" for w in _W[:8]) + "</div>"
-    heads = ["<h1 data-keep>" + _words(n, n) + "</h1>" for n in (1, 4, 9)]
-    pages = []
-    for i, h in enumerate(heads):
-        body = p(40 + i) + p(1 + 2 * i) + p(90, 4) + f"<h2 data-keep>{_words(3, i)}</h2>" + p(12, 9) + f"<ul><li data-keep>{_words(6)}</li><li data-keep>{_words(2)}</li></ul>" + p(3, 8)
-        linked = f"<p data-keep>{_words(14)} <a href=/y>{_words(3)}</a> {_words(9)}</p>"
-        ad = f"<div class=ad>{_words(8 + 9 * i, i)}.</div>"
-        pages += [
-            nav + ad + f"<article>{h}{body}</article>" + foot,
-            notice + f"<header><a href=/>home</a> {_words(4)}</header>" + nav + f"<main>{h}{p(5)}{linked}{body}{ad}</main>" + side + remarks + foot,
-            nav + f"<article>{h}{body}{linked}<aside>{_words(15)}</aside>{remarks}</article>" + form + foot,
-            plain_menu + f"<div>{h}{p(60)}{p(45, 5)}{linked}{p(70, 2)}</div>" + plain_menu + f"<div>{_words(5)} <a href=/z>{_words(4)}</a></div>",
-            f"<div id=header>{_words(6)}</div><div class=menu>{links}</div><div>{h}{p(55)}{p(8, 3)}{p(66, 1)}</div><div class=sidebar>{p(20, 1, False)}{links}</div><div id=footer>{_words(11)}</div>",
-            f"<div class=content>{h}<p data-keep><a href=/q>{_words(7)}</a></p>{p(30)}<div class=related>{links}</div>{p(2)}</div>" + foot,
-            nav + f"<article>{h}</article>" + foot,
-            nav + ad + f"<article>{p(2 + i)}</article>" + foot,
-            form + "<table><tr>" + "".join(f"<td><a href=/{w}>{w}</a></td>" for w in _W[:4]) + f"</tr></table><div>{p(80)}{p(33, 6)}</div>",
-        ]
-    return pages
+def _article(r: random.Random, named: bool) -> str:
+    """Blocks of main text of many sizes, marked: a heading, then paragraphs, quotes, lists, tables, bare lines;
+    where containers have names also text that is nothing but links."""
+    n = lambda *sizes: _words(r.choice(sizes), r.randrange(24))
+    out = [f"<h1 data-keep>{n(1, 3, 5, 9, 14)}</h1>"] * (r.random() < 0.9)
+    for _ in range(r.choice((1, 1, 2, 4, 7, 12))):
+        kind = r.random() * (1.2 if named else 1)
+        text = n(1, 2, 3, 5, 8, 12, 20, 35, 60, 90, 150)
+        if kind < 0.6:
+            out.append(f"<p data-keep>{text}.</p>")
+        elif kind < 0.68:
+            out.append(f"<p data-keep>{n(9, 14, 30)} <a href=/y>{n(1, 2, 3)}</a> {n(4, 9, 20)}</p>")
+        elif kind < 0.72:
+            out.append(f"<blockquote data-keep>{text}</blockquote>")
+        elif kind < 0.8:
+            out.append(f"<h2 data-keep>{n(1, 3, 6)}</h2><p data-keep>{text}</p>")
+        elif kind < 0.9:
+            out.append("<ul>" + "".join(f"<li data-keep>{n(1, 2, 6, 13)}</li>" for _ in range(r.randrange(1, 5))) + "</ul>")
+        elif kind < 0.95:
+            out.append(f"<table><tr><td data-keep>{n(1, 2)}</td><td data-keep>{n(1, 4)}</td></tr></table>")
+        elif kind < 1:
+            out.append(f"<div data-keep>{text}</div>")
+        elif kind < 1.1:
+            out.append(f"<p data-keep><a href=/y>{text}</a> {n(1, 3)}</p>")
+        else:
+            out.append("<ul>" + "".join(f"<li data-keep><a href=/y>{n(1, 4, 9)}</a></li>" for _ in range(r.randrange(1, 5))) + "</ul>")
+    return "".join(out)
+
+
+def labelled_pages(pages: int = 240, seed: int = 11) -> list[str]:
+    """The labelled table: pages by a rule, in which data-keep marks the elements that hold main text.
+    Every second page is unnamed, and has only such text beside the main text as words and links can tell."""
+    r, out = random.Random(seed), []
+    n = lambda *sizes: _words(r.choice(sizes), r.randrange(24))
+    for k in range(pages):
+        items = [f"<li><a href=/x>{n(1, 1, 2, 4)}</a></li>" for _ in range(r.randrange(3, 9))]
+        nav = r.choice(("<nav><ul>{}</ul></nav>", "<div class=menu><ul>{}</ul></div>", "<nav>{}</nav>")).format("".join(items))
+        foot = r.choice(("<footer>{}</footer>", "<div id=footer>{}</div>")).format(f"&copy; {n(1, 4, 8, 13)}")
+        links = "<ul>" + "".join(f"<li><a href=/x>{n(3, 5, 8)}</a></li>" for _ in range(5)) + "</ul>"
+        article = _article(r, k % 2 == 0)
+        if k % 2:
+            short = f"<div>{n(5, 8, 12)}.</div>" if r.random() < 0.6 else ""
+            page = nav + short + f"<article>{article}</article>" + links * (r.random() < 0.3) + foot * (r.random() < 0.8)
+            out.append(unnamed(page))
+            continue
+        ad = r.choice(("<div class=ad>{}.</div>", "<aside>{}</aside>", "<div class='sponsored box'><p>{}</p></div>")).format(n(4, 8, 20, 45))
+        notice = f"<div class=cookie-notice><p>{n(12, 30)}</p><button>{n(1, 2)}</button></div>" * (r.random() < 0.3)
+        header = f"<header><a href=/>{n(1, 2)}</a> {n(2, 5)}</header>" * (r.random() < 0.3)
+        side = f"<aside><h2>{n(1, 2)}</h2>{links}<p>{n(10, 30)}</p></aside>" * (r.random() < 0.3)
+        form = f"<form><label>{n(1, 2)}</label><p>{n(5, 12)}</p><button>{n(1)}</button></form>" * (r.random() < 0.3)
+        remarks = f"<section class=comments><h3>{n(1, 2)}</h3><p>{n(5, 30, 60)}</p><p>{n(1, 4, 12)}</p></section>" * (r.random() < 0.4)
+        main = r.choice(("<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>", "<main><article>{}</article></main>"))
+        inside = article + (ad if r.random() < 0.2 else "") + (remarks if r.random() < 0.5 else "")
+        out.append(notice + header + nav + ad * (r.random() < 0.7) + main.format(inside) + side + remarks + form + foot * (r.random() < 0.7))
+    return out
+
+
+def unnamed(page: str) -> str:
+    """The page with div in place of telling elements, without classes, ids and roles."""
+    page = re.sub(r"<(/?)(?:nav|article|aside|main|header|footer|section|form|label)\b", r"<\1div", page)
+    return re.sub(r"""\s(?:class|id|role|itemprop)=(?:"[^"]*"|'[^']*'|[^\s>]+)""", "", page)
 
 
 @dataclass
@@ -208,7 +307,7 @@ class Tree:
 
     nodes: list[tuple] = field(default_factory=list)  # feature or -1, limit, left, right, keep
 
-    def fit(self, x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Tree:
+    def fit(self, x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 6) -> Tree:
         self.nodes = []
         self._grow(x, y, depth, least)
         return self
