@@ -7,6 +7,8 @@ to the digests of known licence texts, which go through the same expressions.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,8 +71,12 @@ Permission is granted to anyone to use this software for any purpose, including
 
 3. This notice may not be removed or altered from any source distribution."""
 
+#: Whole licence texts, a file for each, named by its identifier.
+TEXTS = Path(__file__).parent / "licence_texts"
+
 #: Known texts: (licence, text). Short notices are texts too.
 KNOWN = [
+    *((f.stem, f.read_text(encoding="utf-8")) for f in sorted(TEXTS.glob("*.txt"))),
     ("MIT", "MIT License\n\n" + _MIT),
     ("MIT", "The MIT License (MIT)\n\n" + _MIT),
     ("MIT", _MIT),
@@ -100,6 +106,8 @@ _WIDE = r"\x{2010}-\x{2033}\x{2212}«»´·"
 #: step changes nothing, or none, pattern, replacement).
 STEPS = [
     (("copyright", "©", "(c)"), r"(?m)^[ \t/*#;!-]*(?:portions )?(?:copyright|©|\(c\))[^\n]*[0-9]{4}[^\n]*$", " "),
+    # without a year only behind a mark that opens no list entry, as (c) may
+    (("copyright", "©"), r"(?m)^[ \t/*#;!-]*(?:portions )?(?:copyright[ \t]+(?:©|\(c\)|[<\[{])|©)[^\n]*$", " "),
     (("all rights reserved",), r"(?m)^[ \t/*#;!-]*all rights reserved\.?[ \t\r]*$", " "),
     ((), r"(?m)^[ \t/*#;!-]*(?:\(?[0-9a-z]{1,2}[.)]|[•·])[ \t]+", " "),
     (("©",), "©", " (c) "),
