@@ -210,17 +210,18 @@ def verdict(rules: list[Rule]) -> Column:
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = 12_000, label: str = "quality") -> list[Rule]:
     """Learn from at most ``sample`` labelled documents, those with the least hash of their id;
-    0 marks a reject. Rows with a null id, label or text teach nothing; of a repeated
-    document or label one row does."""
-    few = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    0 marks a reject. Rows with a null id, label or text teach nothing; of a document with several labels
+    the least counts, of one with several texts that with the least statistics. Rows are learnt
+    from in the order of the hash, so neither their order nor a pattern in the ids decides anything."""
+    few = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("label")).withColumn("hash", F.xxhash64("doc_id")).orderBy("hash", "doc_id").limit(sample)
     texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    got = statistics(texts.join(F.broadcast(few), "doc_id"), "text", ("doc_id", "label")).select("doc_id", "label", base_failed().alias("base"), *(F.expr(e).cast("double").alias(n) for n, e in RATIOS.items()))
-    rows = {r["doc_id"]: r for r in got.collect()}
-    rows = [rows[k] for k in sorted(rows) if not rows[k]["base"]]  # base rules go first anyway
+    counted = statistics(texts.join(F.broadcast(few), "doc_id"), "text", ("doc_id", "label", "hash"))
+    ratios = F.struct(base_failed().alias("base"), *(F.expr(e).cast("double").alias(n) for n, e in RATIOS.items()))
+    rows = counted.groupBy("hash", "doc_id", "label").agg(F.min(ratios).alias("x")).where("not x.base").collect()  # base rules go first anyway
+    rows.sort(key=lambda r: (r["hash"], r["doc_id"]))
     if not rows:
         return []
-    x = np.array([[r[n] for n in RATIOS] for r in rows], float)
-    return learn(x, np.array([r["label"] == 0 for r in rows]))
+    return learn(np.array([[r["x"][n] for n in RATIOS] for r in rows], float), np.array([r["label"] == 0 for r in rows]))
 
 
 def apply(df: DataFrame, rules: list[Rule], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
