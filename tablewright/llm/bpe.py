@@ -5,7 +5,8 @@ passages equal chunks wherever they stand. A chunk that a worker has met before,
 in whatever document, isn't encoded again. What a cut does to the tokens near it is
 repaired: the text around each join, one piece wider on either side than what is
 kept, goes through the tokenizer again, and the join counts as repaired once the
-tokens at both rims agree with what stands there; until then it's widened.
+tokens at both rims agree with what stands there; until then the chunks beside it
+become one and are encoded anew.
 
 Why that is exact: white space after a character that is none always begins a new
 pre-token, whatever stands before or after. Such places ("rims") split a text into
@@ -71,6 +72,7 @@ def _whole(data: bytes, p: int) -> int:
 
 class Coder:
     """Texts to ids (little-endian unsigned 32-bit) and back; one for each worker and tokenizer file.
+    The vocabulary stays with the worker; ``forget`` empties the stores, which tasks do when they end.
 
     Pieces not met before go to the library itself (engine "library"), or to a second
     encoder with the same vocabulary that is quicker on short strings (engine "ranks");
@@ -86,7 +88,7 @@ class Coder:
             cls._made[path, engine] = cls(path, engine)
         return cls._made[path, engine]
 
-    def __init__(self, path: str, engine: str = "ranks", piece_bytes: int = 128 << 20, chunk_bytes: int = 48 << 20) -> None:
+    def __init__(self, path: str, engine: str = "ranks", piece_bytes: int = 32 << 20, chunk_bytes: int = 16 << 20) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -110,6 +112,11 @@ class Coder:
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.ranks = _by_ranks(self.library, self.bytes_of) if engine == "ranks" else None
 
+    def forget(self) -> None:
+        for store in self.most:
+            getattr(self, store).clear()
+        self.held = dict.fromkeys(self.most, 0)
+
     def _keep(self, store: str, key, value, size: int) -> None:
         if self.held[store] + size > self.most[store]:
             getattr(self, store).clear()
@@ -208,41 +215,65 @@ class Coder:
             local[c] = (head, first, ids, last, tail)
             self._keep("chunks", c, local[c], 400 + 2 * len(c) + len(ids))
         self.encoded_chunks += len(new)
-        plans: list[list] = []
-        for text, chunks in zip(texts, split, strict=True):
-            plan, open_text, before = [], "", ""
-            if chunks is None:
-                plans.append([self.by_library([text])[0]])
-                continue
-            for c in chunks:
-                got = local.get(c)
-                if got is None:  # too few rims: part of the join
-                    open_text += c.decode("utf-8", "surrogatepass")
-                else:
-                    head, first, ids, last, tail = got
-                    plan += [(before, open_text + head, first), ids]
-                    before, open_text = last, tail
-            plan.append((before, open_text, ""))
-            plans.append(plan)
-        self._repair({x for plan in plans for x in plan if isinstance(x, tuple)})
+        plans = [None if chunks is None else self._plan(chunks, local) for chunks in split]
+        now = self._repair({x for plan in plans if plan for x in plan if isinstance(x, tuple)})
         out = []
-        for text, plan in zip(texts, plans, strict=True):
-            parts = [self._now[x] if isinstance(x, tuple) else x for x in plan]
-            out.append(self.by_library([text or ""])[0] if None in parts else b"".join(parts))
+        for text, chunks, plan in zip(texts, split, plans, strict=True):
+            ids = self._joined(plan, now) if plan is not None else None
+            if ids is None:
+                ids = self.by_library([text])[0] if chunks is None else self._widened(chunks, local)
+            out.append(ids)
         return out
 
-    def _repair(self, joins: set[tuple[str, str, str]]) -> None:
+    def _plan(self, chunks: list[bytes], local: dict) -> list:
+        """Joins (before, middle, after) and the ids of what stands between them, in turn."""
+        plan, open_text, before = [], "", ""
+        for c in chunks:
+            got = local.get(c)
+            if got is None:  # too few rims: part of the join
+                open_text += c.decode("utf-8", "surrogatepass")
+            else:
+                head, first, ids, last, tail = got
+                plan += [(before, open_text + head, first), ids]
+                before, open_text = last, tail
+        return [*plan, (before, open_text, "")]
+
+    @staticmethod
+    def _joined(plan: list, now: dict) -> bytes | None:
+        parts = [now[x] if isinstance(x, tuple) else x for x in plan]
+        return None if None in parts else b"".join(parts)
+
+    def _widened(self, chunks: list[bytes], local: dict) -> bytes:
+        """Ids of a text whose joins don't all agree: the chunks beside a join that doesn't become
+        one, which is encoded anew, until all joins agree or the text is a single chunk."""
+        chunks, local = list(chunks), dict(local)
+        while len(chunks) > 1:
+            plan = self._plan(chunks, local)
+            now = self._repair({x for x in plan if isinstance(x, tuple)})
+            if (ids := self._joined(plan, now)) is not None:
+                return ids
+            bad = next(i for i, x in enumerate(plan[::2]) if now[x] is None)
+            whole = [i for i, c in enumerate(chunks) if local.get(c) is not None]  # a join for each, and one at the end
+            at = max(1, whole[bad] if bad < len(whole) else len(chunks) - 1)
+            chunks[at - 1 : at + 1] = [chunks[at - 1] + chunks[at]]
+            ends = _ends(chunks[at - 1].decode("utf-8", "surrogatepass"))
+            local[chunks[at - 1]] = ends and (ends[0], ends[1], self.raw([ends[2]])[0], ends[3], ends[4])
+        return self.by_library([b"".join(chunks).decode("utf-8", "surrogatepass")])[0]
+
+    def _repair(self, joins: set[tuple[str, str, str]]) -> dict[tuple, bytes | None]:
         """Ids of before + middle + after for each join, where the library's ids of the whole
-        begin with those of ``before`` and end with those of ``after``; None where they don't."""
-        self._now = {x: self.joins[k] for x in joins if (k := "\0".join(x)) in self.joins}
-        todo = [x for x in joins if x not in self._now]
+        begin with those of ``before`` and end with those of ``after``; None where they don't.
+        A join's ids hold its rims', which the chunks' own leave out."""
+        now = {x: self.joins[k] for x in joins if (k := "\0".join(x)) in self.joins}
+        todo = [x for x in joins if x not in now]
         rims = [[p] if p else [] for x in todo for p in (x[0], x[2])]
         rim_ids = self.by_pieces(rims)
         for i, (x, ids) in enumerate(zip(todo, self.raw(["".join(x) for x in todo]) if todo else [], strict=True)):
             agree = ids.startswith(rim_ids[2 * i]) and ids.endswith(rim_ids[2 * i + 1])
-            self._now[x] = ids if agree else None
+            now[x] = ids if agree else None
             if len(ids) < 2000:
-                self._keep("joins", "\0".join(x), self._now[x], 300 + 2 * sum(map(len, x)) + len(ids))
+                self._keep("joins", "\0".join(x), now[x], 300 + 2 * sum(map(len, x)) + len(ids))
+        return now
 
     def decode(self, ids: bytes) -> str:
         """As the library's decode(ids, skip_special_tokens=False)."""
@@ -303,6 +334,7 @@ def round_trip(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
                         texts.append(decoded)
             return [ids_of, n, ids_sha, text_sha, *([kept, texts] if with_ids else [])]
 
+        work.end = coder.forget
         return work
 
     schema = f"`{doc_id}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids

@@ -9,8 +9,9 @@ would reach beyond either end fall to the length bound; the second-rarest word h
 stand at its own offset (positional bound); what remains is compared word for word.
 
 The window table goes to the tasks as a broadcast of at most ``block_bytes`` of window
-text; a larger benchmark is taken in blocks of that size, each against all
-documents, and the blocks' hits are merged for each document.
+text and 200 bytes of bookkeeping for each window (in a worker some four times that, as Python's
+tuples and dicts); a larger benchmark, or a larger item, is taken in blocks of that size, each
+against all documents, and the blocks' hits are merged for each document.
 """
 
 from __future__ import annotations
@@ -88,17 +89,17 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, width: int, block_byt
     for row in benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null").toLocalIterator():
         for w in windows_of(words_of(row["t"]), width):
             if w not in block:
+                if size >= block_bytes:
+                    yield block
+                    block, size = {}, 0
                 block[w] = set()
                 size += sum(map(len, w)) + 200
             block[w].add(row["i"])
-        if size >= block_bytes:
-            yield block
-            block, size = {}, 0
     if block:
         yield block
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, block_bytes: int = 48 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and spans (from, to in words).
 
     Null texts have no words and null item ids no windows; rows with null or repeated ids are
@@ -108,9 +109,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     spark: SparkSession = docs.sparkSession
     kind = dict(docs.dtypes)[doc_id]
     plain = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    schema = f"_id {kind}, n_words bigint, spans array<array<int>>, items array<string>"
+    found_schema = f"_id {kind}, n_words bigint, spans array<array<int>>, items array<string>"
+    schema = f"`{doc_id}` {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<array<int>>"
 
-    def against(windows: dict, keyed: DataFrame, lead: str = "") -> DataFrame:
+    def digest(n: list, spans: list, items: list) -> list[list]:
+        hit = [sum(b - a for a, b in s) for s in spans]
+        return [n, hit, list(map(len, items)), [hashlib.sha256(",".join(i).encode()).hexdigest() for i in items], [h > 0 for h in hit], spans]
+
+    def against(windows: dict, keyed: DataFrame, out: str, final: bool) -> DataFrame:
         vocabulary = spark.sparkContext.broadcast(frozenset(x for w in windows for x in w))
         index = spark.sparkContext.broadcast(index_of(windows, rarity(plain, vocabulary, "_text") if windows else {}))
 
@@ -125,36 +131,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                     n.append(len(words))
                     spans.append(_merged(s))
                     items.append(sorted(i))
-                return [*columns[:-1], n, spans, items]
+                return [*columns[:-1], *(digest(n, spans, items) if final else (n, spans, items))]
 
             return work
 
-        return map_rows(keyed, lead + schema, make)
+        return map_rows(keyed, out, make)
 
     blocks = _blocks(benchmark, item_id, item_text, width, block_bytes)
     first, second = next(blocks, {}), next(blocks, None)
     if second is None:
-        found = against(first, plain)
-    else:
-        # rows get a number to merge by; cut, as it must be the same for every block
-        keyed = cut(plain.select(F.monotonically_increasing_id().alias("_row"), "_id", "_text"))
-        parts = None
-        for b in (first, second, *blocks):
-            part = cut(against(b, keyed, "_row bigint, "))
-            parts = part if parts is None else parts.union(part)
-        found = parts.groupBy("_row").agg(F.first("_id").alias("_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")).drop("_row")
+        return against(first, plain, schema, True)
+    # rows get a number to merge by; cut, as it must be the same for every block
+    keyed = cut(plain.select(F.monotonically_increasing_id().alias("_row"), "_id", "_text"))
+    parts = None
+    for b in (first, second, *blocks):
+        part = cut(against(b, keyed, "_row bigint, " + found_schema, False))
+        parts = part if parts is None else parts.union(part)
+    found = parts.groupBy("_row").agg(F.first("_id").alias("_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")).drop("_row")
 
     def finish():
         def work(columns):
             ids, n, spans, items = columns
-            spans = [_merged([tuple(x) for x in s or []]) for s in spans]
-            hit = [sum(b - a for a, b in s) for s in spans]
-            items = [sorted(set(i or [])) for i in items]
-            return [ids, n, hit, list(map(len, items)), [hashlib.sha256(",".join(i).encode()).hexdigest() for i in items], [h > 0 for h in hit], spans]
+            return [ids, *digest(n, [_merged([tuple(x) for x in s or []]) for s in spans], [sorted(set(i or [])) for i in items])]
 
         return work
 
-    return map_rows(found, f"`{doc_id}` {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<array<int>>", finish)
+    return map_rows(found, schema, finish)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
