@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import cut, new_folder, open_fs
+from tablewright.llm.common import bound_batches, cut, new_folder, open_fs
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 STEP = 1 << 16
+SALTS = 16
 
 
 def digest(data: bytes) -> str:
@@ -116,17 +117,25 @@ def records(stream) -> Iterator[Record]:
 def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 1000) -> DataFrame:
     """_id, _url, _html, _sha1 and _refers (null for responses). Of equal payloads of at least
     ``least_bytes`` the largest page_id is the response; rows that tie on it are all responses, as
-    are rows with a null id. What a digest has to send is one number for each task, and
-    only digests that occur twice go to the join, whose large groups Spark may split."""
+    are rows with a null id. What a digest has to send is one number for each task; only pages that may be
+    revisits are shuffled, and those of one digest go to several tasks."""
     full = pages.select(F.col(page_id).alias("_id"), F.col(url).alias("_url"), F.coalesce(F.col(html), F.lit("")).alias("_html"))
     full = full.withColumn("_sha1", F.sha1(F.col("_html").cast("binary")))
-    large = F.octet_length("_html") >= least_bytes
-    last = full.where(large & F.col("_id").isNotNull()).groupBy("_sha1").agg(F.max("_id").alias("_last"), F.min("_id").alias("_first")).where("_first < _last").select("_sha1", "_last")
-    return full.join(last, "_sha1", "left").select("_id", "_url", "_html", "_sha1", F.when(large & (F.col("_id") < F.col("_last")), F.col("_last")).alias("_refers"))
+    may_revisit = (F.octet_length("_html") >= least_bytes) & F.col("_id").isNotNull()
+    last = full.where(may_revisit).groupBy("_sha1").agg(F.max("_id").alias("_last"), F.min("_id").alias("_first")).where("_first < _last").select("_sha1", "_last")
+    # pages of one digest are dealt to SALTS tasks, to each of which the digest's one row goes
+    last = last.select("_sha1", "_last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    large = full.where(may_revisit).withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(last, ["_sha1", "_salt"], "left")
+    columns = ("_id", "_url", "_html", "_sha1")
+    decided = large.select(*columns, F.when(F.col("_id") < F.col("_last"), F.col("_last")).alias("_refers"))
+    # small payloads, the empty one above all, are never revisits and stay where they are
+    return decided.unionByName(full.where(~may_revisit).select(*columns, F.lit(None).cast(dict(full.dtypes)["_id"]).alias("_refers")))
 
 
 def write(decided: DataFrame, folder: str) -> DataFrame:
     """Archives of the rows of ``with_revisits``; the manifest (path, n) of those that count."""
+    bound_batches(decided.sparkSession)
+
     def run(batches):
         fs, at = open_fs(folder)
         fs.create_dir(at, recursive=True)
