@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm import rangecoder
 from tablewright.llm.bpe import Coder
-from tablewright.llm.common import cut, map_rows, new_folder, open_fs
+from tablewright.llm.common import bound_batches, cut, map_rows, new_folder, open_fs, release
 
 
 def pack(doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -52,8 +52,10 @@ def unpack(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
 def write_coded(df: DataFrame, tokenizer: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", file_ids: int = 4 << 20, folder: str | None = None) -> DataFrame:
     """The manifest (part, seq, path, n_docs, n_ids) of the files that count. Documents are in ascending
-    order of id, nulls first; rows that share an id are ordered by text, null texts (empty) first."""
+    order of id, nulls first; rows that share an id are ordered by text, null texts (empty) first. Ids must
+    cast to bigint."""
     folder = folder or new_folder(df.sparkSession, "tokens")
+    bound_batches(df.sparkSession)
 
     def run(batches):
         part, seq, coder = TaskContext.get().partitionId(), 0, Coder.of(tokenizer, "library")
@@ -82,6 +84,8 @@ def write_coded(df: DataFrame, tokenizer: str, end_id: int = 2, doc_id: str = "d
                         seq, docs, lengths, held, size = seq + 1, [], [], [], 0
         if docs:
             yield flush()
+        coder.forget()
+        release()
 
     rows = df.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text"))
     ordered = rows.repartitionByRange("_id").sortWithinPartitions("_id", "_text")
@@ -121,10 +125,17 @@ def read_coded(spark: SparkSession, manifest: DataFrame, with_ids: bool = False)
     return files.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
 
 
+#: Documents whose ids stand in one row of a flat file's manifest.
+RANKS = 4096
+
+
 def write_flat(df: DataFrame, tokenizer: str, separator: int | None = None, doc_id: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
-    """The manifest (path, n_bytes, doc_ids) of flat files, one for each task, documents in the
-    order in which the task got them. The separator is the first id beyond the vocabulary."""
+    """The manifest of flat files, one for each task, documents in the order in which the task got them:
+    (path, chunk, doc_ids) for each RANKS documents of a file and (path, n_bytes) for the file itself.
+    The separator is the first id beyond the vocabulary. Ids of documents must cast to bigint."""
     folder = folder or new_folder(df.sparkSession, "flat")
+    bound_batches(df.sparkSession)
+    schema = pa.schema([("path", pa.string()), ("n_bytes", pa.int64()), ("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64()))])
 
     def run(batches):
         coder = Coder.of(tokenizer)
@@ -132,23 +143,34 @@ def write_flat(df: DataFrame, tokenizer: str, separator: int | None = None, doc_
         kind = "<u2" if sep < 1 << 16 else "<u4"
         end = np.array([sep], kind).tobytes()
         fs, at = open_fs(folder)
-        path, out, docs, size = f"{at}/{uuid.uuid4().hex}.ids", None, [], 0
-        for batch in batches:
-            keys, texts = (c.to_pylist() for c in batch.columns)
-            for i in range(0, len(keys), 128):
-                if out is None:
-                    fs.create_dir(at, recursive=True)
-                    out = fs.open_output_stream(path, compression=None)
-                data = b"".join(x for ids in coder.encode(texts[i : i + 128]) for x in (np.frombuffer(ids, "<u4").astype(kind).tobytes(), end))
-                out.write(data)
-                size += len(data)
-            docs += keys
-        if out is not None:
-            out.close()
-            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{path.rpartition('/')[2]}"], "n_bytes": [size], "doc_ids": pa.array([docs], pa.list_(pa.int64()))})
+        name, out, docs, chunk, size = f"{uuid.uuid4().hex}.ids", None, [], 0, 0
+        path = f"{folder}/{name}"
+        row = lambda n_bytes, k, ids: pa.RecordBatch.from_pydict({"path": [path], "n_bytes": [n_bytes], "chunk": [k], "doc_ids": [ids]}, schema=schema)
+        try:
+            for batch in batches:
+                keys, texts = (c.to_pylist() for c in batch.columns)
+                for i in range(0, len(keys), 128):
+                    if out is None:
+                        fs.create_dir(at, recursive=True)
+                        out = fs.open_output_stream(f"{at}/{name}", compression=None)
+                    data = b"".join(x for ids in coder.encode(texts[i : i + 128]) for x in (np.frombuffer(ids, "<u4").astype(kind).tobytes(), end))
+                    out.write(data)
+                    size += len(data)
+                docs += keys
+                while len(docs) >= RANKS:
+                    yield row(None, chunk, docs[:RANKS])
+                    docs, chunk = docs[RANKS:], chunk + 1
+            if out is not None:
+                out.close()
+                if docs:
+                    yield row(None, chunk, docs)
+                yield row(size, None, None)
+        finally:
+            coder.forget()
+            release()
 
     rows = df.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text"))
-    return cut(rows.mapInArrow(run, "path string, n_bytes bigint, doc_ids array<bigint>"))
+    return cut(rows.mapInArrow(run, "path string, n_bytes bigint, chunk bigint, doc_ids array<bigint>"))
 
 
 def separators(files: DataFrame, separator: int, block_bytes: int = 8 << 20) -> DataFrame:
@@ -175,7 +197,8 @@ def separators(files: DataFrame, separator: int, block_bytes: int = 8 << 20) ->
 
 
 def counts(manifest: DataFrame, separator: int, block_bytes: int = 8 << 20) -> DataFrame:
-    """doc_id and n_tokens (without the separator) of each document of flat files.
+    """doc_id and n_tokens (without the separator) of each document of flat files; null ids stay null, repeated
+    ones are rows of their own, an empty or null text has 0.
 
     Each block says how many separators it has and where the last is; a running count and a
     running last position over the blocks of a file (a prefix scan) tell each block which
@@ -185,9 +208,14 @@ def counts(manifest: DataFrame, separator: int, block_bytes: int = 8 << 20) -> D
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     scanned = found.select(
         "path", "positions",
-        F.coalesce(F.sum(F.size("positions")).over(before), F.lit(0)).cast("int").alias("rank"),
+        F.coalesce(F.sum(F.size("positions")).over(before), F.lit(0)).cast("bigint").alias("rank"),
         F.coalesce(F.last(F.element_at(F.when(F.size("positions") > 0, F.col("positions")), -1), ignorenulls=True).over(before), F.lit(-1)).alias("carry"),
     ).where(F.size("positions") > 0)
     ends = F.transform("positions", lambda p, i: p - F.coalesce(F.get("positions", i - 1), F.col("carry")) - 1)
-    mine = scanned.join(manifest.select("path", "doc_ids"), "path").select(F.slice("doc_ids", F.col("rank") + 1, F.size("positions")).alias("doc_id"), ends.alias("n_tokens"))
+    scanned = scanned.select("path", "rank", ends.alias("ends"))
+    # a block's documents, cut where chunks of document ids are, so that either side of the join is read once
+    chunks = F.sequence(F.expr(f"rank div {RANKS}"), F.expr(f"(rank + size(ends) - 1) div {RANKS}"))
+    cuts = scanned.select("path", "rank", "ends", F.explode(chunks).alias("chunk")).select("path", "chunk", F.greatest(F.col("rank"), F.col("chunk") * RANKS).alias("first"), "rank", "ends")
+    cuts = cuts.select("path", "chunk", (F.col("first") - F.col("chunk") * RANKS).cast("int").alias("at"), F.slice("ends", (F.col("first") - F.col("rank") + 1).cast("int"), ((F.col("chunk") + 1) * RANKS - F.col("first")).cast("int")).alias("n_tokens"))
+    mine = cuts.join(manifest.where("chunk is not null").select("path", "chunk", "doc_ids"), ["path", "chunk"]).select(F.slice("doc_ids", F.col("at") + 1, F.size("n_tokens")).alias("doc_id"), "n_tokens")
     return mine.select(F.explode(F.arrays_zip("doc_id", "n_tokens")).alias("x")).select("x.doc_id", "x.n_tokens")
