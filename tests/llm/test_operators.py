@@ -4,11 +4,13 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright.llm import bpe, decontaminate, html, licenses, quality, rangecoder, registry, simhash, tokenfiles, toxicity, warc
 
@@ -56,6 +58,23 @@ def test_chunks_are_shared_and_joins_repaired(library, engine):
         assert coder.decode(np.array(ids, "<u4").tobytes()) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_joins_that_do_not_agree_are_widened(library, monkeypatch):
+    """Joins made to disagree until they reach over three chunks still give the library's ids."""
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["stone", "river", "don't", "12", "é,", "x"]) for _ in range(n)) for n in (5, 900, 4000)]
+    coder, repair, asked = bpe.Coder(PATH), bpe.Coder._repair, []
+
+    def fussy(self, joins):
+        asked.append(len(joins))
+        return {x: ids if len(asked) > 4 else None for x, ids in repair(self, joins).items()}
+
+    monkeypatch.setattr(bpe.Coder, "_repair", fussy)
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == [ids_of(library, t) for t in texts]
+    assert len(asked) > 4
+    coder.forget()
+    assert not coder.pieces and not coder.chunks and not coder.joins and not any(coder.held.values())
+
+
 def test_simhash_equals_brute_force(docs, rows, empty):
     want = simhash.brute_force([(10**6 if i is None else i, t) for i, t in rows])
     got = Counter((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect())
@@ -134,11 +153,11 @@ def test_quality_rules_learn_the_planted_condition(spark):
     assert quality.fit(d, lab.limit(0)) == [] and quality.fit(d.limit(0), lab) == []
 
 
-def toxic_table(spark):
+def toxic_table(spark, size=1500):
     r = random.Random(4)
     bad = ["idiot", "moron", "scum", "1d1ot"]
     docs, labels = [], []
-    for i in range(1500):
+    for i in range(size):
         w = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 6))) for _ in range(r.randrange(5, 60))]
         if toxic := i % 6 == 0:
             for _ in range(3):
@@ -155,8 +174,6 @@ def test_toxicity_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
     assert sum(r.predicted == int(r.doc_id % 6 == 0) for r in rows) >= 0.97 * len(rows)
     # held-out labels change nothing
-    from pyspark.sql import functions as F
-
     from tablewright.llm.common import held_out
 
     other = labels.withColumn("toxic", F.when(held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")).cast("int"))
@@ -173,6 +190,67 @@ def test_toxicity_edges(spark, docs, rows, empty):
     assert toxicity.fit(empty, labels).prior == 0
 
 
+@pytest.mark.parametrize("size", [300, 1500, 5000])
+def test_toxicity_is_fitted_alike_at_every_size(spark, size):
+    docs, labels = toxic_table(spark, size)
+    model = toxicity.fit(docs, labels)
+    assert model.trees.trees and len(model.knots[0]) >= 2 and model.strong
+    held = [r for r in toxicity.score(docs, model).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    hit = sum(r.predicted and r.doc_id % 6 == 0 for r in held)
+    assert hit >= 0.9 * sum(r.doc_id % 6 == 0 for r in held) and hit >= 0.9 * sum(r.predicted for r in held)
+    # the order of rows, and rows that repeat, decide nothing
+    again = toxicity.fit(docs.union(docs).orderBy(F.desc("doc_id")).repartition(3), labels.union(labels).orderBy(F.rand(1)))
+    assert (again.strong, again.weak, again.knots, again.trees) == (model.strong, model.weak, model.knots, model.trees)
+
+
+def test_toxic_words_anywhere_in_a_long_text_teach(spark):
+    filler = " ".join(["plain"] * 30_000)
+    docs = [(i, f"{filler} {'vile rude' if i % 2 else 'kind good'} {filler}") for i in range(80)]
+    docs, labels = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert "vile" in model.strong | model.weak
+    assert all(r.predicted == r.doc_id % 2 for r in toxicity.score(docs, model).collect())
+
+
+def features_twin(text, strong, weak):
+    """A direct reading of the features' definitions, word by word."""
+    words = (text or "").split()
+    if not words:
+        return [0.0] * len(toxicity.FEATURES)
+    low, hidden = zip(*map(toxicity.folded, words), strict=True)
+    grade = [max([0, *(2 for t in strong if w == t or (t[-1] == "*" and w.startswith(t[:-1]) and len(t) > toxicity.SHORTEST)), *(1 for t in weak if w == t or (t[-1] == "*" and w.startswith(t[:-1]) and len(t) > toxicity.SHORTEST))]) for w in low]
+    second = [w in toxicity.SECOND_PERSON for w in low]
+    n, at = len(words), [i for i, g in enumerate(grade) if g == 2]
+    near = sum(any(second[j] for j in range(max(0, i - toxicity.NEAR), min(n, i + toxicity.NEAR + 1)) if j != i) for i in at)
+    most = max((sum(i <= j < i + 50 for j in at) for i in at), default=0)
+    marks = sum(c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for c in text)
+    letters = max(1, len(text) - text.count(" ") - marks)
+    bangs = text.count("!") + text.count("?")
+    weak_n = grade.count(1)
+    return [len(at) / n, weak_n / n, np.log1p(len(at)), np.log1p(weak_n), most / min(n, 50), near / n, sum(second) / n, sum("A" <= c <= "Z" for c in text) / letters, sum(w.isupper() and len(x) > 1 for w, x in zip(words, low, strict=True)) / n, marks / len(text), bangs / len(text), sum(hidden) / n, sum(h and g > 0 for h, g in zip(hidden, grade, strict=True)) / n, np.log1p(n)]
+
+
+def test_toxicity_features_equal_a_twin(texts):
+    strong, weak = frozenset(["idiot", "thet*"]), frozenset(["iota", "gamm*"])
+    for t in [*texts, "You IDIOT!! id1ot 1diot, y0u are an idiot; iota you", "idiot " * 120]:
+        got = toxicity.features_of(t, toxicity._Words(strong, weak))
+        assert np.allclose(got, features_twin(t, strong, weak)), t
+
+
+def test_isotonic_equals_a_twin():
+    """Each value of the least-squares non-decreasing fit is the greatest, over starts at or before it, of the
+    least mean, over ends at or after it."""
+    r = np.random.RandomState(8)
+    for n in (1, 2, 7, 60):
+        m, y = r.randint(0, 25, n).astype(float), r.randint(0, 2, n).astype(float)
+        xs, ys = toxicity.isotonic(m, y)
+        values = sorted(set(m))
+        mean = lambda a, b: y[(m >= a) & (m <= b)].mean()  # noqa: B023, E731
+        for v in values:
+            want = max(min(mean(a, b) for b in values if b >= v) for a in values if a <= v)
+            assert abs(np.interp(v, xs, ys) - want) < 1e-9
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(0)
     m = rng.normal(size=300).round(1)
@@ -274,17 +352,59 @@ def test_html(spark):
 
 def test_html_labelled_table_is_learnt():
     tree = html.trained()
-    for page in html.labelled_pages():
-        blocks = html.blocks_of(page)
-        assert tree.keeps(html.describe(blocks)) == [b.keep for b in blocks]
+    for seed in (11, 99):  # its own pages and others by the same rule
+        wrong, blocks_seen = [0, 0], [0, 0]
+        for k, page in enumerate(html.labelled_pages(seed=seed)):
+            blocks = html.blocks_of(page)
+            wrong[k % 2] += sum(x != b.keep for x, b in zip(tree.keeps(html.describe(blocks)), blocks, strict=True))
+            blocks_seen[k % 2] += len(blocks)
+        assert wrong[0] == 0 and wrong[1] < 0.02 * blocks_seen[1]
+    used = {html.FEATURES[n[0]] for n in tree.nodes if n[0] >= 0}
+    assert {"words", "link_density", "words_after", "link_density_before"} <= used
+
+
+def test_html_without_names():
+    """Where no tag, class or id says what is main text, words and links of a block and its neighbours do."""
+    tree = html.trained()
+    nav = "<nav>" + "".join(f"<li><a href=/{i}>item {i}</a></li>" for i in range(6)) + "</nav>"
+    prose = "".join(f"<p>{'some words of prose ' * n}</p>" for n in (9, 2, 1, 14))
+    page = f"<html><body>{nav}<div class=ad>buy this now here.</div><article><h1>The head line</h1>{prose}</article><footer>&copy; a site of ours</footer></body></html>"
+    assert html.main_text(html.unnamed(page), tree) == html.main_text(page, tree) == "\n".join(["The head line", *(" ".join(["some words of prose"] * n) for n in (9, 2, 1, 14))])
+
+
+def test_html_reads_in_linear_time():
+    tree = html.trained()
+    bad = ["<p>a</p><a " + "\"'" * 10_000 + "<b>", "<a " * 50_000, '<a b="' * 30_000, "<a b='>" * 30_000, "<b> </b>" * 20_000, "<div>x" * 20_000, "<div>" * 3000 + "</span>" * 20_000, "<script>" * 20_000, "<" * 100_000, "<!--" * 50_000, "&#" * 50_000]
+    for page in bad:
+        began = time.process_time()
+        html.main_text(page, tree)
+        assert time.process_time() - began < 2
+    began = time.process_time()
+    assert html.main_text(bad[0], tree) == "a"
+    assert time.process_time() - began < 1
+    loop = '<script>for(i=0;i<n;i++){s+="a"}</script><div class="main"><p>Text that stays</p></div>'
+    assert html.main_text(loop, tree) == "Text that stays"
+    assert html.main_text('<article><p title="a > b">one < two</p><p>x<!-- > --> y</p></article>', tree) == "one < two\nx y"
+
+
+def test_whole_licence_texts(spark):
+    """Planted copies: as they are, in capitals under another holder's lines, wrapped anew; a cut one matches nothing."""
+    texts = {k: t for k, t in licenses.KNOWN if len(t) > 5000}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0"} <= set(texts)
+    rows = []
+    for k, t in sorted(texts.items()):
+        rows += [(k, t), (k, "Copyright (c) Jane Doe\n\n" + t.upper() + "\n\n"), (k, "© Someone\n" + re.sub(r"[ \t]+", "  ", t)), (None, t[: len(t) // 2])]
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.license_id for r in got} == dict(enumerate(k for k, _ in rows))
 
 
 def test_licenses(spark, docs, rows, empty):
-    mit = licenses.KNOWN[0][1]
+    mit = next(t for k, t in licenses.KNOWN if k == "MIT")
+    zlib_text = next(t for k, t in licenses.KNOWN if k == "Zlib")
     changed = "Copyright (c) 2021 Someone\n" + mit.upper().replace('"SOFTWARE"', "“SOFTWARE”").replace("COPYRIGHT HOLDERS", "Copyright Owners") + "\n"
-    df = spark.createDataFrame([(1, mit), (2, changed), (3, mit + " and more"), (4, None), (5, ""), (None, mit), (1, licenses.KNOWN[13][1])], "doc_id bigint, text string")
+    df = spark.createDataFrame([(1, mit), (2, changed), (3, mit + " and more"), (4, None), (5, ""), (None, mit), (1, zlib_text)], "doc_id bigint, text string")
     got = sorted(((r.doc_id, r.license_id) for r in licenses.scan(df).collect()), key=key)
-    assert got == sorted([(1, "MIT"), (2, "MIT"), (3, None), (4, None), (5, None), (None, "MIT"), (1, licenses.KNOWN[13][0])], key=key)
+    assert got == sorted([(1, "MIT"), (2, "MIT"), (3, None), (4, None), (5, None), (None, "MIT"), (1, "Zlib")], key=key)
     assert licenses.scan(docs).count() == len(rows) and licenses.scan(empty).count() == 0
 
 
