@@ -112,53 +112,68 @@ def table_text(cells: DataFrame) -> DataFrame:
     return full.groupBy(*TABLE).agg(F.array_join(F.transform(parts, lambda x: x["v"]), " ").alias("text"))
 
 
-def text_doc(cells: DataFrame, caption: Column | None = None, most: int = 300) -> DataFrame:
-    """What recall compares: distinct label-like cells (two ideographs or more without digits and punctuation)."""
+def text_doc(cells: DataFrame, captions: DataFrame | None = None, most: int = 300) -> DataFrame:
+    """What recall compares: the table's caption, where ``captions`` (TABLE, caption) has one, and its distinct
+    label-like cells (two ideographs or more without digits and punctuation)."""
     label = F.regexp_replace("v", r"[0-9.,%，。、()（）\-—:：\s年]", "")
     full = cells.withColumn("label", label).where(F.regexp_count("label", F.lit(r"[\x{4E00}-\x{9FFF}]")) >= 2)
     first = full.groupBy(*TABLE, "label").agg(F.min(F.struct("r", "c")).alias("at"))
     parts = F.array_sort(F.collect_list(F.struct("at", "label")))
-    return first.groupBy(*TABLE).agg(F.substring(F.array_join(F.transform(parts, lambda x: x["label"]), " "), 1, most).alias("doc"))
+    docs = first.groupBy(*TABLE).agg(F.array_join(F.transform(parts, lambda x: x["label"]), " ").alias("doc"))
+    if captions is not None:
+        docs = docs.join(captions.select(*TABLE, "caption"), list(TABLE), "left").withColumn("doc", F.concat_ws(" ", F.nullif(F.trim("caption"), F.lit("")), "doc"))
+    return docs.select(*TABLE, F.substring("doc", 1, most).alias("doc"))
+
+
+def grid_rows(cells: DataFrame) -> DataFrame:
+    """One row for each grid row: ``row``, its cells in order without line breaks and outer space, '' for none."""
+    value = F.coalesce(T.strip(F.replace("v", F.lit("\n"), F.lit(""))), F.lit(""))
+    at = F.map_from_entries(F.collect_list(F.struct("c", value.alias("v"))))
+    rows = cells.groupBy(*TABLE, "r").agg(at.alias("at"), F.max("c").alias("last"))
+    return rows.select(*TABLE, "r", F.transform(F.sequence(F.lit(0), "last"), lambda i: F.coalesce(F.try_element_at("at", i), F.lit(""))).alias("row"))
 
 
 def marked_rows(cells: DataFrame) -> DataFrame:
-    """One row for each grid row: its cells by column (c0..c2), and the dimension whose marker it holds: exactly in
-    a cell, or at the end of a cell with six characters more at most if the row has no number."""
-    rows = cells.groupBy(*TABLE, "r").agg(*(F.max(F.when(F.col("c") == i, F.col("v"))).alias(f"c{i}") for i in range(3)), F.max(T.is_money(F.col("v"))).alias("has_money"))
-    cell = [F.coalesce(T.strip(F.col(f"c{i}")), F.lit("")) for i in range(3)]
+    """The grid's rows and the dimension whose marker each holds: exactly in a cell, or at the end of a
+    cell with six characters more at most if the row has no number."""
     exact = loose = None
     for marker, dim in DIMENSIONS.items():
-        e = (cell[0] == marker) | (cell[1] == marker) | (cell[2] == marker)
-        n = len(marker) + 6
-        s = None
-        for x in cell:
-            t = x.endswith(marker) & (F.length(x) <= n)
-            s = t if s is None else s | t
+        e = F.array_contains("row", marker)
+        s = F.exists("row", lambda x: x.endswith(marker) & (F.length(x) <= len(marker) + 6))  # noqa: B023
         exact = F.when(e, dim) if exact is None else exact.when(e, dim)
         loose = F.when(s, dim) if loose is None else loose.when(s, dim)
-    return rows.withColumn("marker", F.coalesce(exact, F.when(~F.coalesce("has_money", F.lit(False)), loose)))
+    return grid_rows(cells).withColumn("marker", F.coalesce(exact, F.when(~F.exists("row", T.is_money), loose)))
 
 
 def filled_dimension(rows: DataFrame, default: str = "segments") -> DataFrame:
-    """The dimension that holds for each row: that of the last marker, or the default before any."""
+    """The dimension that holds for each row, that of the last marker or the default before any; ``seg``
+    counts the markers so far; ``before_first`` where the table has markers, but none so far."""
     before = Window.partitionBy(*TABLE).orderBy("r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = F.last("marker", ignorenulls=True).over(before)
-    return rows.withColumn("dim", F.coalesce(last, F.lit(default))).withColumn("before_first", last.isNull())
-
-
-def row_items(rows: DataFrame) -> DataFrame:
-    """(name, amount) of data rows: marker rows, header names, totals and rows without an amount go, as does other
-    income before the first marker. A row of two cells or fewer with a space in its first splits there."""
-    filled = sum((F.coalesce(F.col(f"c{i}") != "", F.lit(False)).cast("int") for i in range(3)), F.lit(0))
-    parts = F.split(F.coalesce(T.strip(F.col("c0")), F.lit("")), " ")
-    split = (filled <= 2) & (F.size(parts) > 1) & ~T.is_money(F.col("c1"))
-    name = F.when(split, F.get(parts, F.lit(0))).otherwise(T.strip(F.col("c0")))
-    amount = F.when(split, F.get(F.filter(F.transform(F.slice(parts, 2, 99), T.parse_money), lambda x: x.isNotNull()), F.lit(0))).otherwise(T.parse_money(F.col("c1")))
-    r = rows.where(F.col("marker").isNull()).withColumn("name", name).withColumn("amount", amount)
-    heads = [w for words in ALIASES.values() for w in words]
-    keep = (F.col("name") != "") & F.col("amount").isNotNull() & (F.length("name") <= 120) & ~F.col("name").isin(*heads) & ~T.is_total(F.col("name"))
-    preamble = F.col("before_first") & F.col("name").isin("其他业务", "其他业务收入")
-    return r.where(keep & ~preamble).select(*TABLE, "r", "dim", "name", "amount")
+    any_marker = F.max(F.col("marker").isNotNull()).over(Window.partitionBy(*TABLE))
+    return rows.withColumns({"dim": F.coalesce(last, F.lit(default)), "before_first": last.isNull() & any_marker, "seg": F.count("marker").over(before)})
+
+
+def row_items(rows: DataFrame, empty: bool = False) -> DataFrame:
+    """(name, amount) of data rows, from the columns name_col and amount_col where ``rows`` has them, else from the
+    first two. A row of one or two filled cells is one text: its first word is the name, its first number the
+    amount. Names are cut at a double space and after 120 characters. Marker rows, header names, totals and
+    rows without an amount go (``empty`` keeps these), as does other income before the first marker."""
+    name_at, amount_at = (F.col(c) if c in rows.columns else F.lit(i) for i, c in enumerate(("name_col", "amount_col")))
+    filled = F.filter("row", lambda x: x != "")
+    words = F.filter(F.split(filled[0], " "), lambda x: x != "")
+    single = F.size(filled) <= 2
+    at_amount = F.coalesce(F.get("row", amount_at), F.lit(""))
+    name = F.when(single, F.get(words, F.lit(0))).otherwise(F.get("row", name_at))
+    number = F.get(F.filter(F.transform(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), T.parse_money), lambda x: x.isNotNull()), F.lit(0))
+    amount = F.when(single, number).otherwise(T.parse_money(F.when(~at_amount.contains("%"), at_amount)))
+    r = rows.where("marker is null").where(F.size(filled) > 0).withColumn("name", name).withColumn("amount", amount)
+    keep = F.coalesce((F.col("name") != "") & ~F.col("name").isin("项目", "项 目") & ~T.is_total(F.col("name")), F.lit(False))
+    preamble = F.col("before_first") & F.replace("name", F.lit(" "), F.lit("")).isin("其他业务", "其他业务收入")
+    if not empty:
+        keep &= F.col("amount").isNotNull()
+    short = F.substring(T.strip(F.split("name", "  ")[0]), 1, 120)
+    return r.where(keep & ~preamble).select(*TABLE, "r", "dim", "seg", short.alias("name"), "amount")
 
 
 def first_of_name(items: DataFrame) -> DataFrame:
@@ -168,21 +183,32 @@ def first_of_name(items: DataFrame) -> DataFrame:
 
 
 def without_children(items: DataFrame, slack: float = 1.02) -> DataFrame:
-    """Drops the rows of an 'of which' run: a name that begins with 其中 opens a run under the item before it, and rows stay
-    children while their sum is at most slack times the parent. One fold over the rows of a dimension."""
-    rows = items.groupBy(*TABLE, "dim").agg(F.array_sort(F.collect_list(F.struct("r", "name", "amount"))).alias("rows"))
-    struct = "struct<parent:double,open:boolean,cum:double,kept:array<struct<r:int,name:string,amount:double>>>"
+    """Drops the rows of 'of which' runs and repeated names. A name that begins with 其中 never stays. It opens a run
+    if it has an amount and the last row that stayed in the dimension has one that isn't 0: rows
+    after it go too while their sum with the first is at most slack times that amount. A row beyond it, and a new
+    marker (``seg``, if there is one), end the run. Rows without an amount go and change nothing else.
+    One fold over the rows of a dimension."""
+    seg = F.col("seg") if "seg" in items.columns else F.lit(0)
+    rows = items.groupBy(*TABLE, "dim").agg(F.array_sort(F.collect_list(F.struct("r", seg.cast("bigint").alias("seg"), "name", "amount"))).alias("rows"))
+    state = "struct<last:double,parent:double,cum:double,seg:bigint,names:array<string>,kept:array<struct<r:int,name:string,amount:double>>>"
 
     def step(a, x):
-        opens = x["name"].startswith("其中")
-        inside = (a["open"] | opens) & a["parent"].isNotNull()
-        cum = F.when(opens, F.lit(0.0)).otherwise(a["cum"]) + x["amount"]
-        child = inside & (cum <= a["parent"] * slack)
-        return F.when(child, F.struct(a["parent"].alias("parent"), F.lit(True).alias("open"), cum.alias("cum"), a["kept"].alias("kept"))).otherwise(
-            F.struct(x["amount"].alias("parent"), F.lit(False).alias("open"), F.lit(0.0).alias("cum"), F.array_append(a["kept"], x).alias("kept"))
+        opens, amount = x["name"].startswith("其中"), x["amount"]
+        parent = F.when(a["seg"] == x["seg"], a["parent"])  # of the run that is open here
+        to = lambda last, parent, cum, names, kept: F.struct(last.alias("last"), parent.cast("double").alias("parent"), cum.alias("cum"), x["seg"].alias("seg"), names.alias("names"), kept.alias("kept"))
+        begun = F.when((a["last"] != 0) & amount.isNotNull(), a["last"])
+        total = a["cum"] + amount
+        new = ~F.array_contains(a["names"], x["name"])
+        item = F.struct(x["r"].alias("r"), x["name"].alias("name"), amount.alias("amount"))
+        return (
+            F.when(opens, to(a["last"], begun, F.coalesce(amount, F.lit(0.0)), a["names"], a["kept"]))
+            .when(amount.isNull(), to(a["last"], parent, a["cum"], a["names"], a["kept"]))
+            .when(parent.isNotNull() & (total <= parent * slack), to(a["last"], parent, total, a["names"], a["kept"]))
+            .when(new, to(amount, F.lit(None), F.lit(0.0), F.array_append(a["names"], x["name"]), F.array_append(a["kept"], item)))
+            .otherwise(to(a["last"], F.lit(None), F.lit(0.0), a["names"], a["kept"]))
         )
 
-    start = F.expr(f"cast(named_struct('parent', null, 'open', false, 'cum', 0D, 'kept', array()) as {struct})")
+    start = F.expr(f"cast(named_struct('last', null, 'parent', null, 'cum', 0D, 'seg', 0L, 'names', array(), 'kept', array()) as {state})")
     return rows.select(*TABLE, "dim", F.explode(F.aggregate("rows", start, step, lambda a: a["kept"])).alias("x")).select(*TABLE, "x.r", "dim", "x.name", "x.amount")
 
 
@@ -219,13 +245,14 @@ def without_parents(items: DataFrame, low: float = 0.99, high: float = 1.01) ->
 
 def stitched(tables: DataFrame) -> DataFrame:
     """Chains of tables that go on across a gap or a page: one running sum over a break flag. ``tables`` has page, top,
-    bottom, page_h and cols; a table continues the one before it if widths agree and it begins within 35 points on the same
-    page, or at the top of the next page after one that ended at the bottom."""
+    bottom, page_h and cols; a table continues the chain before it if its width is that of the chain and it begins within
+    35 points of the last table on the same page, or at the top of the next page after one that ended at the
+    bottom. A chain's tables all have its head's width, so comparing with the last one is comparing with the head."""
     w = Window.partitionBy("code", "year").orderBy("page", "top", "table_id")
     prev = lambda c: F.lag(c).over(w)
     gap = F.col("top") - prev("bottom")
     same_page = (F.col("page") == prev("page")) & (gap >= 0) & (gap < 35)
-    next_page = (F.col("page") == prev("page") + 1) & (prev("bottom") >= prev("page_h") - 80) & (F.col("top") <= 130)
+    next_page = (F.col("page") == prev("page") + 1) & (prev("bottom") >= F.coalesce(prev("page_h"), F.lit(1e9)) - 80) & (F.col("top") <= 130)
     goes_on = F.coalesce((F.col("cols") == prev("cols")) & (F.col("cols") != 0) & (same_page | next_page), F.lit(False))
     return tables.withColumn("starts", (~goes_on).cast("int")).withColumn("chain", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 

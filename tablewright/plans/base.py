@@ -1,7 +1,8 @@
 """Bridge from the input tables to the disclosure model, and the decorator that registers queries.
 
 A bridge view is one SELECT that Spark SQL and DuckDB read alike (the few functions that
-differ are macros, see DIALECTS). Spark composes the views a query asks for into one plan; the
+differ are macros, see DIALECTS). In Spark the joined fact, its roll-ups and the grids are written
+once for each session (STORED), so that no query joins the fact table again; the
 oracle gets the same views as common table expressions, while the operator under test
 is written once as a DataFrame operator and once, independently, as SQL.
 
@@ -15,10 +16,13 @@ parsed breakdown of a report departs from its true one:
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablewright.session import dropped, shared_folder
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,15 +91,52 @@ def _needed(sql: str, names: dict[str, str]) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+#: Views that are written once for a session and a data directory, and read by all that follow: the joined
+#: fact and its roll-ups, which nearly every query needs, and the rendered grids.
+STORED = ("fact", "brk", "anchor", "costs", "rnd", "rnd_total", "emp", "emp_total", "reports", "cells", "field_cells", "table_meta")
+_paths: dict[tuple[str, str], dict[str, str]] = {}
+
+
+def _select(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The view's own SQL over the input tables and the stored views."""
+    own = {k: v for k, v in VIEWS.items() if k != name}
+    ctes, queue = {}, [VIEWS[name]]
+    while queue:
+        sql = queue.pop()
+        for n in own:
+            if n not in ctes and re.search(rf"\b{n}\b", sql):
+                ctes[n] = f"SELECT * FROM parquet.`{_stored(spark, sf_dir, n)}`" if n in STORED else _expand(VIEWS[n], True)
+                if n not in STORED:
+                    queue.append(VIEWS[n])
+    order = [n for n in _needed(VIEWS[name], own) if n in ctes]
+    body = ",\n".join(f"{n} AS ({ctes[n]})" for n in order) + ",\n" * bool(order) + f"{name} AS ({_expand(VIEWS[name], True)})"
+    tables = [t for t in TABLES if re.search(rf"\b{t}\b", re.sub(r"`[^`]*`", "", body))]
+    head = "".join(f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`),\n" for t in tables)
+    return spark.sql(f"WITH {head}{body}\nSELECT * FROM {name}")
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str) -> str:
+    paths = _paths.setdefault((spark.sparkContext.applicationId, sf_dir), {})
+    if name not in paths:
+        path = f"{shared_folder(spark)}/bridge-{uuid.uuid4().hex}-{name}"
+        _select(spark, sf_dir, name).write.parquet(path)
+        paths[name] = path
+    return paths[name]
+
+
+def forget(spark: SparkSession, sf_dir: str) -> None:
+    """Delete the stored views of a data directory, as after a change of its tables."""
+    for path in _paths.pop((spark.sparkContext.applicationId, sf_dir), {}).values():
+        dropped(spark, path)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A bridge view, or an input table, as one lazy plan."""
+    """An input table or a bridge view: a stored one from its files, any other as one lazy plan."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    ctes = [*_needed(VIEWS[name], {k: v for k, v in VIEWS.items() if k != name}), name]
-    body = ",\n".join(f"{n} AS ({_expand(VIEWS[n], True)})" for n in ctes)
-    tables = [t for t in TABLES if re.search(rf"\b{t}\b", body)]
-    head = "".join(f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`),\n" for t in tables)
-    return spark.sql(f"WITH {head}{body}\nSELECT * FROM {name}")
+    if name in STORED:
+        return spark.read.parquet(_stored(spark, sf_dir, name))
+    return _select(spark, sf_dir, name)
 
 
 def oracle(sql: str) -> str:
@@ -105,6 +146,8 @@ def oracle(sql: str) -> str:
     sql = _expand(sql.strip(), False)
     if not ctes:
         return sql
+    if sql.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {body},\n{sql[15:]}"
     return f"WITH {body},\n{sql[5:]}" if sql[:5].upper() == "WITH " else f"WITH {body}\n{sql}"
 
 

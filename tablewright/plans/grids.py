@@ -25,8 +25,15 @@ VIEWS["grid_rows"] = """
 VIEWS["cells"] = """
     SELECT code, year, k, table_id, r, c, CASE c WHEN 0 THEN c0 WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE c3 END AS v
     FROM grid_rows CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) n WHERE c < 3 OR table_id = 2"""
+#: Where each rendered table stands: its page, the section of the page, the lines above it.
+VIEWS["table_meta"] = """
+    SELECT code, year, table_id, CAST(10 * table_id + year % 5 AS INT) AS page, CASE WHEN (k + table_id) % 3 = 0 THEN 'other' WHEN table_id = 3 THEN 'gov' WHEN (k + year) % 2 = 0 THEN 'fuzhu' ELSE 'management' END AS section,
+      CASE WHEN k = 6 THEN '' WHEN table_id = 1 AND k % 2 = 0 THEN '（1）营业收入构成' WHEN table_id = 1 THEN '单位：元' WHEN table_id = 2 THEN '主营业务分产品情况 单位：元' ELSE '员工情况' END AS caption
+    FROM reports CROSS JOIN (SELECT 1 AS table_id UNION ALL SELECT 2 UNION ALL SELECT 3) t"""
 VIEWS["nested"] = """
-    SELECT code, year, 1 AS table_id, CAST(row_number() OVER (PARTITION BY code, year ORDER BY o) - 1 AS INT) AS r, 'segments' AS dim, name, amount FROM (
+    SELECT code, year, 1 AS table_id, CAST(row_number() OVER (PARTITION BY code, year ORDER BY o, name) - 1 AS INT) AS r, 'segments' AS dim, name, amount FROM (
+      SELECT code, year, 0 AS o, '其中：首' AS name, CAST(1 AS DOUBLE) AS amount FROM reports WHERE k = 1 UNION ALL SELECT code, year, 100000, concat('P', name), CAST(5 AS DOUBLE) FROM golden WHERE dim = 'segments' AND k = 2
+      UNION ALL SELECT code, year, 4, '其中：无', CAST(NULL AS DOUBLE) FROM reports WHERE k = 3 UNION ALL
       SELECT code, year, 3 * rn AS o, concat('P', name) AS name, CAST(amount AS DOUBLE) AS amount FROM (SELECT *, row_number() OVER (PARTITION BY code, year ORDER BY amount DESC, name) AS rn FROM golden WHERE dim = 'segments') a
       UNION ALL SELECT code, year, 3 * rn + 1, concat('其中：', name), CAST(amount AS DOUBLE) * 0.5 FROM (SELECT *, row_number() OVER (PARTITION BY code, year ORDER BY amount DESC, name) AS rn FROM golden WHERE dim = 'segments') b WHERE rn % 2 = 1
       UNION ALL SELECT code, year, 3 * rn + 2, concat('C', name), CAST(amount AS DOUBLE) * CASE WHEN rn % 3 = 0 THEN 0.75 ELSE 0.25 END FROM (SELECT *, row_number() OVER (PARTITION BY code, year ORDER BY amount DESC, name) AS rn FROM golden WHERE dim = 'segments') c WHERE rn % 2 = 1) n"""
@@ -135,6 +142,12 @@ def textdoc(load):
     return G.text_doc(load("cells"))
 
 
+@query("q_textdoc_caption", r"""WITH l AS (SELECT *, regexp_replace(v, '[0-9.,%，。、()（）\-—:：\s年]', '', 'g') AS label FROM cells), f AS (SELECT code, year, table_id, label, min((r, c)) AS pos FROM l WHERE len(regexp_extract_all(label, '[一-鿿]')) >= 2 GROUP BY ALL),
+d AS (SELECT code, year, table_id, string_agg(label, ' ' ORDER BY pos) AS doc FROM f GROUP BY ALL) SELECT code, year, table_id, substr(concat_ws(' ', nullif(trim(caption), ''), doc), 1, 300) AS doc FROM d LEFT JOIN table_meta USING (code, year, table_id)""")
+def textdoc_caption(load):
+    return G.text_doc(load("cells"), load("table_meta"))
+
+
 ROWS_SQL = "rw AS (SELECT code, year, k, table_id, r, c0, c1, c2, CASE WHEN ends_with(c0, '分行业') THEN 'industries' WHEN ends_with(c0, '分产品') THEN 'segments' WHEN ends_with(c0, '分地区') THEN 'regions' WHEN ends_with(c0, '销售模式') THEN 'by_channel' END AS marker FROM grid_rows WHERE table_id = 1)"
 
 
@@ -152,28 +165,54 @@ def dim_fill(load):
     return G.filled_dimension(_marked(load)).select(*G.TABLE, "r", "dim")
 
 
-ITEMS_SQL = "SELECT code, year, 1 AS table_id, dim, concat('类', name) AS name, CAST(amount AS DOUBLE) AS amount FROM golden"
+#: Rows of two filled cells (no shares, k = 5) are one text and give no amount.
+ITEMS_SQL = "SELECT code, year, 1 AS table_id, dim, concat('类', name) AS name, CAST(amount AS DOUBLE) AS amount FROM golden WHERE k <> 5"
+
+
+def _items(load):
+    """Names and amounts of table 1, from the columns that typing finds."""
+    cells = load("cells").where("table_id = 1")
+    rows = G.filled_dimension(G.marked_rows(cells)).join(G.column_types(cells), list(G.TABLE))
+    return G.row_items(rows).drop("seg")
 
 
 @query("q_row_items", ITEMS_SQL)
 def row_items(load):
     """Round trip: what is parsed from the rendered grids is what they were rendered from."""
-    return G.row_items(G.filled_dimension(_marked(load))).drop("r")
+    return _items(load).drop("r")
 
 
 @query("q_dedup_first", ITEMS_SQL)
 def dedup_first(load):
-    items = G.row_items(G.filled_dimension(_marked(load)))
+    items = _items(load)
     twice = items.unionByName(items.withColumn("r", F.col("r") + 1000).withColumn("amount", F.col("amount") * 2))
     return G.first_of_name(twice).drop("r")
 
 
-@query("q_child_runs")
+#: The rule row by row: one step of the recursion takes the next row of every dimension.
+CHILDREN_SQL = """WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY code, year, table_id, dim ORDER BY r) AS i FROM nested),
+f AS (SELECT code, year, table_id, dim, CAST(0 AS BIGINT) AS i, CAST(NULL AS DOUBLE) AS last, CAST(NULL AS DOUBLE) AS parent, CAST(0 AS DOUBLE) AS cum, CAST([] AS VARCHAR[]) AS names, false AS stays, CAST(NULL AS INT) AS r, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS DOUBLE) AS amount FROM n WHERE i = 1
+ UNION ALL SELECT code, year, table_id, dim, i, CASE WHEN how = 'stay' THEN amount ELSE last END, CASE how WHEN 'open' THEN CASE WHEN last <> 0 AND amount IS NOT NULL THEN last END WHEN 'child' THEN parent WHEN 'none' THEN parent END,
+  CASE how WHEN 'open' THEN coalesce(amount, 0) WHEN 'child' THEN cum + amount WHEN 'none' THEN cum ELSE 0 END, CASE WHEN how = 'stay' THEN list_append(names, name) ELSE names END, how = 'stay', r, name, amount
+ FROM (SELECT f.code, f.year, f.table_id, f.dim, n.i, n.r, n.name, n.amount, f.last, f.parent, f.cum, f.names,
+   CASE WHEN starts_with(n.name, '其中') THEN 'open' WHEN n.amount IS NULL THEN 'none' WHEN f.parent IS NOT NULL AND f.cum + n.amount <= f.parent * 1.02 THEN 'child' WHEN list_contains(f.names, n.name) THEN 'again' ELSE 'stay' END AS how
+   FROM f JOIN n ON n.code = f.code AND n.year = f.year AND n.table_id = f.table_id AND n.dim = f.dim AND n.i = f.i + 1) s)
+SELECT code, year, table_id, r, dim, name, amount FROM f WHERE stays"""
+#: State: the row that may be a parent, how far its children reach and what they add up to; a row that folds goes.
+PARENTS_SQL = """WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY code, year, table_id, dim ORDER BY r) AS i FROM nested WHERE name NOT LIKE '其中%'),
+l AS (SELECT code, year, table_id, dim, list(amount ORDER BY i) AS x, CAST(count(*) AS BIGINT) AS n FROM n GROUP BY ALL),
+f AS (SELECT code, year, table_id, dim, x, n, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS j, CAST(0 AS DOUBLE) AS cum, CAST(0 AS BIGINT) AS gone FROM l
+ UNION ALL SELECT code, year, table_id, dim, x, n, CASE WHEN hit THEN j + 2 WHEN ends THEN i + 1 ELSE i END, CASE WHEN hit THEN j + 2 WHEN ends THEN i + 1 ELSE j + 1 END, CASE WHEN hit OR ends THEN 0 ELSE cum + x[j + 1] END, CASE WHEN hit THEN i ELSE 0 END
+ FROM (SELECT *, coalesce(x[i] = 0, true) OR j + 1 > n OR cum + x[j + 1] > x[i] * 1.01 AS ends, coalesce(x[i] <> 0 AND j + 1 <= n AND cum + x[j + 1] <= x[i] * 1.01 AND j + 1 - i >= 2 AND abs(cum + x[j + 1] - x[i]) <= x[i] * 0.01, false) AS hit FROM f WHERE i <= n) s)
+SELECT n.code, n.year, n.table_id, n.r, n.dim, n.name, n.amount FROM n ANTI JOIN (SELECT DISTINCT code, year, table_id, dim, gone FROM f WHERE gone > 0) g ON g.code = n.code AND g.year = n.year AND g.table_id = n.table_id AND g.dim = n.dim AND g.gone = n.i"""
+
+
+@query("q_child_runs", CHILDREN_SQL)
 def child_runs(load):
     return G.without_children(load("nested"))
 
 
-@query("q_fold_nested")
+@query("q_fold_nested", PARENTS_SQL)
 def fold_nested(load):
     return G.without_parents(load("nested").where("name not like '其中%'"))
 

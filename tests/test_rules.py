@@ -92,16 +92,21 @@ def test_scores(spark):
 
 
 def sequential_children(rows, slack=1.02):
-    kept, parent, open_, cum = [], None, False, 0.0
-    for r, name, amount in rows:
-        opens = name.startswith("其中")
-        if (open_ or opens) and parent is not None:
-            total = (0.0 if opens else cum) + amount
-            if total <= parent * slack:
-                open_, cum = True, total
-                continue
-        kept.append(name)
-        parent, open_, cum = amount, False, 0.0
+    """Rows that say 其中 never stay; with an amount they open a run under the last row that stayed."""
+    kept, last, run, names = [], None, None, set()
+    for _, name, amount in rows:
+        if name.startswith("其中"):
+            run = [last, amount] if last and amount is not None else None
+        elif amount is None:
+            continue
+        elif run and run[1] + amount <= run[0] * slack:
+            run[1] += amount
+        else:
+            run = None
+            if name not in names:
+                names.add(name)
+                kept.append(name)
+                last = amount
     return kept
 
 
