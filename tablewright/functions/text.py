@@ -61,6 +61,34 @@ def is_total(c: Column) -> Column:
     return F.coalesce(name.rlike("|".join(TOTAL_WORDS)) | name.isin(*GRAND_TOTALS), F.lit(False))
 
 
+def contains_any(c: Column, words: tuple[str, ...]) -> Column:
+    out = c.contains(words[0])
+    for w in words[1:]:
+        out |= c.contains(w)
+    return F.coalesce(out, F.lit(False))
+
+
+def anchor_summary(anchor: Column) -> Column:
+    """An anchor in hundred millions; a fixed phrase without one."""
+    return F.when(anchor.isNull() | (anchor == 0), "无锚").otherwise(F.format_string("%.2f亿", anchor / 1e8))
+
+
+def dim_summary(dim: Column, total: Column, match: Column) -> Column:
+    """A dimension's sum in hundred millions and whether it meets the anchor."""
+    return F.format_string("%s=%.0f亿(%s)", dim, F.coalesce(total, F.lit(0.0)) / 1e8, F.when(match, "过锚").otherwise("✗"))
+
+
+def overlap(ax0, ay0, ax1, ay1, bx0, by0, bx1, by1, tol: float = 3) -> Column:
+    """Whether two rectangles meet, or come within the tolerance."""
+    return ~((ax1 < bx0 - tol) | (bx1 < ax0 - tol) | (ay1 < by0 - tol) | (by1 < ay0 - tol))
+
+
+def caption_above(lines: Column, top: Column) -> Column:
+    """The last three filled ones of the lines above a table, joined; nothing for a table at the very top."""
+    full = F.filter(F.transform(lines, strip), lambda x: x != "")
+    return F.when(top > 1, F.array_join(F.slice(full, F.greatest(F.size(full) - 2, F.lit(1)), 3), " ")).otherwise("")
+
+
 def normal_name(c: Column) -> Column:
     """Names as scores and provenance compare them."""
     return F.translate(c, " 　\t\n、,，()（）", "")
@@ -110,7 +138,7 @@ def out_of_scope(name: Column, field: Column) -> Column:
 
 
 def is_contents_page(c: Column) -> Column:
-    """Three leader runs of four dots or more."""
+    """Three leader runs of four dots or more (the class is a fixed value)."""
     return F.coalesce(F.regexp_count(c, F.lit("[.·。．…]{4,}")) >= 3, F.lit(False))
 
 
@@ -128,7 +156,7 @@ def first_token(c: Column, ratio: bool) -> Column:
 
 
 def header_signature(headers: Column) -> Column:
-    """Headers without digits, punctuation and space, joined."""
+    """Headers without digits, punctuation and space (the class is a fixed value), joined."""
     return F.array_join(F.transform(headers, lambda h: F.regexp_replace(h, r"[\s0-9%,，.。():：（）\-—/]", "")), "|")
 
 
@@ -143,6 +171,7 @@ def compare_value(parsed: Column, ground: Column) -> Column:
     )
 
 
+#: Factors of unit slips, in the order in which they're tried.
 SCALES = (1e6, 1e4, 1e3, 100.0, 1e-6, 1e-4, 1e-3, 0.01)
 
 
@@ -169,6 +198,7 @@ def render(template: str, values: dict[str, Column]) -> Column:
 
 def json_in(c: Column) -> Column:
     """The JSON object in free text: a fenced block, else from the first { to the last }."""
+    # fixed value: the pattern of a fenced block
     fenced = F.nullif(F.regexp_extract(c, r"```(?:json)?\s*(\{[\s\S]*?\})\s*```", 1), F.lit(""))
     bare = F.nullif(F.regexp_extract(c, r"(\{[\s\S]*\})", 1), F.lit(""))
     return F.coalesce(fenced, bare)

@@ -295,20 +295,6 @@ def main_business(load):
     return first.select("code", "year", F.round("main", 2).alias("main_revenue"))
 
 
-@query("q_cost_breakdown", "SELECT code, year, name, CAST(amount AS DOUBLE) AS amount, lag(CAST(amount AS DOUBLE)) OVER w AS amount_last, round((CAST(amount AS DOUBLE) / nullif(lag(CAST(amount AS DOUBLE)) OVER w, 0) - 1) * 100, 2) AS yoy FROM costs WINDOW w AS (PARTITION BY code, name ORDER BY year)")
-def cost_breakdown(load):
-    """This and last period of each cost item; the periods of a pair may be years apart."""
-    w = Window.partitionBy("code", "name").orderBy("year")
-    a = F.col("amount").cast("double")
-    c = load("costs").select("code", "year", "name", a.alias("amount")).withColumn("amount_last", F.lag("amount").over(w))
-    return c.withColumn("yoy", F.round((F.try_divide(F.col("amount"), F.col("amount_last")) - 1) * 100, 2))
-
-
-@query("q_rnd_info", "SELECT r.code, r.year, r.name, CAST(amount AS DOUBLE) AS amount_this, CAST(total AS DOUBLE) AS total_this FROM rnd r JOIN rnd_total USING (code, year)")
-def rnd_info(load):
-    return load("rnd").join(load("rnd_total"), ["code", "year"]).select("code", "year", "name", F.col("amount").cast("double").alias("amount_this"), F.col("total").cast("double").alias("total_this"))
-
-
 @query("q_rnd_selfcheck", "SELECT code, year, abs(CAST(sum(amount) AS DOUBLE) - CAST(any_value(total) AS DOUBLE)) <= greatest(1.0, 1e-4 * CAST(any_value(total) AS DOUBLE)) AS ok FROM rnd JOIN rnd_total USING (code, year) GROUP BY ALL")
 def rnd_selfcheck(load):
     r = load("rnd").groupBy("code", "year").agg(F.sum("amount").cast("double").alias("s")).join(load("rnd_total"), ["code", "year"])
@@ -316,31 +302,6 @@ def rnd_selfcheck(load):
     return r.select("code", "year", (F.abs(F.col("s") - t) <= F.greatest(F.lit(1.0), 1e-4 * t)).alias("ok"))
 
 
-@query("q_employees", "SELECT e.code, e.year, dim, name, n, total FROM emp e JOIN emp_total USING (code, year)")
-def employees(load):
-    return load("emp").join(load("emp_total"), ["code", "year"]).select("code", "year", "dim", "name", "n", "total")
-
-
-CLIENTS = "cl AS (SELECT code, year, c_custkey, CAST(round(sum(amt), 2) AS DECIMAL(20,2)) AS amount FROM fact GROUP BY ALL), rk AS (SELECT *, sum(amount) OVER (PARTITION BY code, year) AS t, CAST(row_number() OVER (PARTITION BY code, year ORDER BY amount DESC, c_custkey) AS INT) AS rn FROM cl)"
-
-
-def _clients(load):
-    c = load("fact").groupBy("code", "year", "c_custkey").agg(F.round(F.sum("amt"), 2).cast("decimal(20,2)").alias("amount"))
-    w = Window.partitionBy("code", "year")
-    return c.withColumn("t", F.sum("amount").over(w)).withColumn("rn", F.row_number().over(w.orderBy(F.desc("amount"), "c_custkey"))).where("rn <= 5")
-
-
-@query("q_top_clients", f"WITH {CLIENTS} SELECT code, year, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS amount, round(CAST(sum(amount) AS DOUBLE) / CAST(any_value(t) AS DOUBLE) * 100, 2) AS total_ratio_pct FROM rk WHERE rn <= 5 GROUP BY ALL")
-def top_clients(load):
-    c = _clients(load).groupBy("code", "year").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("amount"), F.first("t").cast("double").alias("t"))
-    return c.select("code", "year", "n", "amount", F.round(F.col("amount") / F.col("t") * 100, 2).alias("total_ratio_pct"))
-
-
-@query("q_top_rows", f"WITH {CLIENTS} SELECT code, year, rn, c_custkey, CAST(amount AS DOUBLE) AS amount, round(CAST(amount AS DOUBLE) / CAST(t AS DOUBLE) * 100, 2) AS ratio FROM rk WHERE rn <= 5")
-def top_rows(load):
-    return _clients(load).select("code", "year", "rn", "c_custkey", F.col("amount").cast("double").alias("amount"), F.round(F.col("amount").cast("double") / F.col("t").cast("double") * 100, 2).alias("ratio"))
-
-
 @query("q_validator_logic", "SELECT code, year, dim, round(sum(ratio), 2) AS s, round(sum(ratio), 2) BETWEEN 95 AND 105 AS ok FROM shared WHERE dim <> 'by_channel' AND ratio IS NOT NULL GROUP BY ALL")
 def validator_logic(load):
     s = load("shared").where("dim <> 'by_channel' and ratio is not null").groupBy("code", "year", "dim").agg(F.sum("ratio").alias("t"))
