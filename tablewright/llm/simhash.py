@@ -19,7 +19,7 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import cut, map_rows
@@ -147,7 +147,10 @@ def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
 def links(fps: DataFrame, radius: int = 2, bands: int = BANDS) -> DataFrame:
     """Links (a, b) between the distinct values of column fp, enough to connect all that
     links within the radius connect."""
-    keyed = fps.select("fp", F.explode(shard_keys(F.col("fp"), radius, bands)).alias("k"))
+    spark = fps.sparkSession
+    # few and small rows until each becomes one for each choice of bands: deal them out first
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    keyed = fps.select("fp").repartition(tasks).select("fp", F.explode(shard_keys(F.col("fp"), radius, bands)).alias("k"))
     shards = keyed.groupBy("k.choice", "k.bits").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
 
     def make():
@@ -239,33 +242,73 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def leaders(members: list[tuple[int, int]], radius: int) -> list[tuple[int, int]]:
-    """Pairs (leader, member): each (id, fingerprint) in the order of ids follows the first leader
-    within the radius or becomes one, so there are fewer pairs than members."""
+    """Pairs (leader, member), the lesser id first: each (id, fingerprint), those near the fingerprints' majority
+    before others, follows the first leader within the radius or becomes one, so there are fewer
+    pairs than members. The text that edited copies come from is mostly nearest to their majority."""
+    fps = np.array([fp for _, fp in members], np.uint64)
+    ones = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    middle = int(np.packbits(2 * ones > len(members), bitorder="little").view("<u8")[0])
     tree, ids, pairs = BKTree(), [], []
-    for i, fp in sorted(members):
+    for i, fp in sorted(members, key=lambda m: ((m[1] ^ middle).bit_count(), m[0])):
         if near := tree.within(fp, radius):
-            pairs.append((ids[min(near)], i))
+            lead = ids[min(near)]
+            pairs.append((min(lead, i), max(lead, i)))
         else:
             tree.add(fp)
             ids.append(i)
     return pairs
 
 
-def across(members: list[tuple[int, int, int]], radius: int) -> list[tuple[int, int]]:
-    """All pairs of (id, fingerprint, root) within the radius whose roots differ, the lesser id first."""
-    tree, at, of = BKTree(), [], {}
-    for m in members:
-        of.setdefault(m[2], []).append(m)
-        n = tree.add(m[1])
-        if n == len(at):
+def linked(members: list[tuple[int, int, int, np.ndarray]], radius: int, least: float) -> list[tuple[int, int]]:
+    """Links (lesser id, greater) that connect all of (id, fingerprint, root, set of hashes) whose roots differ, whose fingerprints
+    lie within the radius and whose sets have a Jaccard similarity of ``least`` or more; fewer than members.
+    A BK-tree gives the candidates, lists of the members that hold a hash their common hashes."""
+    n = len(members)
+    sizes = np.array([len(m[3]) for m in members])
+    hashes, code = np.unique(np.concatenate([m[3] for m in members]), return_inverse=True)
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.argsort(code, kind="stable")
+    holders, starts = owner[order], np.concatenate(([0], np.cumsum(np.bincount(code, minlength=len(hashes)))))
+    own = np.split(code, np.cumsum(sizes)[:-1])
+    tree, at, of, root = BKTree(), [], {}, list(range(n))
+    for i, m in enumerate(members):
+        of.setdefault(m[2], []).append(i)
+        k = tree.add(m[1])
+        if k == len(at):
             at.append([])
-        at[n].append(m)
-    most = max(of, key=lambda root: (len(of[root]), root))  # its members are found by the others
-    pairs = set()
-    for i, fp, root in members:
-        if root != most:
-            pairs.update((min(i, j), max(i, j)) for n in tree.within(fp, radius) for j, _, other in at[n] if other != root)
-    return sorted(pairs)
+        at[k].append(i)
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for same in of.values():
+        for i in same:
+            root[i] = same[0]
+    most = max(of, key=lambda r: (len(of[r]), r))  # its members are found by the others
+    links = []
+    for i, m in enumerate(members):
+        if m[2] == most:
+            continue
+        near = [j for k in tree.within(m[1], radius) for j in at[k] if find(j) != find(i)]
+        if not near:
+            continue
+        if sizes[i]:
+            both = np.bincount(np.concatenate([holders[starts[h] : starts[h + 1]] for h in own[i].tolist()]), minlength=n)
+        else:
+            both = np.zeros(n, np.int64)
+        near = np.array(near)
+        alike = both[near] >= least * (sizes[i] + sizes[near] - both[near])
+        for j in near[alike].tolist():
+            if find(i) != find(j):
+                root[find(j)] = find(i)
+                links.append((min(m[0], members[j][0]), max(m[0], members[j][0])))
+    return links
+
+
+#: Members of one band that meet in a task at most twice: larger shards are cut into blocks, and each two blocks meet.
+SHARD = 4096
 
 
 def near_copies(df: DataFrame, key: str, text: str = "text", width: int = 5, least: float = 0.8, radius: int = COPY_RADIUS, seed: int = 42) -> DataFrame:
@@ -277,7 +320,8 @@ def near_copies(df: DataFrame, key: str, text: str = "text", width: int = 5, lea
     of the sets within the radius, found by BK-trees in shards that share a band of least hashes
     (at this radius no choice of the fingerprint's own bands bounds a shard); the similarity of
     each is then counted on the texts. The first pass follows leaders and so has fewer pairs than
-    rows; the second tests all candidates that the first has not connected, so none is left out.
+    rows; the second tests all candidates that the first has not connected, so none is left out: it
+    counts inside the shards, which send only links that connect.
     """
 
     def make():
@@ -300,16 +344,44 @@ def near_copies(df: DataFrame, key: str, text: str = "text", width: int = 5, lea
     sets = marks.groupBy("digest").agg(F.min("_key").alias("id"))  # a row for each distinct set
     members = cut(marks.join(sets.select(F.col("id").alias("_key")), "_key", "left_semi").select(F.col("_key").alias("id"), "fp", F.posexplode("bands").alias("band", "bits")))
 
-    def paired(shards: DataFrame, find) -> DataFrame:
+    unsigned = (1 << 64) - 1
+
+    def paired(shards: DataFrame) -> DataFrame:
         def make():
             def work(columns):
-                pairs = [p for shard in columns[0] for p in find([(m["id"], m["fp"] & ((1 << 64) - 1), *([m["root"]] if "root" in m else [])) for m in shard], radius)]
+                pairs = [p for shard in columns[0] for p in leaders([(m["id"], m["fp"] & unsigned) for m in shard], radius)]
                 return [[a for a, _ in pairs], [b for _, b in pairs]]
 
             return work
 
         return map_rows(shards, "a bigint, b bigint", make).distinct()
 
+    def connected(members: DataFrame) -> DataFrame:
+        """Links among the members of shards with several roots, found where each two blocks of a shard meet."""
+
+        def describe():
+            def work(columns):
+                return [columns[0], [shingle_set(t, width, seed).astype("<u8").tobytes() for t in columns[1]]]
+
+            return work
+
+        def make():
+            def work(columns):
+                links = []
+                for shard in columns[0]:
+                    links += linked([(m["id"], m["fp"] & unsigned, m["root"], np.frombuffer(m["set"], "<u8")) for m in shard], radius, least)
+                return [[a for a, _ in links], [b for _, b in links]]
+
+            return work
+
+        asked = texts.join(members.select(F.col("id").alias("_key")).distinct(), "_key", "left_semi")
+        described = cut(map_rows(asked, "id bigint, set binary", describe))
+        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        met = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        met = met.select("id", "fp", "root", "band", "bits", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        shards = met.join(described, "id").groupBy("band", "bits", "lo", "hi").agg(F.collect_list(F.struct("id", "fp", "root", "set")).alias("m"), F.min("root").alias("r"), F.max("root").alias("s"))
+        return map_rows(shards.where("r < s").select("m"), "a bigint, b bigint", make).distinct()
+
     def alike(pairs: DataFrame) -> DataFrame:
         def make():
             def work(columns):
@@ -323,15 +395,17 @@ def near_copies(df: DataFrame, key: str, text: str = "text", width: int = 5, lea
         both = pairs.join(few.toDF("a", "s"), "a").join(few.toDF("b", "t"), "b")
         return cut(map_rows(both.select("a", "b", "s", "t"), "a bigint, b bigint", make))
 
-    shards = members.groupBy("band", "bits").agg(F.collect_list(F.struct("id", "fp")).alias("m")).where(F.size("m") > 1).select("m")
-    first = cut(paired(shards, leaders))
+    n = F.count("*").over(Window.partitionBy("band", "bits"))
+    # blocks of a large shard have leaders of their own here; across blocks the second pass looks
+    shards = members.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(n / SHARD))).groupBy("band", "bits", "block")
+    first = cut(paired(shards.agg(F.collect_list(F.struct("id", "fp")).alias("m")).where(F.size("m") > 1).select("m")))
     edges = alike(first)
     roots = components(edges)
     labelled = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    shards = labelled.groupBy("band", "bits").agg(F.collect_list(F.struct("id", "fp", "root")).alias("m"), F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("m")
-    second = cut(paired(shards, across).join(first, ["a", "b"], "left_anti"))
+    mixed = labelled.groupBy("band", "bits").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.ceil(F.count("*") / SHARD).cast("int").alias("blocks")).where("r < s").select("band", "bits", "blocks")
+    second = cut(labelled.join(mixed, ["band", "bits"]))
     if not second.isEmpty():
-        roots = components(edges.union(alike(second)))
+        roots = components(edges.union(connected(second)))
     of_set = sets.join(roots.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("root", "id").alias("root"))
     return marks.select("_key", "digest").join(of_set, "digest", "left").select(F.col("_key").alias(key), "root")
 

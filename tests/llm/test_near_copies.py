@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
 import corpus_pipeline
 from tablewright.llm import simhash
 
@@ -55,11 +57,46 @@ def test_edited_copies_go(spark):
 
 
 def test_second_pass_finds_what_leaders_miss():
-    # 1 leads 2 and 3 as far as fingerprints tell; 2 and 3 are tested if 1 turns out unlike them
-    members = [(1, 0b0000), (2, 0b0001), (3, 0b0011)]
-    assert simhash.leaders(members, 2) == [(1, 2), (1, 3)]
-    assert simhash.across([(i, fp, i) for i, fp in members], 2) == [(1, 2), (1, 3), (2, 3)]
-    assert simhash.across([(1, 0, 1), (2, 1, 1), (3, 3, 3)], 1) == [(2, 3)]
+    # 2 lies in the middle and leads 1 and 3
+    assert simhash.leaders([(1, 0b0000), (2, 0b0001), (3, 0b0011)], 2) == [(1, 2), (2, 3)]
+    r = np.random.RandomState(2)
+    base = r.randint(0, 1 << 60, 100).astype(np.uint64)
+    members = []
+    for i in range(60):
+        s = base.copy()
+        at = r.permutation(100)[: r.randint(0, 25)]
+        s[at] = r.randint(0, 1 << 60, len(at))
+        members.append((i, simhash.fingerprint_of(s), i // 3, np.unique(s)))
+    for radius in (12, 24):
+        want = {(a[0], b[0]) for a, b in combinations(members, 2) if (a[1] ^ b[1]).bit_count() <= radius and simhash.jaccard(a[3], b[3]) >= 0.8}
+        got = simhash.linked(members, radius, 0.8)
+        assert set(got) <= want and len(got) < 60
+        same = [(3 * k, 3 * k + j) for k in range(20) for j in (1, 2)]
+        assert parts(60, [*got, *same]) == parts(60, [*want, *same])
+    empty = np.zeros(0, np.uint64)
+    assert simhash.linked([(1, 0, 1, empty), (2, 0, 2, empty)], 2, 0.8) == [(1, 2)]
+
+
+def parts(n, links):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return [find(i) for i in range(n)]
+
+
+def test_large_shards_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", 7)
+    texts = edited()[:200]
+    want = groups(texts)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == sorted(set(want))
 
 
 def test_rows_stay_or_go_one_by_one(spark):
