@@ -63,7 +63,7 @@ def run(cells: DataFrame, name: str) -> DataFrame:
 def bucket_columns(cells: DataFrame) -> DataFrame:
     """Without total rows, the share column is the leftmost whose sum over the largest dimension is 95..105; the amount column is the nearest on
     its left with two values over 1,000."""
-    rows = G.filled_dimension(G.marked_rows(cells)).where(~T.is_total(F.col("c0"))).select(*G.TABLE, "r", "dim", "marker")
+    rows = G.filled_dimension(G.marked_rows(cells)).where(~T.is_total(F.get("row", F.lit(0)))).select(*G.TABLE, "r", "dim", "marker")
     j = cells.join(rows.where("marker is null"), [*G.TABLE, "r"])
     share = F.when(F.col("v").contains("%"), T.parse_ratio(F.col("v")))
     d = j.where(~F.col("dim").isNull()).groupBy(*G.TABLE, "dim", "c").agg(F.count(share).alias("n"), F.round(F.sum(share), 6).alias("s"), F.count_if(T.parse_money(F.col("v")) > 1000).alias("big"))

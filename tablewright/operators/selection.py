@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions import text as T
-from tablewright.operators.grid import DIMENSIONS, TABLE, any_of, column_stats, table_text
+from tablewright.operators.grid import DIMENSIONS, TABLE, any_of
+from tablewright.session import kept
 
 #: Signatures of the tables looked for.
 SIGNATURES = {
@@ -19,39 +20,93 @@ SIGNATURES = {
 }
 
 
-def facts(cells: DataFrame) -> DataFrame:
-    """What signatures test, a row for each table: text, rows, best share, number and label columns, largest share."""
-    s = column_stats(cells).groupBy(*TABLE).agg(F.max("n_ratio").alias("n_ratio"), F.max("n_money").alias("n_money"), F.sum("n_text").alias("n_text"))
-    rows = cells.groupBy(*TABLE).agg((F.max("r") + 1).alias("n_rows"), F.max(F.when(F.col("v").contains("%"), T.parse_ratio(F.col("v")))).alias("max_ratio"))
-    return table_text(cells).join(s, list(TABLE)).join(rows, list(TABLE))
-
-
-def parts(name: str) -> dict[str, Column]:
-    """The components of a signature's score."""
+#: What stands above each kind of table, and the sections in which it's expected.
+CAPTIONS = {
+    "revenue": ("营业收入构成", "收入构成", "营业收入和营业成本", "主营业务分", "分部报告", "分行业", "分产品", "分地区", "分销售模式"),
+    "rnd": ("研发投入", "研发情况", "研发费用"),
+    "employee": ("员工情况", "专业构成", "教育程度", "员工人数", "在职员工"),
+    "cost": ("营业成本构成", "成本构成", "营业收入和营业成本", "主营业务分", "分部报告"),
+    "client": ("前五名客户", "前五大客户", "主要客户", "向前五名客户", "客户集中"),
+    "supplier": ("前五名供应商", "前五大供应商", "主要供应商", "向前五名供应商", "供应商集中"),
+}
+SECTIONS = {"revenue": ("fuzhu", "management"), "rnd": ("fuzhu", "management"), "employee": ("gov", "management"), "cost": ("fuzhu", "management"), "client": ("fuzhu", "management"), "supplier": ("fuzhu", "management")}
+
+
+def facts(cells: DataFrame, meta: DataFrame | None = None) -> DataFrame:
+    """What signatures test, a row for each table: text, rows, number and label cells, largest share of the share column; and where
+    ``meta`` (TABLE, section, caption) is given, what is said of the table's place. Cells are shuffled once: the sums by
+    column and those by table both keep to the tables' partitioning."""
+    v = F.col("v")
+    share = F.when(v.contains("%"), T.parse_money(F.replace(v, F.lit("%"), F.lit(""))))
+    piece = F.when(v != "", F.struct("r", "c", F.replace(v, F.lit("\n"), F.lit(" ")).alias("v")))
+    by_column = cells.repartition(*TABLE).groupBy(*TABLE, "c").agg(
+        F.collect_list(piece).alias("pieces"), F.max("r").alias("last"), F.count_if(T.is_text(v)).alias("n_text"), F.count_if(T.is_money(v)).alias("n_money"),
+        F.count_if(F.coalesce(share.between(0, 100), F.lit(False))).alias("n_ratio"), F.max(F.abs(share)).alias("max_share"),
+    )
+    words = F.transform(F.array_sort(F.flatten(F.collect_list("pieces"))), lambda x: x["v"])
+    tables = by_column.groupBy(*TABLE).agg(
+        F.array_join(words, " ").alias("text"), (F.max("last") + 1).alias("n_rows"), F.max("n_ratio").alias("n_ratio"), F.max("n_money").alias("n_money"), F.sum("n_text").alias("n_text"),
+        F.min_by("max_share", F.when(F.col("n_ratio") >= 3, F.col("c"))).alias("max_ratio"),
+    )
+    if meta is None:
+        return tables.where("text <> ''")
+    return tables.where("text <> ''").join(meta.select(*TABLE, "section", "caption"), list(TABLE), "left")
+
+
+def parts(name: str, placed: bool = True) -> dict[str, Column]:
+    """The components of a signature's score: words, words of other tables, kinds of columns, and, where the tables'
+    places are known, caption and section."""
     sig = SIGNATURES[name]
     text = F.col("text")
-    must = sum((F.when(text.contains(w), 25).otherwise(0) for w in sig["must"]), F.lit(0))
-    exclude = F.when(any_of(text, sig["exclude"]), -60).otherwise(0) if sig["exclude"] else F.lit(0)
-    out = {"must": must, "exclude": exclude, "ratio": F.when(F.col("n_ratio") >= 3, 20).otherwise(0), "amount": F.when(F.col("n_money") >= 3, 15).otherwise(0), "label": F.when(F.col("n_text") >= 5, 10).otherwise(0)}
-    if sig["ratio_max"]:
-        out["ratio_max"] = F.when(F.coalesce(F.col("max_ratio") > sig["ratio_max"], F.lit(False)), -50).otherwise(0)
+    out = {"must": sum((F.when(text.contains(w), 25).otherwise(0) for w in sig["must"]), F.lit(0))}
+    out["exclude"] = F.when(any_of(text, sig["exclude"]), -60).otherwise(0) if sig["exclude"] else F.lit(0)
+    out |= {"ratio": F.when(F.col("n_ratio") >= 3, 20).otherwise(0), "amount": F.when(F.col("n_money") >= 3, 15).otherwise(0), "label": F.when(F.col("n_text") >= 5, 10).otherwise(0)}
+    out["ratio_max"] = F.when(F.coalesce(F.col("max_ratio") > sig["ratio_max"], F.lit(False)), -50).otherwise(0) if sig["ratio_max"] else F.lit(0)
+    if placed:
+        out["caption"] = F.when(T.contains_any(F.col("caption"), CAPTIONS[name]), 40).otherwise(0)
+        out["section"] = F.when(F.coalesce("section", F.lit("other")).isin(*SECTIONS[name]), 20).otherwise(-8)
     return out
 
 
-def scored(tables: DataFrame, name: str, least: int = 20) -> DataFrame:
-    """Tables that pass the signature's gates with their score and rank in the report."""
-    p, (low, high) = parts(name), SIGNATURES[name]["rows"]
-    t = tables.where(F.col("n_rows").between(low, high)).withColumn("must", p["must"]).where("must > 0")
-    t = t.withColumn("score", sum(p.values(), F.lit(0))).where(F.col("score") >= least)
-    return t.select(*TABLE, F.lit(name).alias("sig"), "score", F.row_number().over(Window.partitionBy("code", "year").orderBy(F.desc("score"), "table_id")).alias("rank"))
+def explained(tables: DataFrame, names: tuple[str, ...] = tuple(SIGNATURES), least: int = 20) -> DataFrame:
+    """For every table and signature the components of the score, their sum and, if the table falls, the first reason: rows,
+    must-have words (a caption of the kind makes up for them), low score. One pass for all signatures."""
+    placed = "caption" in tables.columns
+    each = []
+    for name in names:
+        p, (low, high) = parts(name, placed), SIGNATURES[name]["rows"]
+        score = sum(p.values(), F.lit(0))
+        named = (p["caption"] > 0) if placed else F.lit(False)
+        reason = F.when(~F.col("n_rows").between(low, high), "rows").when((p["must"] == 0) & ~named, "must").when(score < least, "low")
+        each.append(F.struct(F.lit(name).alias("sig"), *(v.alias(k) for k, v in p.items()), score.alias("score"), reason.alias("reject")))
+    return tables.select(*TABLE, F.inline(F.array(*each)))
+
+
+def scored(tables: DataFrame, names: tuple[str, ...] = tuple(SIGNATURES), least: int = 20) -> DataFrame:
+    """Tables that pass a signature's gates with their score and their rank for it in the report."""
+    t = explained(tables, names, least).where("reject is null")
+    return t.select(*TABLE, "sig", "score", F.row_number().over(Window.partitionBy("code", "year", "sig").orderBy(F.desc("score"), "table_id")).alias("rank"))
+
+
+def bigrams(text: Column) -> Column:
+    """The distinct pairs of neighbouring characters."""
+    n = F.length(text)
+    return F.when(n >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(text, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
 
 
-def explained(tables: DataFrame, name: str, least: int = 20) -> DataFrame:
-    """Every table with its score and, if it falls, the first reason: rows, must-have words, low score."""
-    p, (low, high) = parts(name), SIGNATURES[name]["rows"]
-    score = sum(p.values(), F.lit(0))
-    reason = F.when(~F.col("n_rows").between(low, high), "rows").when(p["must"] == 0, "must").when(score < least, "low")
-    return tables.select(*TABLE, F.lit(name).alias("sig"), score.alias("score"), reason.alias("reject"))
+def likeness(docs: DataFrame, question: str) -> DataFrame:
+    """Cosine of each table's text doc and a question as vectors of distinct bigrams: column ``like``. Any other vectors may take
+    their place (functions.embedding)."""
+    asked = sorted({question[i : i + 2] for i in range(len(question) - 1)})
+    d = docs.withColumn("g", bigrams(F.col("doc")))
+    both = F.size(F.array_intersect("g", F.array(*map(F.lit, asked)))).cast("double")
+    return d.select(*TABLE, F.coalesce(F.try_divide(both, F.sqrt(F.size("g") * F.lit(float(len(asked))))), F.lit(0.0)).alias("like"))
+
+
+def recalled_tables(docs: DataFrame, question: str, top: int = 8, threshold: float = 0.0) -> DataFrame:
+    """The ``top`` tables of each report most like the question, at or above the threshold; of equals the first."""
+    w = Window.partitionBy("code", "year").orderBy(F.desc("like"), "table_id")
+    return likeness(docs, question).withColumn("recall", F.row_number().over(w)).where((F.col("recall") <= top) & (F.col("like") >= threshold))
 
 
 def column_errors(cells: DataFrame, anchors: DataFrame, anchor: str = "revenue") -> DataFrame:
@@ -85,16 +140,44 @@ def is_trap(cells: DataFrame) -> DataFrame:
     return top.select(*TABLE, (F.col("g") & F.col("y")).alias("trap"))
 
 
-def selected(cells: DataFrame, anchors: DataFrame) -> DataFrame:
-    """One table for each report. With an anchor: no trap and an error up to 5 %, by dimensions, then error; failing that the same
-    with traps but a dimension at least; failing that the least error. Without one: the first recalled."""
-    t = dimension_counts(cells).join(is_trap(cells), list(TABLE), "left").join(anchored(cells, anchors), list(TABLE), "left")
+def judged(cells: DataFrame, anchors: DataFrame, meta: DataFrame | None = None, anchor: str = "revenue") -> DataFrame:
+    """A row for each table: the column that explains the anchor best and its error (null without an anchor), dimensions that it has
+    markers of, and whether it's the table of large items only, by its caption or by its head. One shuffle of
+    the cells: all are conditional aggregates by column, then by table."""
+    v, x = F.col("v"), T.parse_money(F.col("v"))
+    units = (1.0, 1e3, 1e4, 1e8)
+    a = F.col("_a")
+    priced = cells.join(anchors.select("code", "year", F.col(anchor).cast("double").alias("_a")), ["code", "year"], "left").repartition(*TABLE)
+    dims: dict[str, list[str]] = {}
+    for marker, dim in DIMENSIONS.items():
+        dims.setdefault(dim, []).append(marker)
+    head = F.col("r") < 4
+    any_ = lambda test: F.max(F.coalesce(test, F.lit(False)).cast("int"))
+    c = priced.groupBy(*TABLE, "c").agg(
+        F.min(F.least(*(F.abs(x * u - a) / a for u in units))).alias("value"), F.sum(x).alias("s"), F.first("_a").alias("_a"),
+        *(any_(any_of(v, tuple(m))).alias(f"d_{d}") for d, m in dims.items()), any_(head & v.contains("毛利率")).alias("margin"), any_(head & v.rlike("比上年|同比")).alias("change"),
+    )
+    whole = F.least(*(F.abs(F.col("s") * u - k * a) / a for u in units for k in range(1, 7)))
+    c = c.withColumn("rel", F.round(F.least("value", whole), 6))
+    best = F.struct("rel", "c")
+    t = c.groupBy(*TABLE).agg(F.min(F.when(F.col("rel").isNotNull(), best)).alias("b"), sum((F.max(f"d_{d}") for d in dims), F.lit(0)).alias("n_dims"), ((F.max("margin") > 0) & (F.max("change") > 0)).alias("head_trap"))
+    t = t.select(*TABLE, F.col("b.c").alias("c"), F.col("b.rel").alias("rel"), "n_dims", "head_trap")
+    if meta is None:
+        return t.withColumnRenamed("head_trap", "trap")
+    j = t.join(meta.select(*TABLE, "caption"), list(TABLE), "left")
+    return j.withColumn("trap", F.col("head_trap") | F.coalesce(F.col("caption").contains("10%以上"), F.lit(False))).drop("head_trap", "caption")
+
+
+def selected(recalled: DataFrame, tables: DataFrame) -> DataFrame:
+    """One of the recalled tables for each report. With an anchor: of those with an error up to 5 % that are no trap, else of those
+    with a dimension at least, else of all, that with most dimensions, then the least error. Without one: the first recalled."""
+    t = recalled.select(*TABLE, "recall").join(tables, list(TABLE))
     good = F.coalesce(F.col("rel") <= 0.05, F.lit(False))
-    tier = F.when(good & ~F.coalesce("trap", F.lit(False)), 0).when(good & (F.col("n_dims") >= 1), 1).when(F.col("rel").isNotNull(), 2).otherwise(3)
-    key = F.struct(tier, F.when(tier == 0, -F.col("n_dims")).otherwise(0), F.coalesce("rel", F.lit(9e9)), "table_id")
-    best = t.groupBy("code", "year").agg(F.min_by(F.struct("table_id", "n_dims", "rel", tier.alias("tier")), key).alias("b"))
+    tier = F.when(good & ~F.col("trap"), 0).when(good & (F.col("n_dims") >= 1), 1).when(F.col("rel").isNotNull(), 2).otherwise(3)
+    key = F.struct(tier, F.when(tier < 3, -F.col("n_dims")).otherwise(0), F.coalesce("rel", F.lit(0.0)), "recall")
+    best = t.groupBy("code", "year").agg(F.min_by(F.struct("table_id", "c", "n_dims", "rel", tier.alias("tier")), key).alias("b"))
     via = F.when(F.col("b.tier") == 0, "anchor+dims").when(F.col("b.tier") == 1, "anchor").when(F.col("b.tier") == 2, "nearest").otherwise("recall")
-    return best.select("code", "year", "b.table_id", "b.n_dims", "b.rel", via.alias("via"))
+    return best.select("code", "year", "b.table_id", "b.c", "b.n_dims", "b.rel", via.alias("via"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -102,9 +185,26 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+#: Query vectors that are broadcast at once.
+QUERY_BLOCK = 4096
+
+
 def recalled(queries: DataFrame, vectors: DataFrame, top: int, threshold: float, fallback: bool = True) -> DataFrame:
-    """For each of a stated, bounded set of query vectors (qid, q): its top rows by cosine at or above the threshold; where none
-    reaches it, the top rows of all (or none). The query set is broadcast, so the vectors aren't shuffled before ranking."""
+    """For each of a stated set of query vectors (qid, q): its top rows by cosine at or above the threshold; where none
+    reaches it, the top rows of all (or none). Queries are broadcast in blocks of QUERY_BLOCK, each against all
+    vectors, which aren't shuffled before ranking."""
+    n = -(-queries.count() // QUERY_BLOCK)
+    if n > 1:
+        dealt = queries.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(n)))
+        out = None
+        for k in range(n):
+            part = kept(_recalled(dealt.where(F.col("_block") == k).drop("_block"), vectors, top, threshold, fallback), "recall")
+            out = part if out is None else out.unionByName(part)
+        return out
+    return _recalled(queries, vectors, top, threshold, fallback)
+
+
+def _recalled(queries: DataFrame, vectors: DataFrame, top: int, threshold: float, fallback: bool) -> DataFrame:
     s = vectors.crossJoin(F.broadcast(queries)).select("qid", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("sim"))
     w = Window.partitionBy("qid").orderBy(F.desc("sim"), "vec_id")
     # ranks come first: they let Spark keep the top rows of each task before the shuffle

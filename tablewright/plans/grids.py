@@ -27,9 +27,11 @@ VIEWS["cells"] = """
     FROM grid_rows CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) n WHERE c < 3 OR table_id = 2"""
 #: Where each rendered table stands: its page, the section of the page, the lines above it.
 VIEWS["table_meta"] = """
-    SELECT code, year, table_id, CAST(10 * table_id + year % 5 AS INT) AS page, CASE WHEN (k + table_id) % 3 = 0 THEN 'other' WHEN table_id = 3 THEN 'gov' WHEN (k + year) % 2 = 0 THEN 'fuzhu' ELSE 'management' END AS section,
-      CASE WHEN k = 6 THEN '' WHEN table_id = 1 AND k % 2 = 0 THEN '（1）营业收入构成' WHEN table_id = 1 THEN '单位：元' WHEN table_id = 2 THEN '主营业务分产品情况 单位：元' ELSE '员工情况' END AS caption
-    FROM reports CROSS JOIN (SELECT 1 AS table_id UNION ALL SELECT 2 UNION ALL SELECT 3) t"""
+    SELECT code, year, table_id, CAST(10 * table_id + year % 5 AS INT) AS page, CASE WHEN (k + table_id) % 3 = 0 THEN 'other' WHEN table_id = 6 THEN 'gov' WHEN (k + year) % 2 = 0 THEN 'fuzhu' ELSE 'management' END AS section,
+      CASE WHEN k = 6 THEN '' WHEN table_id = 1 AND k % 2 = 0 THEN '（1）营业收入构成' WHEN table_id = 1 THEN '单位：元' WHEN table_id = 2 AND k = 0 THEN '占公司营业收入10%以上的产品情况' WHEN table_id = 2 THEN '主营业务分产品情况 单位：元'
+        WHEN table_id = 4 THEN '（5）营业成本构成' WHEN table_id = 5 THEN '研发投入' WHEN table_id IN (7, 8) THEN '主要客户' WHEN table_id IN (9, 10) THEN '主要供应商' ELSE '员工情况' END AS caption
+    FROM reports CROSS JOIN (SELECT 1 AS table_id UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9 UNION ALL SELECT 10) t"""
+VIEWS["all_cells"] = "SELECT code, year, table_id, r, c, v FROM cells UNION ALL SELECT code, year, table_id, r, c, v FROM field_cells"
 VIEWS["nested"] = """
     SELECT code, year, 1 AS table_id, CAST(row_number() OVER (PARTITION BY code, year ORDER BY o, name) - 1 AS INT) AS r, 'segments' AS dim, name, amount FROM (
       SELECT code, year, 0 AS o, '其中：首' AS name, CAST(1 AS DOUBLE) AS amount FROM reports WHERE k = 1 UNION ALL SELECT code, year, 100000, concat('P', name), CAST(5 AS DOUBLE) FROM golden WHERE dim = 'segments' AND k = 2

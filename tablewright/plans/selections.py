@@ -7,45 +7,47 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import selection as S
 from tablewright.operators.grid import DIMENSIONS, TABLE
-from tablewright.plans import paging  # noqa: F401  (defines the view report_page)
+from tablewright.plans import fieldviews, paging  # noqa: F401  (define the views field_cells and report_page)
 from tablewright.plans.base import VIEWS, query
 from tablewright.plans.grids import STATS
 
 FACTS = STATS + """, tx AS (SELECT code, year, table_id, string_agg(replace(v, chr(10), ' '), ' ' ORDER BY r, c) AS text FROM cells WHERE v <> '' GROUP BY ALL),
- rc AS (SELECT code, year, table_id, max(r) + 1 AS n_rows, max(CASE WHEN contains(v, '%') THEN TRY_CAST(translate(v, '%,', '') AS DOUBLE) END) AS max_ratio FROM cells GROUP BY ALL),
- ag AS (SELECT code, year, table_id, max(n_ratio) AS n_ratio, max(n_money) AS n_money, sum(n_text) AS n_text FROM st GROUP BY ALL), fc AS (SELECT * FROM tx JOIN rc USING (code, year, table_id) JOIN ag USING (code, year, table_id))"""
+ rc AS (SELECT code, year, table_id, max(r) + 1 AS n_rows FROM cells GROUP BY ALL),
+ ag AS (SELECT code, year, table_id, max(n_ratio) AS n_ratio, max(n_money) AS n_money, sum(n_text) AS n_text FROM st GROUP BY ALL),
+ sc AS (SELECT code, year, table_id, min(c) FILTER (n_ratio >= 3) AS c FROM st GROUP BY ALL),
+ mr AS (SELECT code, year, table_id, max(abs(TRY_CAST(translate(v, '%,', '') AS DOUBLE))) AS max_ratio FROM cells JOIN sc USING (code, year, table_id, c) WHERE contains(v, '%') GROUP BY ALL),
+ fc AS (SELECT * FROM tx JOIN rc USING (code, year, table_id) JOIN ag USING (code, year, table_id) LEFT JOIN mr USING (code, year, table_id) LEFT JOIN table_meta USING (code, year, table_id))"""
+#: The same over all tables of a report.
+ALL_FACTS = FACTS.replace("FROM cells", "FROM all_cells")
 
 
-def _score(name: str) -> tuple[str, str]:
+def _any_in(column: str, words) -> str:
+    return " OR ".join(f"contains({column}, '{w}')" for w in words) or "false"
+
+
+def _explained_sql(name: str) -> str:
     sig = S.SIGNATURES[name]
+    low, high = sig["rows"]
     must = " + ".join(f"CASE WHEN contains(text, '{w}') THEN 25 ELSE 0 END" for w in sig["must"])
-    ex = " OR ".join(f"contains(text, '{w}')" for w in sig["exclude"]) or "false"
-    rm = f" + CASE WHEN max_ratio > {sig['ratio_max']} THEN -50 ELSE 0 END" if sig["ratio_max"] else ""
-    return must, f"{must} + CASE WHEN {ex} THEN -60 ELSE 0 END + CASE WHEN n_ratio >= 3 THEN 20 ELSE 0 END + CASE WHEN n_money >= 3 THEN 15 ELSE 0 END + CASE WHEN n_text >= 5 THEN 10 ELSE 0 END{rm}"
+    rm = f"CASE WHEN max_ratio > {sig['ratio_max']} THEN -50 ELSE 0 END" if sig["ratio_max"] else "0"
+    sections = ", ".join(f"'{x}'" for x in S.SECTIONS[name])
+    return f"""SELECT *, must + "exclude" + ratio + amount + label + ratio_max + caption + section AS score, CASE WHEN n_rows NOT BETWEEN {low} AND {high} THEN 'rows' WHEN must = 0 AND caption = 0 THEN 'must' WHEN must + "exclude" + ratio + amount + label + ratio_max + caption + section < 20 THEN 'low' END AS reject FROM (
+      SELECT code, year, table_id, '{name}' AS sig, n_rows, {must} AS must, CASE WHEN {_any_in('text', sig['exclude'])} THEN -60 ELSE 0 END AS "exclude", CASE WHEN n_ratio >= 3 THEN 20 ELSE 0 END AS ratio, CASE WHEN n_money >= 3 THEN 15 ELSE 0 END AS amount,
+        CASE WHEN n_text >= 5 THEN 10 ELSE 0 END AS label, {rm} AS ratio_max, CASE WHEN coalesce({_any_in('caption', S.CAPTIONS[name])}, false) THEN 40 ELSE 0 END AS caption, CASE WHEN coalesce(section, 'other') IN ({sections}) THEN 20 ELSE -8 END AS section FROM fc) x"""
 
 
-def _ranked_sql(name: str) -> str:
-    must, score = _score(name)
-    low, high = S.SIGNATURES[name]["rows"]
-    return f"SELECT code, year, table_id, '{name}' AS sig, {score} AS score, CAST(row_number() OVER (PARTITION BY code, year ORDER BY {score} DESC, table_id) AS INT) AS rank FROM fc WHERE n_rows BETWEEN {low} AND {high} AND {must} > 0 AND {score} >= 20"
+EXPLAINED = f"WITH {ALL_FACTS}, ex AS (" + " UNION ALL ".join(_explained_sql(n) for n in S.SIGNATURES) + "), rk AS (SELECT code, year, table_id, sig, score, CAST(row_number() OVER (PARTITION BY code, year, sig ORDER BY score DESC, table_id) AS INT) AS rank FROM ex WHERE reject IS NULL)"
 
 
-@query("q_signature_rank", f"WITH {FACTS} " + " UNION ALL ".join(_ranked_sql(n) for n in ("revenue", "cost", "employee")))
+@query("q_signature_rank", EXPLAINED + " SELECT * FROM rk")
 def signature_rank(load):
-    t = S.facts(load("cells"))
-    return S.scored(t, "revenue").unionByName(S.scored(t, "cost")).unionByName(S.scored(t, "employee"))
-
-
-def _explained_sql(name: str) -> str:
-    must, score = _score(name)
-    low, high = S.SIGNATURES[name]["rows"]
-    return f"SELECT code, year, table_id, '{name}' AS sig, {score} AS score, CASE WHEN n_rows NOT BETWEEN {low} AND {high} THEN 'rows' WHEN {must} = 0 THEN 'must' WHEN {score} < 20 THEN 'low' END AS reject FROM fc"
+    """All six signatures over all tables, with caption and section."""
+    return S.scored(S.facts(load("all_cells"), load("table_meta")))
 
 
-@query("q_score_breakdown", f"WITH {FACTS} " + " UNION ALL ".join(_explained_sql(n) for n in ("revenue", "supplier")))
+@query("q_score_breakdown", EXPLAINED + """ SELECT code, year, table_id, sig, must, "exclude", ratio, amount, label, ratio_max, caption, section, score, reject FROM ex""")
 def score_breakdown(load):
-    t = S.facts(load("cells"))
-    return S.explained(t, "revenue").unionByName(S.explained(t, "supplier"))
+    return S.explained(S.facts(load("all_cells"), load("table_meta")))
 
 
 _NUM = "CASE WHEN regexp_full_match(trim(translate(v, ',，', ''), ' ' || chr(12288)), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN TRY_CAST(translate(v, ',，', '') AS DOUBLE) END"
@@ -83,13 +85,47 @@ def trap(load):
     return S.is_trap(load("cells"))
 
 
-SELECTED = f"""{DIMS}, {TRAP}, {ERRORS}, tt AS (SELECT *, CASE WHEN coalesce(rel <= 0.05, false) AND NOT coalesce(trap, false) THEN 0 WHEN coalesce(rel <= 0.05, false) AND n_dims >= 1 THEN 1 WHEN rel IS NOT NULL THEN 2 ELSE 3 END AS tier FROM dc LEFT JOIN tp USING (code, year, table_id) LEFT JOIN an USING (code, year, table_id)),
- sl AS (SELECT *, row_number() OVER (PARTITION BY code, year ORDER BY tier, CASE WHEN tier = 0 THEN -n_dims ELSE 0 END, coalesce(rel, 9e9), table_id) AS rn FROM tt)"""
+QUESTION = "营业收入构成 分行业 分产品 分地区 销售模式"
+_GRAMS = "[" + ", ".join(f"'{g}'" for g in sorted({QUESTION[i : i + 2] for i in range(len(QUESTION) - 1)})) + "]"
+_DOCS = r"""dl AS (SELECT *, regexp_replace(v, '[0-9.,%，。、()（）\-—:：\s年]', '', 'g') AS label FROM all_cells), df AS (SELECT code, year, table_id, label, min((r, c)) AS pos FROM dl WHERE len(regexp_extract_all(label, '[一-鿿]')) >= 2 GROUP BY ALL),
+ dd AS (SELECT code, year, table_id, string_agg(label, ' ' ORDER BY pos) AS d FROM df GROUP BY ALL), dc0 AS (SELECT code, year, table_id, substr(concat_ws(' ', nullif(trim(caption), ''), d), 1, 300) AS doc FROM dd LEFT JOIN table_meta USING (code, year, table_id)),
+ dg AS (SELECT *, list_distinct(list_transform(range(1, length(doc)), lambda i: substr(doc, i, 2))) AS g FROM dc0)"""
+RECALLED = f"""{_DOCS}, lk AS (SELECT code, year, table_id, len(list_intersect(g, {_GRAMS})) / sqrt(len(g) * len({_GRAMS})::DOUBLE) AS lik FROM dg),
+ rl AS (SELECT *, row_number() OVER (PARTITION BY code, year ORDER BY lik DESC, table_id) AS recall FROM lk)"""
+ALL_ERRORS = ERRORS.replace("FROM cells", "FROM all_cells")
+_JUDGED = f"""{DIMS.replace("FROM cells", "FROM all_cells")}, {TRAP.replace("FROM cells", "FROM all_cells")}, {ALL_ERRORS}, jd AS (SELECT code, year, table_id, an.c, rel, n_dims, coalesce(trap, false) OR coalesce(contains(caption, '10%以上'), false) AS trap FROM dc LEFT JOIN tp USING (code, year, table_id) LEFT JOIN an USING (code, year, table_id) LEFT JOIN table_meta USING (code, year, table_id))"""
+SELECTED = f"""{RECALLED}, {_JUDGED}, tt AS (SELECT *, CASE WHEN coalesce(rel <= 0.05, false) AND NOT trap THEN 0 WHEN coalesce(rel <= 0.05, false) AND n_dims >= 1 THEN 1 WHEN rel IS NOT NULL THEN 2 ELSE 3 END AS tier FROM rl JOIN jd USING (code, year, table_id) WHERE recall <= 8),
+ sl AS (SELECT *, row_number() OVER (PARTITION BY code, year ORDER BY tier, CASE WHEN tier < 3 THEN -n_dims ELSE 0 END, coalesce(rel, 0), recall) AS rn FROM tt)"""
+
+
+def _docs(load):
+    from tablewright.operators.grid import text_doc
+
+    return text_doc(load("all_cells"), load("table_meta"))
+
+
+@query("q_recall_tables", f"WITH {RECALLED} SELECT code, year, table_id, CAST(recall AS INT) AS recall, round(lik, 6) AS score FROM rl WHERE recall <= 8 AND lik >= 0.05")
+def recall_tables(load):
+    """The eight tables of a report most like the question."""
+    return S.recalled_tables(_docs(load), QUESTION, 8, 0.05).select(*TABLE, "recall", F.round("like", 6).alias("score"))
+
+
+@query("q_judged", f"WITH {_JUDGED} SELECT * FROM jd")
+def judged(load):
+    return S.judged(load("all_cells"), load("anchor"), load("table_meta"))
+
+
+@query("q_recall_judged", f"WITH {RECALLED}, {_JUDGED} SELECT code, year, table_id, CAST(recall AS INT) AS recall, rel, trap FROM rl LEFT JOIN jd USING (code, year, table_id) WHERE recall <= 8")
+def recall_judged(load):
+    """What is recalled with what the anchor makes of it, by the tables' identity."""
+    r = S.recalled_tables(_docs(load), QUESTION).select(*TABLE, "recall")
+    return r.join(S.judged(load("all_cells"), load("anchor"), load("table_meta")).select(*TABLE, "rel", "trap"), list(TABLE), "left")
 
 
-@query("q_select_table", f"WITH {SELECTED} SELECT code, year, table_id, n_dims, rel, CASE tier WHEN 0 THEN 'anchor+dims' WHEN 1 THEN 'anchor' WHEN 2 THEN 'nearest' ELSE 'recall' END AS via FROM sl WHERE rn = 1")
+@query("q_select_table", f"WITH {SELECTED} SELECT code, year, table_id, c, n_dims, rel, CASE tier WHEN 0 THEN 'anchor+dims' WHEN 1 THEN 'anchor' WHEN 2 THEN 'nearest' ELSE 'recall' END AS via FROM sl WHERE rn = 1")
 def select_table(load):
-    return S.selected(load("cells"), load("anchor"))
+    """Recall, then the anchor and the dimensions, over all tables of each report."""
+    return S.selected(S.recalled_tables(_docs(load), QUESTION), S.judged(load("all_cells"), load("anchor"), load("table_meta")))
 
 
 @query("q_best_on_page", f"WITH {ERRORS} SELECT code, year, arg_min(table_id, (rel, -table_id)) AS table_id, min(rel) AS rel FROM an GROUP BY ALL")
@@ -104,9 +140,10 @@ def overanchor(load):
     return t.withColumn("rn", F.row_number().over(Window.partitionBy("code", "year").orderBy("rel", "table_id"))).where("rn <= 2").select(*TABLE, "rel")
 
 
-@query("q_result_preview", f"WITH {FACTS} SELECT code, year, table_id, score FROM ({_ranked_sql('revenue')}) x WHERE rank = 1")
+@query("q_result_preview", EXPLAINED + " SELECT code, year, sig, table_id, score FROM rk WHERE rank = 1")
 def result_preview(load):
-    return S.scored(S.facts(load("cells")), "revenue").where("rank = 1").select(*TABLE, "score")
+    """The first table of each field."""
+    return S.scored(S.facts(load("all_cells"), load("table_meta"))).where("rank = 1").select("code", "year", "sig", "table_id", "score")
 
 
 _RECALL = """WITH q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT qid, e.vec_id, list_cosine_similarity(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(q, lambda x: CAST(x AS DOUBLE))) AS sim FROM embeddings e CROSS JOIN q),

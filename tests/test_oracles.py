@@ -9,9 +9,9 @@ from tablewright.plans.base import TABLES
 from tablewright.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-#: No SQL: folds over rows, plug-ins in Python, arrays as results, files.
-ROWS_ONLY = {"q_child_runs", "q_fold_nested", "q_field_chain", "q_scan_tables", "q_version_parsers"}
-FAST = ["q_revenue_breakdown", "q_plausibility", "q_success_rate", "q_plaus_b", "q_plaus_c", "q_hard_rnd", "q_parse_money", "q_parse_ratio", "q_cell_types", "q_unit_detect", "q_unit_bank", "q_compare_value", "q_best_version", "q_score_b", "q_section_fill", "q_toc_asof", "q_fingerprint", "q_amortization", "q_stitch_islands", "q_patch_page", "q_triage_state", "q_timeline", "q_upsert_keep", "q_vector_recall", "q_top_rows", "q_main_business", "q_missing_dims", "q_rule_merge"]
+#: No SQL: plug-ins in Python, arrays as results.
+ROWS_ONLY = {"q_field_chain", "q_version_parsers"}
+FAST = ["q_revenue_breakdown", "q_plausibility", "q_success_rate", "q_plaus_b", "q_plaus_c", "q_hard_rnd", "q_parse_money", "q_parse_ratio", "q_cell_types", "q_unit_detect", "q_unit_bank", "q_compare_value", "q_best_version", "q_score_b", "q_section_fill", "q_toc_asof", "q_fingerprint", "q_amortization", "q_stitch_islands", "q_patch_page", "q_triage_state", "q_timeline", "q_upsert_keep", "q_vector_recall", "q_top_rows", "q_main_business", "q_missing_dims", "q_rule_merge", "q_child_runs", "q_fold_nested", "q_cost_breakdown", "q_rnd_items", "q_employees", "q_top_clients", "q_provenance", "q_signature_rank", "q_select_table", "q_scan_tables", "q_heal_cascade", "q_resume", "q_route_field", "q_add_marker"]
 
 
 def plain(v):

@@ -3,6 +3,8 @@
 import json
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tablewright.functions import text as T
@@ -175,6 +177,28 @@ def test_table_cache(spark, tmp_path):
     for df in (spark.read.format("table_cache").load(str(tmp_path)), table_cache.scan(spark, str(tmp_path))):
         (row,) = df.collect()
         assert (row.code, row.year, row.page, row.section, row.grid[1][0]) == ("000001", 2024, 20, "management", "工业")
+    wanted = spark.createDataFrame([(f"00000{i}", 2024) for i in range(1, 5)], "code string, year int")
+    missing = table_cache.misses(wanted, table_cache.scan(spark, str(tmp_path)))
+    assert sorted(r.code for r in missing.collect()) == ["000002", "000003", "000004"]  # an empty list is a miss
+    # without sections the first pages aren't scanned; in sections that hold no tables nothing is
+    assert [r[3] for r in table_cache.rows_of("1_2024", json.dumps([{"page": p} for p in (3, 16, 350, 351)]).encode())] == [16, 350]
+    assert [r[3] for r in table_cache.rows_of("1_2024", json.dumps([{"page": 3, "section": "gov"}, {"page": 20, "section": "toc"}]).encode())] == [3]
+
+
+def test_progress_lines_and_test_tables(spark, tmp_path):
+    rows = spark.createDataFrame([("1", 2024, "ok"), ("2", 2024, "error")], "code string, year int, status string")
+    folder = f"file://{tmp_path}/progress"
+    L.append_lines(rows.limit(1), folder)
+    L.append_lines(rows.where("code = '2'"), folder)
+    (tmp_path / "progress" / "part-x.txt").write_text('{"code":"3","ye\n[1]\n')
+    lines = spark.read.text(folder).withColumnRenamed("value", "line")
+    good, dead = L.read_lines(lines, "code string, year int, status string")
+    assert sorted(tuple(r) for r in good.collect()) == [("1", 2024, "ok"), ("2", 2024, "error")] and dead.count() == 2
+    rows.write.parquet(f"{tmp_path}/real")
+    assert L.ensure_copy(f"{tmp_path}/real", f"{tmp_path}/test", spark) and not L.ensure_copy(f"{tmp_path}/real", f"{tmp_path}/test", spark)
+    assert spark.read.parquet(f"{tmp_path}/test").count() == 2
+    with pytest.raises(ValueError):
+        L.ensure_copy(f"{tmp_path}/real", f"{tmp_path}/real/", spark)
 
 
 def test_plugin_failures_become_rows(spark):
