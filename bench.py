@@ -1,4 +1,7 @@
-"""Headline queries over $BENCH_SF_DIR on local[$BENCH_CPUS], full results to a noop sink; one JSON line."""
+"""Headline queries over $BENCH_SF_DIR on local[$BENCH_CPUS], full results to a noop sink; one JSON line.
+
+The stored views that the queries read are part of the total: "bridge" is the time to write all of them.
+"""
 
 import json
 import os
@@ -13,12 +16,16 @@ HEADLINE = ("q_revenue_breakdown", "q_plausibility", "q_success_rate", "q_hard_r
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     runs = int(os.environ.get("BENCH_RUNS", "1"))
+    from tablewright.plans import base
     from tablewright.plans.registry import QUERIES
     from tablewright.session import local_session
 
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench", **{"spark.ui.showConsoleProgress": "false"})
-    took = {}
-    QUERIES["q_status"](spark, sf).write.format("noop").mode("overwrite").save()  # the session's own start
+    spark.read.parquet(f"{sf}/region.parquet").write.format("noop").mode("overwrite").save()  # the session's own start
+    began = time.time()
+    for name in base.STORED:
+        base.view(spark, sf, name)
+    took = {"bridge": round(time.time() - began, 3)}
     for name in HEADLINE:
         each = []
         for _ in range(runs):
@@ -27,6 +34,7 @@ def main() -> None:
             each.append(time.time() - began)
         took[name] = round(statistics.median(each), 3)
     print(json.dumps({"metric": "total_headline_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf.rstrip("/").rpartition("sf")[2]}))
+    base.forget(spark, sf)
     spark.stop()
 
 

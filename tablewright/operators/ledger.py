@@ -40,3 +40,27 @@ def overlay(base: DataFrame, patch: DataFrame, keys: tuple[str, ...], value: str
 def by_priority(candidates: DataFrame, keys: tuple[str, ...], priority: Column, values: tuple[str, ...]) -> DataFrame:
     """Of candidates from several sources the one with the least priority."""
     return candidates.groupBy(*keys).agg(F.min_by(F.struct(*values), priority).alias("_s")).select(*keys, "_s.*")
+
+
+def append_lines(rows: DataFrame, folder: str) -> None:
+    """Add rows to a folder of JSON lines; each task writes a file of its own."""
+    rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(folder)
+
+
+def read_lines(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, dead letters) of a column ``line`` of JSON lines: a line that isn't an object of the schema, as one cut off by a
+    stop, is a dead letter and doesn't end the reading."""
+    parsed = lines.select("line", F.from_json("line", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("x"))
+    bad = F.col("x").isNull() | F.col("x._bad").isNotNull()
+    return parsed.where(~bad).select("x.*").drop("_bad"), parsed.where(bad).select("line")
+
+
+def ensure_copy(source: str, target: str, spark) -> bool:
+    """A test table: a copy of the source where the target doesn't exist yet. Whether it was made; an error if both are one."""
+    if source.rstrip("/") == target.rstrip("/"):
+        raise ValueError("a test table can't be its own source")
+    where = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return False
+    spark.read.parquet(source).write.mode("ignore").parquet(target)
+    return True

@@ -117,3 +117,12 @@ def hard_rules(reports: DataFrame, *violations: DataFrame) -> DataFrame:
         *REPORT, F.coalesce("red_count", F.lit(0)).alias("red_count"), F.coalesce("warn_count", F.lit(0)).alias("warn_count"),
         F.coalesce("red_fields", F.lit("")).alias("red_fields"), (F.coalesce("red_count", F.lit(0)) == 0).alias("passed"),
     )
+
+
+def unit_rescue(breakdown: DataFrame, anchors: DataFrame, units: tuple[float, ...] = (1e3, 1e4, 1e8), tolerance: float = 0.03) -> DataFrame:
+    """The least factor by which the sums of all of a report's dimensions meet the anchor; reports that none mends give no row."""
+    units = tuple(sorted(units))
+    s = breakdown.groupBy("code", "year", "dim").agg(F.sum("amount").alias("s")).where("s <> 0").join(anchors.select("code", "year", F.col("revenue").cast("double").alias("a")), ["code", "year"]).where("a is not null")
+    fits = s.groupBy("code", "year").agg(*(F.bool_and(F.abs(F.col("s").cast("double") * u - F.col("a")) <= tolerance * F.col("a")).alias(f"u{i}") for i, u in enumerate(units)))
+    first = F.coalesce(*(F.when(F.col(f"u{i}"), F.lit(u)) for i, u in enumerate(units)))
+    return fits.select("code", "year", first.alias("unit")).where("unit is not null")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tablewright.functions import text as T
 from tablewright.operators import ledger as L
 from tablewright.operators import reconcile as R
 from tablewright.plans.base import VIEWS, query
@@ -14,9 +15,18 @@ VIEWS["triage"] = """
     SELECT event_id AS seq, ts, CAST(user_id % 50 AS INT) AS code, CASE WHEN event_id % 3 = 0 THEN 'revenue' WHEN event_id % 3 = 1 THEN 'cost' ELSE 'rnd' END AS field, event_type AS reason,
       CASE WHEN event_id % 5 = 0 THEN 'resolved' WHEN event_id % 7 = 0 THEN 'ok' ELSE 'open' END AS status FROM events"""
 VIEWS["runs"] = """
-    SELECT event_id AS id, CAST(user_id % 40 AS INT) AS code, CASE WHEN event_id % 2 = 0 THEN 'revenue' ELSE 'cost' END AS field, CAST(floor(event_id / 25) AS INT) AS run_id, event_type AS outcome,
+    SELECT event_id AS id, CAST(user_id % 40 AS INT) AS code, CASE WHEN event_id % 2 = 0 THEN 'revenue' ELSE 'cost' END AS field, CAST(floor(event_id / 25) AS INT) AS run_id, event_type AS outcome, event_type = 'error' AS red, CAST(event_id % 97 AS INT) AS item,
       CASE WHEN event_id % 11 = 0 THEN concat('v', CAST(event_id % 3 AS STRING)) END AS verdict, value FROM events"""
 
+#: What is stored of each report, and who it is.
+VIEWS["annual"] = """
+    SELECT code, year, k, CASE WHEN k <> 5 THEN 'annual' ELSE 'q3' END AS quarter, CASE WHEN k = 1 THEN NULL WHEN k = 2 THEN '' ELSE '{}' END AS rev, CASE WHEN k = 3 THEN NULL ELSE '{"a":1}' END AS rnd_json,
+      CASE WHEN year % 3 = 0 THEN NULL ELSE '[1]' END AS emp_json, concat('公司', code, CASE WHEN k = 6 AND year % 2 = 0 THEN '银行' ELSE '' END) AS name FROM reports"""
+VIEWS["verdicts"] = "SELECT code, year, CASE (CAST(code AS INT) + year) % 5 WHEN 0 THEN 'hold' WHEN 1 THEN 'pass' WHEN 2 THEN 'error' WHEN 3 THEN 'wrong_table' END AS verdict FROM reports WHERE year % 3 <> 0"
+#: The lines of a progress file; some are cut off.
+VIEWS["progress_lines"] = """
+    SELECT CASE WHEN k = 1 AND year % 2 = 0 THEN concat('{"code":"', code) ELSE concat('{"code":"', code, '","year":', CAST(year AS STRING), ',"status":"', CASE WHEN k = 2 THEN 'error' ELSE 'ok' END, '"}') END AS line FROM reports WHERE k < 5"""
+
 
 @query("q_triage_state", "SELECT code, field, arg_max(reason, seq) AS reason, arg_max(status, seq) AS status, min(ts) AS created_at, max(ts) AS updated_at, count(*) AS n_events FROM triage GROUP BY ALL")
 def triage_state(load):
@@ -81,12 +91,11 @@ def _conf(load):
     return R.confidence(load("pred"), load("anchor")).select("code", "year", "confidence", "n_dims", "dims_hit").withColumn("k", F.col("code").cast("int") % 7)
 
 
-@query("q_triage_route", CONFIDENCE_SQL + "SELECT code, year, CASE WHEN CAST(code AS INT) % 7 = 3 THEN 'needs_write' WHEN confidence = 'high' THEN 'verify' WHEN confidence = 'low' THEN 'low_confidence' ELSE 'unverified' END AS route FROM conf")
+@query("q_triage_route", CONFIDENCE_SQL + "SELECT conf.code, conf.year, CASE WHEN coalesce(rev, '') = '' THEN 'needs_write' WHEN confidence = 'high' THEN 'verify' WHEN confidence = 'low' THEN 'low_confidence' ELSE 'unverified' END AS route FROM conf JOIN annual USING (code, year)")
 def triage_route(load):
-    return _conf(load).select("code", "year", F.when(F.col("k") == 3, "needs_write").when(F.col("confidence") == "high", "verify").when(F.col("confidence") == "low", "low_confidence").otherwise("unverified").alias("route"))
-
-
-VIEWS["verdicts"] = "SELECT code, year, CASE (CAST(code AS INT) + year) % 5 WHEN 0 THEN 'hold' WHEN 1 THEN 'pass' WHEN 2 THEN 'error' WHEN 3 THEN 'wrong_table' END AS verdict FROM reports WHERE year % 3 <> 0"
+    """Reports without a stored value are written first; the others go by their confidence."""
+    j = _conf(load).join(load("annual").select("code", "year", "rev"), ["code", "year"])
+    return j.select("code", "year", F.when(F.coalesce("rev", F.lit("")) == "", "needs_write").when(F.col("confidence") == "high", "verify").when(F.col("confidence") == "low", "low_confidence").otherwise("unverified").alias("route"))
 
 
 @query("q_verify_route", CONFIDENCE_SQL + "SELECT conf.code, conf.year, CASE WHEN verdict = 'hold' THEN 'review_hold' WHEN verdict = 'pass' THEN 'commit' ELSE 'ok' END AS route FROM conf LEFT JOIN verdicts USING (code, year) WHERE confidence = 'high'")
@@ -100,37 +109,47 @@ def chat_route(load):
     return load("verdicts").select("code", "year", F.when(F.col("verdict").isin("wrong_table", "incomplete_table", "hold"), "needs_human").when(F.col("verdict") == "pass", "commit").otherwise("all_ok").alias("route"))
 
 
-@query("q_review_queue", f"WITH {STATE}, o AS (SELECT code, field FROM st WHERE status = 'open' AND reason = (SELECT min(reason) FROM st) ORDER BY code, field LIMIT 20) SELECT code, field, CASE WHEN code % 4 = 0 THEN 'requeued' ELSE 'resolved' END AS outcome FROM o")
+@query("q_review_queue", f"""WITH {STATE}, lv AS (SELECT code, field, arg_max(verdict, id) AS verdict FROM runs WHERE verdict IS NOT NULL GROUP BY ALL), o AS (SELECT code, field FROM st WHERE status = 'open' AND reason = (SELECT min(reason) FROM st) ORDER BY code, field LIMIT 20)
+SELECT code, field, CASE WHEN verdict = 'v0' THEN 'requeued' WHEN verdict = 'v1' THEN 'resolved' ELSE 'kept' END AS outcome FROM o LEFT JOIN lv USING (code, field)""")
 def review_queue(load):
-    """The first 20 open items of one reason, with what the review makes of them."""
+    """The first 20 open items of one reason, with what their latest verdict makes of them."""
     s = L.triage_state(load("triage"), ("code", "field"))
-    reason = s.agg(F.min("reason").alias("reason"))
-    q = s.where("status = 'open'").join(F.broadcast(reason), "reason", "left_semi").orderBy("code", "field").limit(20)
-    return q.select("code", "field", F.when(F.col("code") % 4 == 0, "requeued").otherwise("resolved").alias("outcome"))
+    verdicts = L.latest(load("runs").where("verdict is not null"), ("code", "field"), "id", ("verdict",))
+    q = s.where("status = 'open'").join(F.broadcast(s.agg(F.min("reason").alias("reason"))), "reason", "left_semi").orderBy("code", "field").limit(20)
+    return q.join(verdicts, ["code", "field"], "left").select("code", "field", F.when(F.col("verdict") == "v0", "requeued").when(F.col("verdict") == "v1", "resolved").otherwise("kept").alias("outcome"))
 
 
-OUTCOME = "CASE WHEN CAST(code AS INT) % 13 = 0 THEN 'out_of_scope' WHEN n_dims < 4 THEN 'no_data' WHEN confidence = 'unknown' THEN 'no_anchor' WHEN confidence = 'high' THEN 'green' ELSE 'non_green' END"
+OUTCOME = "CASE WHEN regexp_matches(name, '银行|证券|信托|保险|期货') THEN 'out_of_scope' WHEN n_dims < 4 THEN 'no_data' WHEN confidence = 'unknown' THEN 'no_anchor' WHEN confidence = 'high' THEN 'green' ELSE 'non_green' END"
 
 
 def _outcome(load):
-    c = _conf(load)
-    o = F.when(F.col("code").cast("int") % 13 == 0, "out_of_scope").when(F.col("n_dims") < 4, "no_data").when(F.col("confidence") == "unknown", "no_anchor").when(F.col("confidence") == "high", "green").otherwise("non_green")
+    c = _conf(load).join(load("annual").select("code", "year", "name"), ["code", "year"])
+    o = F.when(T.out_of_scope(F.col("name"), F.lit("revenue_breakdown")), "out_of_scope").when(F.col("n_dims") < 4, "no_data").when(F.col("confidence") == "unknown", "no_anchor").when(F.col("confidence") == "high", "green").otherwise("non_green")
     return c.withColumn("outcome", o)
 
 
-@query("q_outcome", CONFIDENCE_SQL + f"SELECT code, year, {OUTCOME} AS outcome FROM conf")
+@query("q_outcome", CONFIDENCE_SQL + f"SELECT code, year, {OUTCOME} AS outcome FROM conf JOIN annual USING (code, year)")
 def outcome(load):
     return _outcome(load).select("code", "year", "outcome")
 
 
-@query("q_heal_cascade", CONFIDENCE_SQL + f""", o AS (SELECT code, year, {OUTCOME} AS outcome FROM conf)
-SELECT code, year, CASE WHEN outcome = 'green' AND verdict = 'pass' THEN 'committed' WHEN outcome = 'green' AND verdict = 'hold' THEN 'verify_hold' WHEN outcome = 'non_green' AND CAST(code AS INT) % 7 = 4 THEN 'rescued_unit'
-  WHEN outcome = 'non_green' AND verdict = 'wrong_table' THEN 'no_such_table' WHEN outcome = 'non_green' THEN 'codegen_still_bad' ELSE outcome END AS outcome FROM o LEFT JOIN verdicts USING (code, year)""")
+RESCUE = """rs AS (SELECT code, year, min(u) AS unit FROM (SELECT code, year, u FROM j CROSS JOIN (SELECT unnest([1e3, 1e4, 1e8]::DOUBLE[]) AS u) x WHERE revenue IS NOT NULL GROUP BY code, year, u HAVING bool_and(abs(CAST(s AS DOUBLE) * u - revenue) <= 0.03 * revenue)) y GROUP BY ALL)"""
+
+
+@query("q_unit_rescue", CONFIDENCE_SQL + f", {RESCUE} SELECT * FROM rs")
+def unit_rescue(load):
+    """The least factor by which all dimensions of a report meet the anchor."""
+    return R.unit_rescue(load("pred"), load("anchor"))
+
+
+@query("q_heal_cascade", CONFIDENCE_SQL + f""", {RESCUE}, o AS (SELECT code, year, {OUTCOME} AS outcome FROM conf JOIN annual USING (code, year))
+SELECT code, year, CASE WHEN outcome = 'green' AND verdict = 'pass' THEN 'committed' WHEN outcome = 'green' AND verdict = 'hold' THEN 'verify_hold' WHEN outcome = 'non_green' AND unit IS NOT NULL THEN 'rescued_unit'
+  WHEN outcome = 'non_green' AND verdict = 'wrong_table' THEN 'no_such_table' WHEN outcome = 'non_green' THEN 'codegen_still_bad' ELSE outcome END AS outcome FROM o LEFT JOIN verdicts USING (code, year) LEFT JOIN rs USING (code, year)""")
 def heal_cascade(load):
-    """Outcomes after repair: the first step of the cascade that applies decides."""
-    j = _outcome(load).join(load("verdicts"), ["code", "year"], "left")
+    """Outcomes after repair: the first step of the cascade that applies decides. A unit slip is one that a factor mends."""
+    j = _outcome(load).join(load("verdicts"), ["code", "year"], "left").join(R.unit_rescue(load("pred"), load("anchor")), ["code", "year"], "left")
     o, v = F.col("outcome"), F.col("verdict")
-    return j.select("code", "year", F.when((o == "green") & (v == "pass"), "committed").when((o == "green") & (v == "hold"), "verify_hold").when((o == "non_green") & (F.col("k") == 4), "rescued_unit").when((o == "non_green") & (v == "wrong_table"), "no_such_table").when(o == "non_green", "codegen_still_bad").otherwise(o).alias("outcome"))
+    return j.select("code", "year", F.when((o == "green") & (v == "pass"), "committed").when((o == "green") & (v == "hold"), "verify_hold").when((o == "non_green") & F.col("unit").isNotNull(), "rescued_unit").when((o == "non_green") & (v == "wrong_table"), "no_such_table").when(o == "non_green", "codegen_still_bad").otherwise(o).alias("outcome"))
 
 
 @query("q_pending_gate", CONFIDENCE_SQL + "SELECT code, year, confidence = 'high' AS written, CASE WHEN confidence = 'high' THEN 'verify' WHEN confidence = 'low' THEN 'review' ELSE 'none' END AS pending FROM conf")
@@ -150,10 +169,21 @@ def assemble(load):
     return load("reports").select("code", "year").join(n, ["code", "year"], "left").na.fill(0)
 
 
-@query("q_resume", "SELECT code, year FROM reports r WHERE NOT EXISTS (SELECT 1 FROM anchor a WHERE a.code = r.code AND a.year = r.year AND a.year < 1998)")
+_DONE = "pl AS (SELECT CASE WHEN json_valid(line) THEN json_extract_string(line, '$.code') END AS code, CASE WHEN json_valid(line) THEN CAST(json_extract_string(line, '$.year') AS INT) END AS year, CASE WHEN json_valid(line) THEN json_extract_string(line, '$.status') END AS status, line FROM progress_lines)"
+
+
+@query("q_resume", f"WITH {_DONE} SELECT code, year FROM reports r WHERE NOT EXISTS (SELECT 1 FROM pl WHERE pl.code = r.code AND pl.year = r.year AND status = 'ok')")
 def resume(load):
-    done = load("anchor").where("year < 1998").select("code", "year")
-    return load("reports").select("code", "year").join(done, ["code", "year"], "left_anti")
+    """What is left to do: all reports but those that a readable line says are done."""
+    done, _ = L.read_lines(load("progress_lines"), "code string, year int, status string")
+    return load("reports").select("code", "year").join(done.where("status = 'ok'"), ["code", "year"], "left_anti")
+
+
+@query("q_dead_letters", f"WITH {_DONE} SELECT CASE WHEN code IS NULL THEN 'malformed' ELSE status END AS reason, count(*) AS n FROM pl WHERE code IS NULL OR status <> 'ok' GROUP BY ALL")
+def dead_letters(load):
+    """Lines that can't be read, and those that report an error."""
+    good, dead = L.read_lines(load("progress_lines"), "code string, year int, status string")
+    return good.where("status <> 'ok'").select(F.col("status").alias("reason")).unionByName(dead.select(F.lit("malformed").alias("reason"))).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("q_batch_progress", "SELECT outcome, count(*) AS n, CAST(max(id) AS BIGINT) AS last_id FROM runs GROUP BY ALL")
@@ -181,12 +211,12 @@ def certify(load):
     return r.groupBy("code", "field").agg(F.array_join(F.array_sort(F.collect_set("outcome")), ",").alias("fingerprints"), F.max("id").alias("last_id"))
 
 
-@query("q_fix_outcome", """WITH b AS (SELECT DISTINCT code, outcome FROM runs WHERE run_id % 2 = 0 AND id % 3 = 0), a AS (SELECT DISTINCT code, outcome FROM runs WHERE run_id % 2 = 1 AND id % 3 = 0), n AS (SELECT code, count(*) AS new_red FROM (SELECT * FROM a EXCEPT SELECT * FROM b) x GROUP BY ALL)
+@query("q_fix_outcome", """WITH b AS (SELECT DISTINCT code, item FROM runs WHERE run_id % 2 = 0 AND red), a AS (SELECT DISTINCT code, item FROM runs WHERE run_id % 2 = 1 AND red), n AS (SELECT code, count(*) AS new_red FROM (SELECT * FROM a EXCEPT SELECT * FROM b) x GROUP BY ALL)
 SELECT c.code, coalesce(new_red, 0) AS new_red, CASE WHEN coalesce(new_red, 0) = 0 THEN 'accept' ELSE 'reject' END AS outcome FROM (SELECT DISTINCT code FROM runs) c LEFT JOIN n USING (code)""")
 def fix_outcome(load):
-    """Red fields after a fix that weren't red before: none, and the fix is accepted."""
-    r = load("runs").where("id % 3 = 0")
-    after, before = (r.where(F.col("run_id") % 2 == i).select("code", "outcome") for i in (1, 0))
+    """Red items after a fix that weren't red before: none, and the fix is accepted. Even runs are before, odd ones after."""
+    r = load("runs").where("red")
+    after, before = (r.where(F.col("run_id") % 2 == i).select("code", "item") for i in (1, 0))
     n = after.subtract(before).groupBy("code").agg(F.count("*").alias("new_red"))
     j = load("runs").select("code").distinct().join(n, "code", "left").withColumn("new_red", F.coalesce("new_red", F.lit(0)))
     return j.withColumn("outcome", F.when(F.col("new_red") == 0, "accept").otherwise("reject"))

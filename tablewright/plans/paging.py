@@ -103,14 +103,14 @@ def snippet(load):
 
 
 @query("q_near_numbers", r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), p AS (SELECT doc_id, x, list_position(list_transform(x, lambda y: contains(lower(y), 'license')), true) AS i FROM l)
-SELECT doc_id, array_to_string(list_transform(regexp_extract_all(array_to_string(x[greatest(i - 1, 1):i + 4], ' '), '[0-9]+(?:[.][0-9]+)?'), lambda v: v), ',') AS numbers FROM p WHERE i > 0""")
+SELECT doc_id, array_to_string(list_filter(regexp_extract_all(array_to_string(x[greatest(i - 1, 1):i + 4], ' '), '[0-9]+(?:[.][0-9]+)?'), lambda v: CAST(v AS DOUBLE) > 10), ',') AS numbers FROM p WHERE i > 0""")
 def near_numbers(load):
-    """Numbers from the line before to four lines after the first line with a keyword."""
+    """Numbers over 10 from the line before to four lines after the first line with a keyword."""
     lines = F.split("text", "\n")
     at = F.array_position(F.transform(lines, lambda x: F.lower(x).contains("license")), True).cast("int")
     d = load("documents").select("doc_id", lines.alias("x"), at.alias("i")).where("i > 0").withColumn("s", F.greatest(F.col("i") - 1, F.lit(1)))
     near = F.array_join(F.slice("x", F.col("s"), F.col("i") + 4 - F.col("s") + 1), " ")
-    return d.select("doc_id", F.array_join(F.regexp_extract_all(near, F.lit("[0-9]+(?:[.][0-9]+)?"), F.lit(0)), ",").alias("numbers"))
+    return d.select("doc_id", F.array_join(F.filter(F.regexp_extract_all(near, F.lit("[0-9]+(?:[.][0-9]+)?"), F.lit(0)), lambda v: v.cast("double") > 10), ",").alias("numbers"))
 
 
 VIEWS["spots"] = "SELECT code, year, table_id, page, top, bottom, cols, tie, tie2 FROM placed"

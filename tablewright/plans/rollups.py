@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tablewright.functions import text as T
 from tablewright.operators import reconcile as R
+from tablewright.operators import rules as U
+from tablewright.operators.grid import DIMENSIONS
 from tablewright.plans import scores  # noqa: F401  (defines the view versions)
 from tablewright.plans.base import VIEWS, query
+from tablewright.plans.extras import SEM_SIG, semantic_signature
 from tablewright.plans.ledgers import OUTCOME, _conf, _outcome
 from tablewright.plans.revenue import CONFIDENCE_SQL, VIOLATIONS_SQL, _employees, hard_cost, hard_revenue, hard_rnd
 
-VIEWS["annual"] = """
-    SELECT code, year, k, CASE WHEN k <> 5 THEN 'annual' ELSE 'q3' END AS quarter, CASE WHEN k = 1 THEN NULL WHEN k = 2 THEN '' ELSE '{}' END AS rev, CASE WHEN k = 3 THEN NULL ELSE '{"a":1}' END AS rnd_json,
-      CASE WHEN year % 3 = 0 THEN NULL ELSE '[1]' END AS emp_json, concat('公司', code, CASE WHEN k = 6 THEN '银行' ELSE '' END) AS name FROM reports"""
 VIEWS["pdfs"] = "SELECT code, year, concat(code, '_', CAST(year AS STRING), CASE n WHEN 0 THEN '' ELSE concat('_h', CAST(n AS STRING)) END, '.pdf') AS file FROM reports CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1) h WHERE (k + year + n) % 3 <> 0"
 
 
@@ -77,12 +78,11 @@ def names(load):
     return load("reports").select("code").distinct().join(s, "code", "left").select("code", F.coalesce("s_name", "code").alias("name"))
 
 
-@query("q_golden_seed", CONFIDENCE_SQL + "SELECT code, year, CASE WHEN year % 4 = 0 THEN 'confirmed' WHEN confidence = 'low' THEN 'todo_fix' ELSE 'todo_confirm' END AS status FROM conf")
+@query("q_golden_seed", CONFIDENCE_SQL + "SELECT conf.code, conf.year, CASE WHEN verdict = 'pass' THEN 'confirmed' WHEN confidence = 'low' THEN 'todo_fix' ELSE 'todo_confirm' END AS status FROM conf LEFT JOIN verdicts USING (code, year)")
 def golden_seed(load):
-    c = _conf(load)
-    confirmed = c.where("year % 4 = 0").select("code", "year", F.lit("confirmed").alias("status"))
-    rest = c.select("code", "year", F.when(F.col("confidence") == "low", "todo_fix").otherwise("todo_confirm").alias("status")).join(confirmed.select("code", "year"), ["code", "year"], "left_anti")
-    return confirmed.unionByName(rest)
+    """Reports that a reviewer passed are confirmed already; the others are to be fixed or confirmed."""
+    j = _conf(load).join(load("verdicts"), ["code", "year"], "left")
+    return j.select("code", "year", F.when(F.col("verdict") == "pass", "confirmed").when(F.col("confidence") == "low", "todo_fix").otherwise("todo_confirm").alias("status"))
 
 
 VIEWS["presence"] = "SELECT code, year, field, present, rule FROM (SELECT code, year, 'revenue' AS field, rev IS NOT NULL AND rev <> '' AS present, k = 3 AS rule FROM annual UNION ALL SELECT code, year, 'rnd', rnd_json IS NOT NULL, k = 2 FROM annual UNION ALL SELECT code, year, 'employees', emp_json IS NOT NULL, k = 4 FROM annual) p"
@@ -163,28 +163,34 @@ def confusion(load):
     return c.select(F.coalesce("field", F.lit("overall")).alias("field"), "tp", "fn", "fp", "tn", F.round(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), 4).alias("recall"))
 
 
-REL_SQL = CONFIDENCE_SQL + """, rl AS (SELECT conf.code, conf.year, conf.n_dims, conf.confidence, max(CAST(s AS DOUBLE) / conf.revenue) AS best, min(CAST(s AS DOUBLE)) AS lo, max(CAST(s AS DOUBLE)) AS hi FROM conf JOIN s USING (code, year) GROUP BY ALL)"""
-CLASS = "CASE WHEN CAST(code AS INT) % 13 = 0 THEN '金融域外' WHEN confidence = 'unknown' THEN '无锚' WHEN n_dims = 0 THEN '全空' WHEN best > 1.05 THEN '过计' WHEN best < 0.5 THEN '严重缺' WHEN best BETWEEN 0.9 AND 1.03 AND n_dims >= 2 THEN '单维不齐' ELSE '中度缺' END"
+#: What reviewers suspect, from their verdicts.
+VIEWS["suspects"] = "SELECT code, year, CASE verdict WHEN 'error' THEN 'amount_error' WHEN 'wrong_table' THEN 'wrong_table' WHEN 'hold' THEN 'name_error' END AS issue FROM verdicts"
+REL_SQL = CONFIDENCE_SQL + """, rl AS (SELECT conf.code, conf.year, conf.n_dims, conf.confidence, max(CAST(s AS DOUBLE) / conf.revenue) AS best, min(CAST(s AS DOUBLE)) AS lo, max(CAST(s AS DOUBLE)) AS hi FROM conf JOIN s USING (code, year) GROUP BY ALL),
+rf AS (SELECT rl.*, name, n_lines, issue FROM rl JOIN annual USING (code, year) JOIN reports USING (code, year) LEFT JOIN suspects USING (code, year))"""
+CLASS = "CASE WHEN n_lines <= 1 THEN '真无表' WHEN regexp_matches(name, '银行|证券|信托|保险|期货') THEN '金融域外' WHEN confidence = 'unknown' THEN '无锚' WHEN n_dims = 0 THEN '全空' WHEN best > 1.05 THEN '过计' WHEN best < 0.5 THEN '严重缺' WHEN issue = 'amount_error' THEN '取错列/单位' WHEN issue = 'name_error' THEN '抠错名称' WHEN issue = 'wrong_table' THEN '选错表' WHEN best BETWEEN 0.9 AND 1.03 AND n_dims >= 2 THEN '单维不齐' ELSE '中度缺' END"
 
 
 def _rel(load):
-    sums = load("pred").groupBy("code", "year", "dim").agg(F.sum("amount").cast("double").alias("s"))
+    sums = load("pred").groupBy("code", "year", "dim").agg(F.sum("amount").cast("double").alias("s")).where("s <> 0")
     j = sums.join(R.confidence(load("pred"), load("anchor")).select("code", "year", "n_dims", "confidence", "revenue"), ["code", "year"])
     return j.groupBy("code", "year", "n_dims", "confidence").agg(F.max(F.col("s") / F.col("revenue")).alias("best"), F.min("s").alias("lo"), F.max("s").alias("hi"))
 
 
 def _classed(load):
-    best = F.col("best")
-    c = F.when(F.col("code").cast("int") % 13 == 0, "金融域外").when(F.col("confidence") == "unknown", "无锚").when(F.col("n_dims") == 0, "全空").when(best > 1.05, "过计").when(best < 0.5, "严重缺").when(best.between(0.9, 1.03) & (F.col("n_dims") >= 2), "单维不齐").otherwise("中度缺")
-    return _rel(load).where("confidence <> 'high'").withColumn("category", c)
+    """Reports that aren't green by what is wrong with them: eleven kinds, the first that applies."""
+    best, issue = F.col("best"), F.col("issue")
+    c = F.when(F.col("n_lines") <= 1, "真无表").when(T.out_of_scope(F.col("name"), F.lit("revenue_breakdown")), "金融域外").when(F.col("confidence") == "unknown", "无锚").when(F.col("n_dims") == 0, "全空").when(best > 1.05, "过计").when(best < 0.5, "严重缺")
+    c = c.when(issue == "amount_error", "取错列/单位").when(issue == "name_error", "抠错名称").when(issue == "wrong_table", "选错表").when(best.between(0.9, 1.03) & (F.col("n_dims") >= 2), "单维不齐").otherwise("中度缺")
+    r = _rel(load).join(load("annual").select("code", "year", "name"), ["code", "year"]).join(load("reports").select("code", "year", "n_lines"), ["code", "year"]).join(load("suspects"), ["code", "year"], "left")
+    return r.where("confidence <> 'high'").withColumn("category", c)
 
 
-@query("q_failure_class", REL_SQL + f" SELECT code, year, {CLASS} AS category FROM rl WHERE confidence <> 'high'")
+@query("q_failure_class", REL_SQL + f" SELECT code, year, {CLASS} AS category FROM rf WHERE confidence <> 'high'")
 def failure_class(load):
     return _classed(load).select("code", "year", "category")
 
 
-@query("q_failure_analysis", REL_SQL + f" SELECT category, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 3) AS share FROM (SELECT {CLASS} AS category FROM rl WHERE confidence <> 'high') c GROUP BY category")
+@query("q_failure_analysis", REL_SQL + f" SELECT category, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 3) AS share FROM (SELECT {CLASS} AS category FROM rf WHERE confidence <> 'high') c GROUP BY category")
 def failure_analysis(load):
     n = _classed(load).groupBy("category").agg(F.count("*").alias("n"))  # categories are a fixed few
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 3))
@@ -216,14 +222,14 @@ def missing_dims(load):
     return want.subtract(load("pred").where("not (k = 3 and dim = 'segments')").select("code", "year", "dim"))
 
 
-@query("q_steward_buckets", REL_SQL + f" SELECT CASE WHEN c IN ('过计', '单维不齐') THEN 'parse' WHEN c IN ('严重缺', '全空') THEN 'selection' WHEN c = '中度缺' THEN 'extraction' ELSE 'data' END AS layer, count(*) AS n FROM (SELECT {CLASS} AS c FROM rl WHERE confidence <> 'high') x GROUP BY ALL")
+@query("q_steward_buckets", REL_SQL + f" SELECT CASE WHEN c IN ('过计', '单维不齐') THEN 'parse' WHEN c IN ('严重缺', '全空', '选错表', '真无表') THEN 'selection' WHEN c IN ('中度缺', '取错列/单位', '抠错名称') THEN 'extraction' ELSE 'data' END AS layer, count(*) AS n FROM (SELECT {CLASS} AS c FROM rf WHERE confidence <> 'high') x GROUP BY ALL")
 def steward_buckets(load):
     c = F.col("category")
-    layer = F.when(c.isin("过计", "单维不齐"), "parse").when(c.isin("严重缺", "全空"), "selection").when(c == "中度缺", "extraction").otherwise("data")
+    layer = F.when(c.isin("过计", "单维不齐"), "parse").when(c.isin("严重缺", "全空", "选错表", "真无表"), "selection").when(c.isin("中度缺", "取错列/单位", "抠错名称"), "extraction").otherwise("data")
     return _classed(load).groupBy(layer.alias("layer")).agg(F.count("*").alias("n"))
 
 
-@query("q_dossier", CONFIDENCE_SQL + f" SELECT conf.code, conf.year, {OUTCOME} AS outcome, n_dims, dims_hit FROM conf WHERE confidence = 'low'")
+@query("q_dossier", CONFIDENCE_SQL + f" SELECT conf.code, conf.year, {OUTCOME} AS outcome, n_dims, dims_hit FROM conf JOIN annual USING (code, year) WHERE confidence = 'low'")
 def dossier(load):
     return _outcome(load).where("confidence = 'low'").select("code", "year", "outcome", "n_dims", "dims_hit")
 
@@ -328,26 +334,38 @@ def status_checks(load):
     return s.groupBy(F.when(t > 100.5, "over").when(t.between(80, 120), "ok").otherwise("short").alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("q_rule_merge", "SELECT role, alias, min(pos) AS pos FROM (SELECT p_type AS role, p_brand AS alias, CAST(p_size AS INT) AS pos FROM part WHERE p_size < 25 UNION ALL SELECT p_type, p_brand, CAST(1000 + p_size AS INT) FROM part WHERE p_size >= 25) x GROUP BY ALL")
+#: A pool of rule versions: aliases of roles with their place; version 0 is the base.
+VIEWS["rule_pool"] = "SELECT CAST(p_partkey % 4 AS INT) AS version, p_type AS role, p_brand AS alias, CAST(p_size AS INT) AS pos FROM part"
+#: Requested changes, of which some are of unknown roles, too short, known already or against what is known.
+VIEWS["alias_requests"] = "SELECT p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN 'margin' ELSE p_type END AS role, CASE WHEN p_size % 7 = 0 THEN 'x' WHEN p_size % 3 = 0 THEN p_brand ELSE concat(p_brand, '甲') END AS alias FROM part"
+VIEWS["marker_requests"] = """SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN '分行业' WHEN 1 THEN concat('按', p_brand, '分') WHEN 2 THEN ' 分地区 ' ELSE 'x' END AS marker, CASE p_size % 5 WHEN 0 THEN 'industries' WHEN 1 THEN 'regions' WHEN 2 THEN 'colours' ELSE 'segments' END AS dim FROM part"""
+_MARKERS = ", ".join(f"('{m}', '{d}')" for m, d in DIMENSIONS.items())
+
+
+@query("q_rule_merge", """WITH v AS (SELECT DISTINCT version FROM rule_pool), u AS (SELECT v.version, role, alias, p.version > 0 AS added, pos FROM v JOIN rule_pool p ON p.version = 0 OR p.version = v.version), f AS (SELECT version, role, alias, min((added, pos)) AS first_at FROM u GROUP BY ALL)
+SELECT version, role, alias, CAST(row_number() OVER (PARTITION BY version, role ORDER BY first_at, alias) AS INT) AS place FROM f""")
 def rule_merge(load):
-    """Ordered union of base and delta aliases: an alias keeps its first place, new ones follow."""
-    p = load("part")
-    base = p.where("p_size < 25").select(F.col("p_type").alias("role"), F.col("p_brand").alias("alias"), F.col("p_size").cast("int").alias("pos"))
-    delta = p.where("p_size >= 25").select(F.col("p_type").alias("role"), F.col("p_brand").alias("alias"), (F.col("p_size") + 1000).cast("int").alias("pos"))
-    return base.unionByName(delta).groupBy("role", "alias").agg(F.min("pos").alias("pos"))
+    """Every version's rule: the base's aliases in their order, then what the version adds."""
+    return U.merged(load("rule_pool"))
+
+
+@query("q_rule_override", "SELECT role, count(DISTINCT alias) AS n FROM rule_pool WHERE version IN (0, 2) GROUP BY role")
+def rule_override(load):
+    """The rule of one version in place of the current one: a filter, with no state to put back."""
+    return U.at_version(load("rule_pool"), 2).groupBy("role").agg(F.count("*").alias("n"))
 
 
-@query("q_sanitize_delta", "SELECT p_partkey AS id, p_brand AS alias FROM part WHERE p_type IN ('STANDARD', 'PROMO') AND length(trim(p_brand)) BETWEEN 2 AND 12")
+@query("q_sanitize_delta", "SELECT id, r.role, trim(r.alias) AS alias FROM alias_requests r WHERE length(trim(alias)) BETWEEN 2 AND 12 AND EXISTS (SELECT 1 FROM rule_pool p WHERE p.version = 0 AND p.role = r.role) AND NOT EXISTS (SELECT 1 FROM rule_pool p WHERE p.version = 0 AND p.role = r.role AND p.alias = trim(r.alias))")
 def sanitize_delta(load):
-    """Only whitelisted roles and short aliases may change a rule."""
-    return load("part").where(F.col("p_type").isin("STANDARD", "PROMO") & F.length(F.trim("p_brand")).between(2, 12)).select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("alias"))
+    """Only aliases of known roles, of a fair length and not known yet, may change a rule."""
+    return U.sanitized(load("alias_requests"), U.at_version(load("rule_pool"), 0))
 
 
-@query("q_add_marker", "SELECT p_partkey AS id, CASE WHEN p_size < 3 THEN 'invalid' WHEN p_size % 3 = 0 AND p_size < 30 THEN 'noop' WHEN p_size % 3 = 0 THEN 'conflict' ELSE 'added' END AS outcome FROM part")
+@query("q_add_marker", f"""SELECT id, CASE WHEN length(trim(r.marker)) < 2 OR r.dim NOT IN ('industries', 'segments', 'regions', 'by_channel') THEN 'invalid' WHEN m.dim = r.dim THEN 'noop' WHEN m.dim IS NOT NULL THEN 'conflict' ELSE 'added' END AS outcome
+FROM marker_requests r LEFT JOIN (VALUES {_MARKERS}) AS m(marker, dim) ON m.marker = trim(r.marker)""")
 def add_marker(load):
-    """Validate a new section marker: too short, known with the same dimension, known with another, or new."""
-    s = F.col("p_size")
-    return load("part").select(F.col("p_partkey").alias("id"), F.when(s < 3, "invalid").when((s % 3 == 0) & (s < 30), "noop").when(s % 3 == 0, "conflict").otherwise("added").alias("outcome"))
+    """New section markers against those of the rules: invalid, known with the same dimension, known with another, or added."""
+    return U.add_markers(load("marker_requests"), DIMENSIONS)
 
 
 @query("q_profile_priority", "WITH p AS (SELECT code, year, page, 'report' AS level, 0 AS prio, table_id FROM placed WHERE cols = 2 UNION ALL SELECT code, year, page, 'fingerprint', 1, table_id FROM placed WHERE cols = 3), r AS (SELECT *, row_number() OVER (PARTITION BY code, year, page ORDER BY prio, table_id) AS rn FROM p WHERE year % 3 <> 0) SELECT code, year, page, level, table_id FROM r WHERE rn = 1")
@@ -364,7 +382,7 @@ def mismatch_checks(load):
     return n.select("code", "year", "n_sheet", F.when(F.col("n_sheet") >= 3, "balance_sheet").when(F.col("n") > 90, "too_many").otherwise("fine").alias("verdict"))
 
 
-@query("q_header_clusters", "SELECT sig, count(*) AS n FROM (SELECT code, year, table_id, string_agg(v, '>' ORDER BY c) AS sig FROM cells WHERE r = 0 AND v <> '' GROUP BY ALL) x GROUP BY sig")
+@query("q_header_clusters", SEM_SIG + " SELECT sig, count(*) AS n, count(DISTINCT code) AS n_codes FROM sg GROUP BY sig")
 def header_clusters(load):
-    h = load("cells").where("r = 0 and v <> ''").groupBy("code", "year", "table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda x: x["v"]), ">").alias("sig"))
-    return h.groupBy("sig").agg(F.count("*").alias("n"))
+    """Tables by the roles of their columns in order."""
+    return semantic_signature(load).groupBy("sig").agg(F.count("*").alias("n"), F.count_distinct("code").alias("n_codes"))

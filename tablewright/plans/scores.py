@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablewright.operators import reconcile as R
@@ -99,11 +100,11 @@ def best_version(load):
     return S.best_version(_ordered(load))
 
 
-@query("q_pick_mother", SCORES_SQL + ", e AS (SELECT version, avg(score) AS s FROM sc GROUP BY version) SELECT arg_max(version, (round(s, 4), version)) AS mother, round(max(s), 4) AS score FROM e")
+@query("q_pick_mother", SCORES_SQL + ", e AS (SELECT version, avg(score) AS s FROM sc GROUP BY version) SELECT arg_max(version, (round(s, 4), CASE version WHEN 'base' THEN 0 WHEN 'fixed' THEN -1 ELSE -2 END)) AS mother, round(max(s), 4) AS score FROM e")
 def pick_mother(load):
-    """The best parser to derive a new one from."""
-    e = _scores(load).groupBy("version").agg(F.round(F.avg("score"), 4).alias("s"))
-    return e.agg(F.max_by("version", F.struct("s", "version")).alias("mother"), F.max("s").alias("score"))
+    """The best parser to derive a new one from; of equals the first."""
+    e = _ordered(load).groupBy("version").agg(F.round(F.avg("score"), 4).alias("s"), F.min("ord").alias("ord"))
+    return e.agg(F.max_by("version", F.struct("s", -F.col("ord"))).alias("mother"), F.max("s").alias("score"))
 
 
 @query("q_accept", SCORES_SQL + """, j AS (SELECT c.version AS candidate, a.score AS a, c.score AS b FROM sc a JOIN sc c USING (code, year) WHERE a.version = 'base' AND c.version <> 'base')
@@ -122,19 +123,22 @@ def anchor_score(load):
     return s.groupBy("code", "year").agg(F.round(-F.sum(off), 6).alias("score"), F.count_if(off <= 0.03).alias("n_ok"))
 
 
+#: With an anchor a dimension is fine if it meets it, without one if it agrees with the largest.
 ROUTE_SQL = """
-WITH d AS (SELECT version, ord, code, year, dim, count(*) AS n, sum(amount) AS s FROM versions GROUP BY ALL),
-t AS (SELECT code, year, dim, sum(amount) AS t FROM golden GROUP BY ALL),
-p AS (SELECT version, ord, code, year, sum(n) AS n_rows, count(*) AS n_dims, count(*) FILTER (abs(CAST(s AS DOUBLE) / CAST(t AS DOUBLE) - 1) <= 0.03) AS ok FROM d JOIN t USING (code, year, dim) GROUP BY ALL),
+WITH d AS (SELECT version, ord, code, year, dim, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS s FROM versions GROUP BY ALL),
+t AS (SELECT d.*, max(s) OVER (PARTITION BY version, code, year) AS top, CAST(revenue AS DOUBLE) AS a FROM d LEFT JOIN anchor USING (code, year)),
+p AS (SELECT version, ord, code, year, sum(n) AS n_rows, count(*) AS n_dims, count(*) FILTER (abs(s - coalesce(a, top)) <= 0.03 * coalesce(a, top)) AS ok FROM t GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY code, year ORDER BY CASE WHEN ok = n_dims AND n_rows >= 2 THEN 1 ELSE 0 END DESC, ok DESC, n_rows DESC, ord) AS rn FROM p)
 """
 
 
 def _routed(load):
-    d = load("versions").groupBy("version", "ord", "code", "year", "dim").agg(F.count("*").alias("n"), F.sum("amount").alias("s"))
-    t = load("golden").groupBy("code", "year", "dim").agg(F.sum("amount").alias("t"))
-    ok = F.abs(F.col("s").cast("double") / F.col("t").cast("double") - 1) <= 0.03
-    p = d.join(t, ["code", "year", "dim"]).groupBy("version", "ord", "code", "year").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_dims"), F.count_if(ok).alias("ok"))
+    """The candidate that verifies best by what a run knows: anchors and agreement, never golden data; of equals the first."""
+    d = load("versions").groupBy("version", "ord", "code", "year", "dim").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("s"))
+    d = d.join(load("anchor").select("code", "year", F.col("revenue").cast("double").alias("a")), ["code", "year"], "left")
+    target = F.coalesce("a", F.max("s").over(Window.partitionBy("version", "code", "year")))
+    d = d.withColumn("ok", F.abs(F.col("s") - target) <= 0.03 * target)
+    p = d.groupBy("version", "ord", "code", "year").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_dims"), F.count_if("ok").alias("ok"))
     clean = (F.col("ok") == F.col("n_dims")) & (F.col("n_rows") >= 2)
     best = p.groupBy("code", "year").agg(F.max_by(F.struct("version", clean.alias("clean"), "ok", "n_dims"), F.struct(clean.cast("int"), "ok", "n_rows", -F.col("ord"))).alias("b"))
     return best.select("code", "year", "b.*")
