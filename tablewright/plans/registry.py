@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablewright.plans import extras, fieldtables, grids, ledgers, paging, revenue, rollups, scalar, scores, selections  # noqa: F401
+from tablewright.plans import extras, fieldtables, grids, ledgers, paging, revenue, rollups, scalar, scores, selections, variants  # noqa: F401
 from tablewright.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
