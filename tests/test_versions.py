@@ -43,14 +43,14 @@ def test_rnd_prefers_the_table_that_adds_up(spark):
 
 
 def test_partners_skip_rows_without_a_share(spark):
-    grid = [["序号", "客户名称", "销售额", "占年度销售总额比例"], ["1", "甲公司", "50,000", "30%"], ["2", "乙公司", "40,000", None], ["3", None, "30,000", "9%"], ["合计", "--", "120,000", "69%"]]
-    assert got(V.partners(cells(spark, grid), "client")) == [(1, 1, "client", "甲公司", 50000.0, 30.0), (1, 4, "total", "", 120000.0, 69.0)]
+    grid = [["序号", "客户名称", "销售额", "占年度销售总额比例"], ["1", "甲公司", "50,000", "30%"], ["2", "乙公司", "40,000", None], ["3", "丙公司", "30,000", "20%"], ["4", None, "20,000", "9%"], ["合计", "--", "120,000", "69%"]]
+    assert got(V.partners(cells(spark, grid), "client")) == [(1, 1, "client", "甲公司", 50000.0, 30.0), (1, 3, "client", "丙公司", 30000.0, 20.0), (1, 5, "total", "", 120000.0, 69.0)]
     assert got(V.partners(cells(spark, grid), "supplier")) == []
 
 
 def test_buckets_leave_margin_tables(spark):
     margin = [["分产品", "营业收入", "毛利率"], ["甲", "9,000", "30%"], ["乙", "8,000", "34%"]]
-    shares = [["项目", "金额", "比重", "同比"], ["分行业", None, None, None], ["制造", "17,000", "100%", "1%"], ["分 产品"], ["甲", "9,000", "53%", "-4%"], ["乙", "8,000", "47%", "8%"], ["合计", "17,000", "100%", "1%"]]
+    shares = [["项目", "金额", "比重", "同比"], ["分行业", None, None, None], ["制造", "17,000", "100%", "1%"], ["分 产品"], ["甲", "9,000", "53%", "-4%"], ["乙", "8,000", "47%", "8%"], ["合计", "17,000", "100%", "1%"], ["分地区"]]
     assert got(V.buckets(cells(spark, margin, shares))) == [(2, 2, "industries", "制造", 17000.0, 100.0), (2, 4, "segments", "甲", 9000.0, 53.0), (2, 5, "segments", "乙", 8000.0, 47.0)]
 
 
