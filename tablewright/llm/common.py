@@ -38,6 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """The same rows, written to the shared folder as columns and read from there."""
+    df.write.parquet(path := new_folder(df.sparkSession, what))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def open_fs(uri: str):
     """(file system, path) of a URI as executors see it; a bare path is local."""
     from pyarrow import fs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, decontaminate, html, licenses, quality, simhash, tokenfiles, toxicity, warc
+from tablewright.llm import bpe, decontaminate, exact, html, licenses, phrases, quality, simhash, spelling, tokenfiles, toxicity, warc
 from tablewright.llm.common import held_out
 
 
@@ -81,9 +81,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_copies(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_files, op2_simhash, op3_quality_rules, op4_toxicity, op5_warc, op6_bpe, op7_decontamination, op8_token_counts, op9_html, op10_licenses)
+    for f in (op1_token_files, op2_simhash, op3_quality_rules, op4_toxicity, op5_warc, op6_bpe, op7_decontamination, op8_token_counts, op9_html, op10_licenses, op11_exact_dedup, op12_spelling_variants, op13_collocations)
 }
 
-ORACLES: dict[str, str] = {"op5_warc": OP5_SQL, "op10_licenses": licenses.oracle()}
+ORACLES: dict[str, str] = {"op5_warc": OP5_SQL, "op10_licenses": licenses.oracle(), "op11_exact_dedup": exact.ORACLE, "op13_collocations": phrases.ORACLE}
