@@ -37,10 +37,17 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: What containers beside the main text are called.
 BESIDE_TAGS = frozenset("nav aside footer form menu dialog button search label fieldset".split())
-BESIDE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side rail footer foot header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments reply replies respond disqus discussion feedback related recommended recommendations more share sharing social widget widgets toolbar pagination pager tags skip search copyright legal disclaimer paywall".split())
+BESIDE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation navs menu menus breadcrumb breadcrumbs sidebar sidebars footer footers masthead topbar cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login comment comments disqus pagination pager toolbar widget widgets paywall".split())
+#: Names that say so only where nothing but a part's name follows ("more-links", but not "more-info").
+VAGUE_NAMES = frozenset("side rail foot head header notice notices alert alerts reply replies respond discussion feedback related recommended recommendations more share sharing social tags skip search copyright legal disclaimer".split())
 BESIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 MAIN_TAGS = frozenset("article main".split())
-MAIN_NAMES = frozenset("article content main post entry story text body articlebody".split())
+MAIN_NAMES = frozenset("article main post entry story".split())
+#: Names of parts: main text by themselves, else part of what the words before them say.
+PART_NAMES = frozenset("content contents text body copy".split())
+FRAME_NAMES = frozenset("list item items inner outer wrapper wrap container box block area section region panel group row column col bar links link button buttons posts articles stories meta info".split()) - {"info"}
+#: Words that make a name tell how a container looks or works, not what it holds.
+LOOK_NAMES = frozenset("has no not non with without is enable enabled disable disabled show hide open closed active js layout grid width wide left right page theme template mode type format style single".split())
 ATTR = re.compile(r"""([a-zA-Z_:][-a-zA-Z0-9_:.]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -51,7 +58,7 @@ FEATURES = ("nearest", "main_around", "heading", "paragraph", "words", "link_den
 class Block:
     parts: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
-    nearest: int = 0  # 1 the nearest telling container is main text, -1 it stands beside it
+    nearest: int = 0  # what the nearest telling container says, see kind_of
     main_around: int = 0
     heading: int = 0
     paragraph: int = 0
@@ -74,23 +81,47 @@ class Around:
     keep: bool = False
 
 
+def named(token: str) -> int:
+    """1, -1 or 0: what one class or id says. Its last word weighs most: an "article-footer" is a footer, a "legal-article"
+    an article and "side-effects" neither."""
+    words = [x.lower() for x in NAME.findall(token)]
+    if not words or LOOK_NAMES.intersection(words):
+        return 0
+    part = False
+    for k, word in enumerate(reversed(words)):
+        if word in BESIDE_NAMES or word in VAGUE_NAMES:
+            return -1
+        if word in MAIN_NAMES:
+            return 1
+        if word in PART_NAMES:
+            part = True
+        elif word not in FRAME_NAMES:
+            # something else, as in "breadcrumb-trail": only plain words before it still count
+            rest = words[: len(words) - k - 1]
+            return -1 if BESIDE_NAMES.intersection(rest) else 1 if part and k == len(words) - 1 else 0
+    return int(part)
+
+
 def kind_of(tag: str, attributes: str, inside_main: bool) -> int:
-    """1, -1 or 0: what a container says about the text in it."""
+    """What a container says about the text in it: 2 and -2 by its tag or role (main text or beside it), 1 and -1 by
+    its names, 0 nothing; names that contradict each other say nothing."""
     if tag in BESIDE_TAGS or (tag == "header" and not inside_main):
-        return -1
-    names: set[str] = set()
+        return -2
+    said: set[int] = set()
     if attributes:
         for name, value in ATTR.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id"):
-                names.update(x.lower() for x in NAME.findall(value))
+                said.update(named(x) for x in value.split())
             elif (name == "role" and value.lower() in BESIDE_ROLES) or name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                return -1
+                return -2
             elif (name == "role" and value.lower() == "main") or (name == "itemprop" and value.lower() == "articlebody"):
-                return 1
-    if names & BESIDE_NAMES and tag not in ("body", "html") and tag not in MAIN_TAGS:
+                return 2
+    if tag in MAIN_TAGS:
+        return 2
+    if -1 in said and 1 not in said and tag not in ("body", "html"):
         return -1
-    if tag in MAIN_TAGS or (names & MAIN_NAMES and tag in ("div", "section", "td")):
+    if 1 in said and -1 not in said and tag in ("div", "section", "td"):
         return 1
     return 0
 
@@ -205,7 +236,7 @@ def blocks_of(page: str) -> list[Block]:
             top = stack[-1]
             kind = kind_of(tag, attributes, top.main)
             paragraph = tag in PARAGRAPHS if tag in BLOCKS else top.paragraph
-            stack.append(Around(tag, kind or top.kind, top.main or kind == 1, paragraph, top.keep or "data-keep" in attributes))
+            stack.append(Around(tag, kind or top.kind, top.main or kind > 0, paragraph, top.keep or "data-keep" in attributes))
             open_tags[tag] += 1
     if start < len(page):
         say(page[start:])
@@ -267,6 +298,11 @@ def _article(r: random.Random, named: bool) -> str:
     return "".join(out)
 
 
+#: Names as they occur on pages, written down for the labelled table and not made from the lists above.
+TELLING = ("post-body share-enabled", "content has-sidebar", "entry more-info", "legal-article", "td-post-content", "story_main no-comments", "articleText hentry", "contentBody")
+NO_TELLING = ("side-effects", "content related", "newsletter article-wrap", "tags-and-topics", "header-less", "feedback-loop", "search-history", "box story subscribe", "node node-page", "l-col-8 prose", "wp-block-group", "richtext")
+
+
 def labelled_pages(pages: int = 240, seed: int = 11) -> list[str]:
     """The labelled table: pages by a rule, in which data-keep marks the elements that hold main text.
     Every second page is unnamed, and has only such text beside the main text as words and links can tell."""
@@ -280,8 +316,10 @@ def labelled_pages(pages: int = 240, seed: int = 11) -> list[str]:
         article = _article(r, k % 2 == 0)
         if k % 2:
             short = f"<div>{n(5, 8, 12)}.</div>" if r.random() < 0.6 else ""
-            page = nav + short + f"<article>{article}</article>" + links * (r.random() < 0.3) + foot * (r.random() < 0.8)
-            out.append(unnamed(page))
+            page = unnamed(nav + short + f"<article>{article}</article>" + links * (r.random() < 0.3) + foot * (r.random() < 0.8))
+            if r.random() < 0.5:  # a name that says nothing about what the container holds, or two that contradict each other
+                page = page.replace(unnamed(article), f'<div class="{r.choice(NO_TELLING)}">{unnamed(article)}</div>')
+            out.append(page)
             continue
         ad = r.choice(("<div class=ad>{}.</div>", "<aside>{}</aside>", "<div class='sponsored box'><p>{}</p></div>")).format(n(4, 8, 20, 45))
         notice = f"<div class=cookie-notice><p>{n(12, 30)}</p><button>{n(1, 2)}</button></div>" * (r.random() < 0.3)
@@ -289,7 +327,7 @@ def labelled_pages(pages: int = 240, seed: int = 11) -> list[str]:
         side = f"<aside><h2>{n(1, 2)}</h2>{links}<p>{n(10, 30)}</p></aside>" * (r.random() < 0.3)
         form = f"<form><label>{n(1, 2)}</label><p>{n(5, 12)}</p><button>{n(1)}</button></form>" * (r.random() < 0.3)
         remarks = f"<section class=comments><h3>{n(1, 2)}</h3><p>{n(5, 30, 60)}</p><p>{n(1, 4, 12)}</p></section>" * (r.random() < 0.4)
-        main = r.choice(("<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>", "<main><article>{}</article></main>"))
+        main = r.choice(("<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>", "<main><article>{}</article></main>", '<div class="{}">{{}}</div>'.format(r.choice(TELLING))))
         inside = article + (ad if r.random() < 0.2 else "") + (remarks if r.random() < 0.5 else "")
         out.append(notice + header + nav + ad * (r.random() < 0.7) + main.format(inside) + side + remarks + form + foot * (r.random() < 0.7))
     return out

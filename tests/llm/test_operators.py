@@ -417,3 +417,21 @@ def test_licenses_equal_duckdb(docs, rows):
     want = con.sql(licenses.oracle()).fetchall()
     got = [tuple(r) for r in licenses.scan(docs).select("doc_id", "n_canonical", "digest", "license_id").collect()]
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+MIXED_NAMES = ['class="content has-sidebar"', 'id="content" class="no-comments"', 'class="post-body share-enabled"', 'class="legal-article"', 'class="entry more-info"', 'class="side-effects"', 'class="content related"', 'class="article"', 'class="postContent wide-ads-off"']
+
+
+@pytest.mark.parametrize("names", MIXED_NAMES)
+def test_html_names_of_the_side_within_other_names_lose_no_article(names):
+    tree = html.trained()
+    prose = [" ".join(f"word{(k * 7 + i) % 90}" for i in range(60)) + "." for k in range(4)]
+    body = "<h1>The head line</h1>" + "".join(f"<p>{p}</p>" for p in prose)
+    for tag in ("div", "section"):
+        page = f"<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><{tag} {names}>{body}</{tag}><div class=footer-links><a href=/x>About us</a></div></body></html>"
+        assert html.main_text(page, tree) == "\n".join(["The head line", *prose])
+
+
+def test_html_compound_names():
+    want = {"comment-list": -1, "commentBody": -1, "sidebar-content": -1, "post-footer": -1, "related-posts": -1, "cookie-notice": -1, "breadcrumb-trail": -1, "main-nav": -1, "share-buttons": -1, "ad": -1, "article": 1, "post-content": 1, "legal-article": 1, "article-body": 1, "has-sidebar": 0, "side-effects": 0, "more-info": 0, "no-comments": 0, "node": 0, "": 0}
+    assert {k: html.named(k) for k in want} == want
