@@ -119,10 +119,11 @@ def brute_force(rows: list[tuple], max_n: int = 3, least: int = 10, explained: i
     for (lang, p), c in f.items():
         n[lang] += c if len(p) == 1 else 0
     best = []
+    often = [(lang, q, c) for (lang, q), c in f.items() if c >= least and len(q) > 2]
     for (lang, p), a in f.items():
         if len(p) < 2 or a < least:
             continue
-        inside = [c for (other, q), c in f.items() if other == lang and len(q) > len(p) and c >= least and any(q[i : i + len(p)] == p for i in range(len(q)))]
+        inside = [c for other, q, c in often if other == lang and len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q)))]
         if any(100 * c >= explained * a for c in inside):
             continue
         cuts = [(1000000 * a * a // (f[lang, p[:k]] * f[lang, p[k:]]), k, f[lang, p[:k]], f[lang, p[k:]]) for k in range(1, len(p))]

@@ -42,9 +42,9 @@ def test_a_large_group_of_copies_is_joined_in_portions(spark, monkeypatch):
 
 def test_chunks_join_to_the_text_and_are_cut_by_content(spark):
     r = random.Random(4)
-    words = ["stone", "river", "été", "数", "x" * 200, "a", "b.c"]
+    words = ["stone", "river,", "été", "数。", "x" * 200, "a", "b.c", "..."]
     body = " ".join(r.choice(words) + str(r.randrange(50)) for _ in range(30000))
-    texts = [body, "one more at the front " + body, "", " ", " a ", "a b " * 20000, "x" * 100000, None]
+    texts = [body, "one more at the front " + body, "", " ", " a ", "a b " * 20000, "x" * 100000, None, "." * 5000, "a,b " * 9000]
     got = [x[0] for x in exact.chunked(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"), ["i"], "text").orderBy("i").select("_chunks").collect()]
     assert ["".join(c) for c in got] == [re.sub(r"\s+", " ", t or "") for t in texts]
     assert all(len(re.findall(exact.PIECE, c)) <= exact.FAR for x in got for c in x)
