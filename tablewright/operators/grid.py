@@ -75,6 +75,23 @@ def header_columns(cells: DataFrame) -> DataFrame:
     return found.select(*TABLE, *(F.when(F.col(f"h_{role}").isNotNull(), F.col(role)).alias(role) for role in ALIASES))
 
 
+def resolved_columns(cells: DataFrame, hints: DataFrame | None = None) -> DataFrame:
+    """Name, amount and share column of each table. By header; else the first column with two text cells (or the first of
+    all) and, for the amount, the column that ``hints`` (TABLE, c) names, or the first other one with two numbers. A share column
+    only by its header, so that margins don't pass for shares."""
+    s = column_stats(cells)
+    kinds = s.groupBy(*TABLE).agg(F.min(F.when(F.col("n_text") >= 2, F.col("c"))).alias("t"), F.array_sort(F.collect_list(F.when(F.col("n_money") >= 2, F.col("c")))).alias("m"))
+    j = header_columns(cells).join(kinds, list(TABLE))
+    if hints is None:
+        j = j.withColumn("hint", F.lit(None).cast("int"))
+    else:
+        j = j.join(hints.select(*TABLE, F.col("c").alias("hint")), list(TABLE), "left")
+    ratio = F.when(~F.col("revenue").eqNullSafe(F.col("ratio")), F.col("ratio"))
+    j = j.withColumn("name_col", F.coalesce("name", "t", F.lit(0))).withColumn("ratio_col", ratio)
+    free = F.get(F.filter("m", lambda x: (x != F.col("name_col")) & ~x.eqNullSafe(F.col("ratio_col"))), F.lit(0))
+    return j.select(*TABLE, "name_col", F.coalesce("revenue", "hint", free).alias("amount_col"), "ratio_col")
+
+
 def ratio_sum_column(cells: DataFrame, low: float = 90, high: float = 110) -> DataFrame:
     """The leftmost column with two shares or more that sum to low..high, with or without those of 99.5 and more."""
     v = T.parse_ratio(F.col("v"))

@@ -140,14 +140,15 @@ def is_trap(cells: DataFrame) -> DataFrame:
     return top.select(*TABLE, (F.col("g") & F.col("y")).alias("trap"))
 
 
-def judged(cells: DataFrame, anchors: DataFrame, meta: DataFrame | None = None, anchor: str = "revenue") -> DataFrame:
+def judged(cells: DataFrame, anchors: DataFrame, meta: DataFrame | None = None, anchor: str = "revenue", dealt: bool = False) -> DataFrame:
     """A row for each table: the column that explains the anchor best and its error (null without an anchor), dimensions that it has
     markers of, and whether it's the table of large items only, by its caption or by its head. One shuffle of
-    the cells: all are conditional aggregates by column, then by table."""
+    the cells, none where they are dealt by report already: all are conditional aggregates by column, then by table."""
     v, x = F.col("v"), T.parse_money(F.col("v"))
     units = (1.0, 1e3, 1e4, 1e8)
     a = F.col("_a")
-    priced = cells.join(anchors.select("code", "year", F.col(anchor).cast("double").alias("_a")), ["code", "year"], "left").repartition(*TABLE)
+    priced = cells.join(anchors.select("code", "year", F.col(anchor).cast("double").alias("_a")), ["code", "year"], "left")
+    priced = priced if dealt else priced.repartition(*TABLE)
     dims: dict[str, list[str]] = {}
     for marker, dim in DIMENSIONS.items():
         dims.setdefault(dim, []).append(marker)

@@ -93,15 +93,13 @@ def header_cols(load):
     return G.header_columns(load("cells"))
 
 
-@query("q_resolve_cols", HEADCOLS + """, fb AS (SELECT code, year, table_id, min(c) FILTER (n_text >= 2) AS t, min(c) FILTER (n_money >= 2) AS m FROM st GROUP BY ALL)
-SELECT code, year, table_id, coalesce(name, t) AS name_col, coalesce(revenue, CASE WHEN m IS DISTINCT FROM coalesce(name, t) THEN m END) AS amount_col, CASE WHEN revenue IS DISTINCT FROM ratio THEN ratio END AS ratio_col FROM cols JOIN fb USING (code, year, table_id)""")
+FALLBACK = "fb AS (SELECT code, year, table_id, min(c) FILTER (n_text >= 2) AS t, list(c ORDER BY c) FILTER (n_money >= 2) AS m FROM st GROUP BY ALL)"
+
+
+@query("q_resolve_cols", HEADCOLS + f""", {FALLBACK}, nq AS (SELECT code, year, table_id, coalesce(name, t, 0) AS name_col, revenue, m, CASE WHEN revenue IS DISTINCT FROM ratio THEN ratio END AS ratio_col FROM cols JOIN fb USING (code, year, table_id))
+SELECT code, year, table_id, name_col, coalesce(revenue, list_filter(m, lambda x: x <> name_col AND x IS DISTINCT FROM ratio_col)[1]) AS amount_col, ratio_col FROM nq""")
 def resolve_cols(load):
-    """Columns by header, with the first text and number columns to fall back on."""
-    cells = load("cells")
-    fb = G.column_stats(cells).groupBy(*G.TABLE).agg(F.min(F.when(F.col("n_text") >= 2, F.col("c"))).alias("t"), F.min(F.when(F.col("n_money") >= 2, F.col("c"))).alias("m"))
-    j = G.header_columns(cells).join(fb, list(G.TABLE))
-    name = F.coalesce("name", "t")
-    return j.select(*G.TABLE, name.alias("name_col"), F.coalesce("revenue", F.when(~F.col("m").eqNullSafe(name), F.col("m"))).alias("amount_col"), F.when(~F.col("revenue").eqNullSafe(F.col("ratio")), F.col("ratio")).alias("ratio_col"))
+    return G.resolved_columns(load("cells"))
 
 
 @query("q_ratio_sum_col", f"""WITH s AS (SELECT code, year, table_id, c, CASE WHEN {_SHARE} THEN TRY_CAST(translate(v, '%,', '') AS DOUBLE) END AS x FROM cells),

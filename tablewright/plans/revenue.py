@@ -13,11 +13,11 @@ VIEWS["shared"] = """
     FROM (SELECT *, sum(amount) OVER (PARTITION BY code, year, dim) AS t FROM golden) g WHERE NOT (k = 2 AND dim = 'segments' AND name LIKE 'S%')"""
 
 
-@query("q_revenue_breakdown", """
+@query("q_shares", """
 SELECT code, year, dim, name, CAST(amount AS DOUBLE) AS amount,
        round(CAST(amount AS DOUBLE) / CAST(nullif(sum(amount) OVER (PARTITION BY code, year, dim), 0) AS DOUBLE) * 100, 2) AS share_calc,
        CAST(row_number() OVER (PARTITION BY code, year, dim ORDER BY amount DESC, name) AS INT) AS rn FROM pred""")
-def revenue_breakdown(load):
+def shares(load):
     return R.shares(load("pred")).select("code", "year", "dim", "name", F.col("amount").cast("double").alias("amount"), "share_calc", "rn")
 
 

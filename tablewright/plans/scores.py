@@ -144,8 +144,8 @@ def _routed(load):
     return best.select("code", "year", "b.*")
 
 
-@query("q_route_field", ROUTE_SQL + "SELECT code, year, version AS source, CASE WHEN ok = n_dims AND n_rows >= 2 THEN 'routed' ELSE 'needs_repair' END AS status FROM r WHERE rn = 1")
-def route_field(load):
+@query("q_route_versions", ROUTE_SQL + "SELECT code, year, version AS source, CASE WHEN ok = n_dims AND n_rows >= 2 THEN 'routed' ELSE 'needs_repair' END AS status FROM r WHERE rn = 1")
+def route_versions(load):
     """The candidate that verifies best for each report: clean first, then dimensions, then rows."""
     return _routed(load).select("code", "year", F.col("version").alias("source"), F.when(F.col("clean"), "routed").otherwise("needs_repair").alias("status"))
 
