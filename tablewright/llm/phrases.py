@@ -1,8 +1,10 @@
 """Collocations: phrases that occur together far more often than their parts let expect.
 
-All runs of 1 to ``max_n`` words inside a piece become rows, which are counted per language with
-partial sums. A phrase's count is joined to those of its two parts at each cut, the score is exact
-(decimal) arithmetic, phrases that a phrase of one word more explains are taken out by an anti-join,
+The runs of 1 to ``max_n`` words inside a piece become rows, which are counted per language with partial sums, one
+length after the other: a run is a row only if the two runs of one word less in it occurred often enough, as it can't do so itself
+otherwise. That is looked up in a bitmap of hashes of fixed size, in which a chance hit lets a row
+pass that is counted and dropped later, so counts are exact whatever the bitmap holds. A phrase's count is joined to those of its two parts at each
+cut, the score is exact (decimal) arithmetic, phrases that a phrase of one word more explains are taken out by an anti-join,
 and the best of each language are ranked in two steps, so that no task holds a whole language.
 
 Counts of parts are looked up by an ordinary join, but for those of parts that make up a thousandth or
@@ -15,11 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import cut
+from tablewright.llm.common import stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A part is frequent from this share of all words on.
 FREQUENT = 1000
+#: Bits of the bitmap of frequent runs: 8 MB, whatever the corpus.
+BITS = 1 << 26
 #: Rows of a language are ranked in so many portions first.
 PORTIONS = 64
 
@@ -29,22 +33,45 @@ def lower_az(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
-def grams(docs: DataFrame, max_n: int, lang: str = "lang", text: str = "text") -> DataFrame:
-    """_lang, _phrase: a row for each run of 1 to max_n words within a piece."""
+def positions(docs: DataFrame, n: int, lang: str, text: str) -> DataFrame:
+    """_lang and _w0 to _w{n-1}: a row for each word with those after it, null beyond the end of its piece."""
     # outer: else Spark filters by the arrays' sizes first, and works them out once more for that
-    pieces = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("_lang"), F.explode_outer(F.split(lower_az(F.col(text)), r"[.,;:!?\x0A-\x0D]")).alias("_piece"))
-    words = pieces.select("_lang", F.filter(F.split("_piece", r"[\x20\x09]+"), lambda w: w != "").alias("_w"))
+    plain = F.replace(lower_az(F.col(text)), F.lit("\t"), F.lit(" "))
+    pieces = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("_lang"), F.explode_outer(F.split(plain, r"[.,;:!?\x0A-\x0D]")).alias("_piece"))
+    words = pieces.select("_lang", F.array_remove(F.split("_piece", " "), "").alias("_w"))
     at = words.select("_lang", "_w", F.explode_outer(F.when(F.size("_w") > 0, F.sequence(F.lit(0), F.size("_w") - 1))).alias("_i"))
-    runs, run = [], F.get("_w", F.col("_i"))
-    for k in range(1, max_n + 1):
-        runs.append(run)
-        run = F.concat(run, F.lit(" "), F.get("_w", F.col("_i") + k))  # null beyond the piece
-    return at.select("_lang", F.explode(F.array(*runs)).alias("_phrase")).where("_phrase is not null")
+    return at.select("_lang", *(F.get("_w", F.col("_i") + k).alias(f"_w{k}") for k in range(n))).where(f"_w{n - 1} is not null")
 
 
-def counts(docs: DataFrame, max_n: int = 3, lang: str = "lang", text: str = "text") -> DataFrame:
-    """_lang, _phrase, _f."""
-    return grams(docs, max_n, lang, text).groupBy("_lang", "_phrase").agg(F.count(F.lit(1)).alias("_f"))
+def _bit(*words: Column) -> Column:
+    """Where the run stands in the bitmap."""
+    return F.xxhash64("_lang", F.concat_ws(" ", *words)).bitwiseAND(BITS - 1)
+
+
+def bitmap(runs: DataFrame) -> DataFrame:
+    """_slot and _bits, BITS / 64 rows at most, of the phrases in ``runs`` (_lang, _phrase)."""
+    at = runs.select(_bit(F.col("_phrase")).alias("_at"))
+    return at.groupBy(F.shiftright("_at", 6).alias("_slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_at & 63 as int))")).alias("_bits"))
+
+
+def _in(rows: DataFrame, words: list[str], often: DataFrame) -> DataFrame:
+    at = _bit(*map(F.col, words))
+    rows = rows.withColumn("_at", at).withColumn("_slot", F.shiftright("_at", 6))
+    return rows.join(F.broadcast(often), "_slot").where(F.expr("shiftright(_bits, cast(_at & 63 as int)) & 1 = 1")).drop("_slot", "_bits", "_at")
+
+
+def counts(docs: DataFrame, max_n: int = 3, least: int = 10, lang: str = "lang", text: str = "text") -> DataFrame:
+    """_lang, _phrase, _f and _k (words in it): all words, and the longer runs that occur ``least`` times or more."""
+    out = before = None
+    for n in range(1, max_n + 1):
+        rows, names = positions(docs, n, lang, text), [f"_w{k}" for k in range(n)]
+        if n > 1:
+            often = bitmap(before.where(F.col("_f") >= least))
+            rows = _in(_in(rows, names[:-1], often), names[1:], often)
+        found = rows.groupBy("_lang", F.concat_ws(" ", *names).alias("_phrase")).agg(F.count(F.lit(1)).alias("_f"))
+        before = stored((found if n == 1 else found.where(F.col("_f") >= least)).withColumn("_k", F.lit(n)), f"runs{n}")
+        out = before if out is None else out.unionByName(before)
+    return out
 
 
 def looked_up(rows: DataFrame, part: str, table: DataFrame, frequent: DataFrame, out: str) -> DataFrame:
@@ -68,9 +95,7 @@ def collocations(docs: DataFrame, max_n: int = 3, least: int = 10, explained: in
     """
     if max_n < 2 or least < 1:
         raise ValueError("phrases have two words or more and occur at least once")
-    all_counts = counts(docs, max_n, lang, text).withColumn("_k", F.size(F.split("_phrase", " ")))
-    # what phrases and their parts need: words, and longer runs that occur often enough
-    table = cut(all_counts.where((F.col("_k") == 1) | (F.col("_f") >= least)))
+    table = counts(docs, max_n, least, lang, text)
     n_words = table.where("_k = 1").groupBy("_lang").agg(F.sum("_f").alias("_n"))
     total = n_words.agg(F.sum("_n")).first()[0] or 0
     parts = table.where(F.col("_k") < max_n)

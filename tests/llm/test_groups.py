@@ -52,7 +52,10 @@ def test_chunks_join_to_the_text_and_are_cut_by_content(spark):
     assert got[2] == got[7] == []
 
 
-def test_collocations_equal_brute_force(spark, docs, rows, empty):
+@pytest.mark.parametrize("bits", [phrases.BITS, 64])
+def test_collocations_equal_brute_force(spark, docs, rows, empty, bits, monkeypatch):
+    """A bitmap of 64 bits lets nearly everything pass, and changes nothing."""
+    monkeypatch.setattr(phrases, "BITS", bits)
     for options in ({"least": 2}, {"least": 2, "max_n": 2}, {"least": 3, "max_n": 4, "explained": 80, "top": 20}):
         assert sorted(map(tuple, phrases.collocations(docs, **options).collect())) == sorted(phrases.brute_force([("en", t) for _, t in rows], **options))
     assert phrases.collocations(empty).count() == 0
@@ -76,7 +79,7 @@ def test_collocations_of_hot_words_many_languages_and_pieces(spark):
 def test_scores_beyond_64_bits(spark, monkeypatch):
     """Counts of 10 to the 11th: products of four such numbers still divide exactly."""
     a, l, r = 99_999_999_977, 100_000_000_003, 123_456_789_012
-    monkeypatch.setattr(phrases, "counts", lambda *_: spark.createDataFrame([("en", "x", l), ("en", "y", r), ("en", "x y", a)], "_lang string, _phrase string, _f bigint"))
+    monkeypatch.setattr(phrases, "counts", lambda *_: spark.createDataFrame([("en", "x", l, 1), ("en", "y", r, 1), ("en", "x y", a, 2)], "_lang string, _phrase string, _f bigint, _k int"))
     assert [tuple(x) for x in phrases.collocations(None).collect()] == [("en", 1, "x y", a, l, r, l + r, 1000000 * a * a // (l * r))]
 
 
