@@ -139,9 +139,9 @@ VIEWS["prov"] = "SELECT code, year, CAST(row_number() OVER (PARTITION BY code, y
 _VOTE = "CASE WHEN p.y0 < t.bottom + 3 AND p.y1 > t.top - 3 THEN CASE WHEN p.y0 >= t.top AND p.y1 <= t.bottom - 30 THEN 3 ELSE 2 END ELSE 1 END"
 
 
-@query("q_prov_vote", f"""WITH v AS (SELECT t.code, t.year, t.table_id, t.top, p.item, max({_VOTE}) AS v FROM spots t JOIN prov p USING (code, year, page) GROUP BY ALL), s AS (SELECT code, year, table_id, top, sum(v) AS votes FROM v GROUP BY ALL)
+@query("q_prov_vote_lines", f"""WITH v AS (SELECT t.code, t.year, t.table_id, t.top, p.item, max({_VOTE}) AS v FROM spots t JOIN prov p USING (code, year, page) GROUP BY ALL), s AS (SELECT code, year, table_id, top, sum(v) AS votes FROM v GROUP BY ALL)
 SELECT code, year, arg_max(table_id, (votes, -table_id, -top)) AS table_id, CAST(max(votes) AS BIGINT) AS votes FROM s GROUP BY ALL""")
-def prov_vote(load):
+def prov_vote_lines(load):
     """Which table provenance points to: each item votes 3 for a table with its cell, 2 for an overlapping one, 1 for one on its page."""
     over = (F.col("y0") < F.col("bottom") + 3) & (F.col("y1") > F.col("top") - 3)
     inside = (F.col("y0") >= F.col("top")) & (F.col("y1") <= F.col("bottom") - 30)
