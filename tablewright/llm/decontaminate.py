@@ -8,9 +8,9 @@ document word that is some window's prefix word gives start positions; those tha
 would reach beyond either end fall to the length bound; the second-rarest word has to
 stand at its own offset (positional bound); what remains is compared word for word.
 
-The window table goes to the tasks as a broadcast of at most ``block_bytes`` of window
-text and 200 bytes of bookkeeping for each window (in a worker some four times that, as Python's
-tuples and dicts); a larger benchmark, or a larger item, is taken in blocks of that size, each
+The window table goes to the tasks as a broadcast of at most ``block_bytes`` of window text, item ids and
+bookkeeping for each of both (in a worker some four times that, as Python's tuples and dicts); a larger
+benchmark, a larger item, or a window of very many items is taken in blocks of that size, each
 against all documents, and the blocks' hits are merged for each document.
 """
 
@@ -82,19 +82,27 @@ def occurrences(words: list[bytes], index: dict) -> tuple[list[tuple[int, int]],
     return spans, items
 
 
+#: Bookkeeping of a window and of an id in it, as counted against a block.
+WINDOW_BYTES, ID_BYTES = 200, 80
+
+
 def _blocks(benchmark: DataFrame, item_id: str, text: str, width: int, block_bytes: int):
-    """Window tables of bounded size, from a driver that holds one block at a time."""
+    """Window tables of bounded size, from a driver that holds one block at a time. Windows and the ids of their items count, so a
+    window that many items share goes on in the next block with the ids that are left."""
     block: dict = {}
     size = 0
     for row in benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null").toLocalIterator():
         for w in windows_of(words_of(row["t"]), width):
-            if w not in block:
-                if size >= block_bytes:
-                    yield block
-                    block, size = {}, 0
-                block[w] = set()
-                size += sum(map(len, w)) + 200
-            block[w].add(row["i"])
+            if size >= block_bytes:
+                yield block
+                block, size = {}, 0
+            items = block.get(w)
+            if items is None:
+                items = block[w] = set()
+                size += sum(map(len, w)) + WINDOW_BYTES
+            if row["i"] not in items:
+                items.add(row["i"])
+                size += len(row["i"]) + ID_BYTES
     if block:
         yield block
 

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact, phrases, spelling
+from tablewright.llm import decontaminate, exact, phrases, spelling
 
 
 def key(x):
@@ -128,3 +128,26 @@ def test_native_plan_has_no_python(spark, docs):
     plan = exact.exact_copies(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert F is not None
+
+
+def test_blocks_of_windows_are_bounded_by_the_ids_too(spark):
+    """Many items of one text: every block stays within its bytes, and together they hold each window of each item once."""
+    text = " ".join(f"w{i}" for i in range(12))
+    items = spark.range(20000).selectExpr("cast(id as string) as item_id", f"'{text}' as text")
+    seen = set()
+    for block in decontaminate._blocks(items, "item_id", "text", 10, 20000):
+        used = sum(sum(map(len, w)) + decontaminate.WINDOW_BYTES + sum(len(i) + decontaminate.ID_BYTES for i in ids) for w, ids in block.items())
+        assert used <= 20000 + 300
+        pairs = {(w, i) for w, ids in block.items() for i in ids}
+        assert not pairs & seen
+        seen |= pairs
+    assert len(seen) == 3 * 20000
+
+
+def test_items_of_one_text_over_several_blocks(spark):
+    text = " ".join(f"w{i}" for i in range(12))
+    items = [(str(i), text) for i in range(60)] + [("short", "w3 w4"), (None, "x y"), ("empty", "")]
+    docs = [(1, f"a {text} b"), (2, "w3 w4 " * 3), (3, None), (4, "nothing")]
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = decontaminate.contamination(df, bench, block_bytes=2000).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == sorted(decontaminate.brute_force(docs, items))
