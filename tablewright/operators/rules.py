@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+MOST_VERSIONS = 10_000
+
 
 def merged(pool: DataFrame, base: int = 0) -> DataFrame:
     """Of each version in a pool (version, role, alias, pos): the base's aliases in their order, then those that the version adds; an
-    alias keeps its first place. The base's rows are repeated for each version, of which there are few."""
+    alias keeps its first place. The base's rows, a rule's aliases, are repeated for each version: more than MOST_VERSIONS are refused."""
     versions = pool.select("version").distinct()
+    if versions.count() > MOST_VERSIONS:
+        raise ValueError(f"more than {MOST_VERSIONS} versions")
     own = pool.where(F.col("version") != base).select("version", "role", "alias", F.struct(F.lit(True).alias("added"), "pos").alias("at"))
-    shared = versions.join(pool.where(F.col("version") == base).select("role", "alias", F.struct(F.lit(False).alias("added"), "pos").alias("at")))
+    shared = F.broadcast(versions).crossJoin(pool.where(F.col("version") == base).select("role", "alias", F.struct(F.lit(False).alias("added"), "pos").alias("at")))
     first = own.unionByName(shared).groupBy("version", "role", "alias").agg(F.min("at").alias("at"))
     return first.select("version", "role", "alias", F.row_number().over(Window.partitionBy("version", "role").orderBy("at", "alias")).alias("place"))
 

@@ -171,11 +171,11 @@ def judged(cells: DataFrame, anchors: DataFrame, meta: DataFrame | None = None,
 
 def selected(recalled: DataFrame, tables: DataFrame) -> DataFrame:
     """One of the recalled tables for each report. With an anchor: of those with an error up to 5 % that are no trap, else of those
-    with a dimension at least, else of all, that with most dimensions, then the least error. Without one: the first recalled."""
+    with a dimension at least, else of all, that with most dimensions, then the least error to four places, then the first recalled. Without one: the first recalled."""
     t = recalled.select(*TABLE, "recall").join(tables, list(TABLE))
     good = F.coalesce(F.col("rel") <= 0.05, F.lit(False))
     tier = F.when(good & ~F.col("trap"), 0).when(good & (F.col("n_dims") >= 1), 1).when(F.col("rel").isNotNull(), 2).otherwise(3)
-    key = F.struct(tier, F.when(tier < 3, -F.col("n_dims")).otherwise(0), F.coalesce("rel", F.lit(0.0)), "recall")
+    key = F.struct(tier, F.when(tier < 3, -F.col("n_dims")).otherwise(0), F.coalesce(F.round("rel", 4), F.lit(0.0)), "recall")
     best = t.groupBy("code", "year").agg(F.min_by(F.struct("table_id", "c", "n_dims", "rel", tier.alias("tier")), key).alias("b"))
     via = F.when(F.col("b.tier") == 0, "anchor+dims").when(F.col("b.tier") == 1, "anchor").when(F.col("b.tier") == 2, "nearest").otherwise("recall")
     return best.select("code", "year", "b.table_id", "b.c", "b.n_dims", "b.rel", via.alias("via"))

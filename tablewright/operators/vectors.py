@@ -37,8 +37,8 @@ def units(x: np.ndarray) -> np.ndarray:
 
 def fitted(vectors: DataFrame, lists: int, sample: int = 16384, rounds: int = 10) -> np.ndarray:
     """Centres by spherical k-means over at most ``sample`` rows, those with the least hashes; fewer rows than lists are centres themselves."""
-    some = vectors.where("embedding is not null").select("embedding", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(sample).collect()
-    x = units(np.array([r["embedding"] for r in some], np.float64).reshape(len(some), -1))
+    some = vectors.where("embedding is not null").select("embedding", F.xxhash64("vec_id").alias("h")).orderBy("h", "embedding").limit(sample).collect()
+    x = units(np.array([r["embedding"] for r in some], np.float64)) if some else np.zeros((0, 1))
     if len(x) <= lists:
         return x
     centres = x[np.linspace(0, len(x) - 1, lists).astype(int)]

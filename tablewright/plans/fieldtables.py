@@ -138,10 +138,10 @@ def cross_page_suspect(load):
 VIEWS["boxes"] = "SELECT code, year, table_id, page, CAST(40 + table_id % 7 * 30 AS DOUBLE) AS x0, top AS y0, CAST(40 + table_id % 7 * 30 + 200 AS DOUBLE) AS x1, bottom AS y1 FROM placed"
 
 
-@query("q_bbox_overlap", "SELECT a.code, a.year, a.page, count(*) AS n_pairs, count(*) FILTER (NOT (a.x1 < b.x0 - 3 OR b.x1 < a.x0 - 3 OR a.y1 < b.y0 - 3 OR b.y1 < a.y0 - 3)) AS n_overlap FROM boxes a JOIN boxes b ON a.code = b.code AND a.year = b.year AND a.page = b.page AND a.table_id < b.table_id AND a.page = 10 GROUP BY ALL")
+@query("q_bbox_overlap", "SELECT a.code, a.year, a.page, count(*) AS n_pairs, count(*) FILTER (NOT (a.x1 < b.x0 - 3 OR b.x1 < a.x0 - 3 OR a.y1 < b.y0 - 3 OR b.y1 < a.y0 - 3)) AS n_overlap FROM boxes a JOIN boxes b ON a.code = b.code AND a.year = b.year AND a.page = b.page AND a.table_id < b.table_id GROUP BY ALL")
 def bbox_overlap(load):
-    """Tables of page 10 that meet: rectangles with a tolerance of three points, within a page of a report."""
-    a = load("boxes").where("page = 10")
+    """Tables that meet: rectangles with a tolerance of three points, within a page of a report."""
+    a = load("boxes")
     b = a.select("code", "year", "page", *(F.col(c).alias(f"b_{c}") for c in ("table_id", "x0", "y0", "x1", "y1")))
     j = a.join(b, ["code", "year", "page"]).where("table_id < b_table_id")
     hit = T.overlap(*(F.col(c) for c in ("x0", "y0", "x1", "y1", "b_x0", "b_y0", "b_x1", "b_y1")))

@@ -48,13 +48,16 @@ _SHARE = "contains(v, '%') AND TRY_CAST(translate(v, '%,', '') AS DOUBLE) BETWEE
 STATS = f"""st AS (SELECT code, year, table_id, c, count(*) FILTER (v <> '') AS n_cells, count(*) FILTER (regexp_matches(v, '[一-鿿]')) AS n_text, count(*) FILTER ({_MONEY}) AS n_money, count(*) FILTER ({_SHARE}) AS n_ratio FROM cells GROUP BY ALL)"""
 
 
-@query("q_col_stats", f"WITH {STATS} SELECT * FROM st")
+ALL_STATS = STATS.replace("FROM cells", "FROM all_cells")
+
+
+@query("q_col_stats", f"WITH {ALL_STATS} SELECT * FROM st")
 def col_stats(load):
-    return G.column_stats(load("cells"))
+    return G.column_stats(load("all_cells"))
 
 
 def _types(order: str) -> str:
-    return f"""WITH {STATS}, a AS (SELECT code, year, table_id, min(c) FILTER (n_ratio >= 3) AS rc, arg_min(c, {order}) FILTER (n_money >= 3) AS best, count(*) AS n FROM st GROUP BY ALL),
+    return f"""WITH {ALL_STATS}, a AS (SELECT code, year, table_id, min(c) FILTER (n_ratio >= 3) AS rc, arg_min(c, {order}) FILTER (n_money >= 3) AS best, count(*) AS n FROM st GROUP BY ALL),
     b AS (SELECT *, CASE WHEN best = rc THEN (SELECT min(c) FROM st WHERE st.code = a.code AND st.year = a.year AND st.table_id = a.table_id AND n_money >= 2 AND c <> rc) ELSE best END AS ac FROM a)
     SELECT b.code, b.year, b.table_id, coalesce(min(c) FILTER (n_text >= 3 AND c IS DISTINCT FROM rc AND c IS DISTINCT FROM ac), arg_min(c, (-n_text, c)) FILTER (n_text > 0 AND c IS DISTINCT FROM rc AND c IS DISTINCT FROM ac), 0) AS name_col,
       coalesce(any_value(ac), 0) AS amount_col, coalesce(any_value(rc), 0) AS ratio_col, any_value(n) AS col_count FROM b JOIN st USING (code, year, table_id) GROUP BY b.code, b.year, b.table_id"""
@@ -62,12 +65,12 @@ def _types(order: str) -> str:
 
 @query("q_col_types", _types("(-n_money, c)"))
 def col_types(load):
-    return G.column_types(load("cells"))
+    return G.column_types(load("all_cells"))
 
 
 @query("q_col_types_first", _types("c"))
 def col_types_first(load):
-    return G.column_types(load("cells"), first_amount=True)
+    return G.column_types(load("all_cells"), first_amount=True)
 
 
 HEADERS = "hd AS (SELECT code, year, table_id, c, string_agg(v, ' ' ORDER BY r) AS header FROM cells WHERE r < 3 AND v <> '' GROUP BY ALL)"

@@ -57,15 +57,17 @@ ERRORS = f"""vx AS (SELECT code, year, table_id, c, {_NUM} AS x, CAST(revenue AS
  er AS (SELECT code, year, table_id, c, round(least(rv, {', '.join(f'abs(s * {u} - {k} * a) / a' for u in _UNITS for k in range(1, 7))}), 6) AS rel FROM er0),
  an AS (SELECT code, year, table_id, arg_min(c, (rel, c)) AS c, min(rel) AS rel, min(rel) <= 0.03 AS matched FROM er GROUP BY ALL)"""
 
+ALL_ERRORS = ERRORS.replace("FROM cells", "FROM all_cells")
+
 
-@query("q_anchor_col", f"WITH {ERRORS} SELECT * FROM er")
+@query("q_anchor_col", f"WITH {ALL_ERRORS} SELECT * FROM er")
 def anchor_col(load):
-    return S.column_errors(load("cells"), load("anchor"))
+    return S.column_errors(load("all_cells"), load("anchor"))
 
 
-@query("q_anchor_select", f"WITH {ERRORS} SELECT * FROM an")
+@query("q_anchor_select", f"WITH {ALL_ERRORS} SELECT * FROM an")
 def anchor_select(load):
-    return S.anchored(load("cells"), load("anchor"))
+    return S.anchored(load("all_cells"), load("anchor"))
 
 
 _DIMS = {}
@@ -75,14 +77,14 @@ DIMS = "dc AS (SELECT code, year, table_id, " + " + ".join(f"max(CASE WHEN {' OR
 TRAP = "tp AS (SELECT code, year, table_id, max(coalesce(contains(v, '毛利率'), false)) AND max(coalesce(regexp_matches(v, '比上年|同比'), false)) AS trap FROM cells WHERE r < 4 GROUP BY ALL)"
 
 
-@query("q_dim_count", f"WITH {DIMS} SELECT * FROM dc")
+@query("q_dim_count", f"WITH {DIMS.replace('FROM cells', 'FROM all_cells')} SELECT * FROM dc")
 def dim_count(load):
-    return S.dimension_counts(load("cells"))
+    return S.dimension_counts(load("all_cells"))
 
 
-@query("q_trap", f"WITH {TRAP} SELECT * FROM tp")
+@query("q_trap", f"WITH {TRAP.replace('FROM cells', 'FROM all_cells')} SELECT * FROM tp")
 def trap(load):
-    return S.is_trap(load("cells"))
+    return S.is_trap(load("all_cells"))
 
 
 QUESTION = "营业收入构成 分行业 分产品 分地区 销售模式"
@@ -92,10 +94,9 @@ _DOCS = r"""dl AS (SELECT *, regexp_replace(v, '[0-9.,%，。、()（）\-—:
  dg AS (SELECT *, list_distinct(list_transform(range(1, length(doc)), lambda i: substr(doc, i, 2))) AS g FROM dc0)"""
 RECALLED = f"""{_DOCS}, lk AS (SELECT code, year, table_id, len(list_intersect(g, {_GRAMS})) / sqrt(len(g) * len({_GRAMS})::DOUBLE) AS lik FROM dg),
  rl AS (SELECT *, row_number() OVER (PARTITION BY code, year ORDER BY lik DESC, table_id) AS recall FROM lk)"""
-ALL_ERRORS = ERRORS.replace("FROM cells", "FROM all_cells")
 _JUDGED = f"""{DIMS.replace("FROM cells", "FROM all_cells")}, {TRAP.replace("FROM cells", "FROM all_cells")}, {ALL_ERRORS}, jd AS (SELECT code, year, table_id, an.c, rel, n_dims, coalesce(trap, false) OR coalesce(contains(caption, '10%以上'), false) AS trap FROM dc LEFT JOIN tp USING (code, year, table_id) LEFT JOIN an USING (code, year, table_id) LEFT JOIN table_meta USING (code, year, table_id))"""
 SELECTED = f"""{RECALLED}, {_JUDGED}, tt AS (SELECT *, CASE WHEN coalesce(rel <= 0.05, false) AND NOT trap THEN 0 WHEN coalesce(rel <= 0.05, false) AND n_dims >= 1 THEN 1 WHEN rel IS NOT NULL THEN 2 ELSE 3 END AS tier FROM rl JOIN jd USING (code, year, table_id) WHERE recall <= 8),
- sl AS (SELECT *, row_number() OVER (PARTITION BY code, year ORDER BY tier, CASE WHEN tier < 3 THEN -n_dims ELSE 0 END, coalesce(rel, 0), recall) AS rn FROM tt)"""
+ sl AS (SELECT *, row_number() OVER (PARTITION BY code, year ORDER BY tier, CASE WHEN tier < 3 THEN -n_dims ELSE 0 END, coalesce(round(rel, 4), 0), recall) AS rn FROM tt)"""
 
 
 def _docs(load):
