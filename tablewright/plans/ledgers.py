@@ -21,7 +21,8 @@ VIEWS["runs"] = """
 #: What is stored of each report, and who it is.
 VIEWS["annual"] = """
     SELECT code, year, k, CASE WHEN k <> 5 THEN 'annual' ELSE 'q3' END AS quarter, CASE WHEN k = 1 THEN NULL WHEN k = 2 THEN '' ELSE '{}' END AS rev, CASE WHEN k = 3 THEN NULL ELSE '{"a":1}' END AS rnd_json,
-      CASE WHEN year % 3 = 0 THEN NULL ELSE '[1]' END AS emp_json, concat('公司', code, CASE WHEN k = 6 AND year % 2 = 0 THEN '银行' ELSE '' END) AS name FROM reports"""
+      CASE WHEN year % 3 = 0 THEN NULL ELSE '[1]' END AS emp_json,
+      CASE WHEN k = 4 THEN NULL WHEN year % 2 = 0 THEN '[]' ELSE '[{"n":1}]' END AS cost_json, CASE WHEN k IN (1, 6) THEN NULL ELSE '{"items":[]}' END AS clients_json, CASE WHEN k = 6 THEN '' WHEN year % 5 = 0 THEN NULL ELSE '{"items":[1]}' END AS suppliers_json, concat('公司', code, CASE WHEN k = 6 AND year % 2 = 0 THEN '银行' ELSE '' END) AS name FROM reports"""
 VIEWS["verdicts"] = "SELECT code, year, CASE (CAST(code AS INT) + year) % 5 WHEN 0 THEN 'hold' WHEN 1 THEN 'pass' WHEN 2 THEN 'error' WHEN 3 THEN 'wrong_table' END AS verdict FROM reports WHERE year % 3 <> 0"
 #: The lines of a progress file; some are cut off.
 VIEWS["progress_lines"] = """

@@ -40,15 +40,32 @@ def status(load):
     return load("annual").agg(F.count("*").alias("total"), F.count_if(F.col("rev") != "").alias("parsed"), F.count_if(F.col("quarter") == "annual").alias("annual"))
 
 
-@query("q_export_flags", "SELECT code, year, CASE WHEN rev IS NOT NULL AND rev NOT IN ('', '{}') THEN 'yes' ELSE 'no' END AS has_rev, CASE WHEN rnd_json IS NOT NULL AND rnd_json NOT IN ('', '{}') THEN 'yes' ELSE 'no' END AS has_rnd FROM annual")
+#: The columns of the six fields' results.
+FIELDS = {"rev": "rev", "cost": "cost_json", "rnd": "rnd_json", "emp": "emp_json", "clients": "clients_json", "suppliers": "suppliers_json"}
+
+
+@query("q_export_flags", "SELECT code, year, " + ", ".join(f"CASE WHEN {c} IS NOT NULL AND {c} NOT IN ('', '{{}}', '[]') THEN 'yes' ELSE 'no' END AS has_{n}" for n, c in FIELDS.items()) + " FROM annual")
 def export_flags(load):
-    yes = lambda c: F.when(F.col(c).isNotNull() & ~F.col(c).isin("", "{}"), "yes").otherwise("no")
-    return load("annual").select("code", "year", yes("rev").alias("has_rev"), yes("rnd_json").alias("has_rnd"))
+    """yes for a field with content: empty texts, objects and lists have none."""
+    return load("annual").select("code", "year", *(F.when(F.col(c).isNotNull() & ~F.col(c).isin("", "{}", "[]"), "yes").otherwise("no").alias(f"has_{n}") for n, c in FIELDS.items()))
+
+
+@query("q_export_rows", "SELECT code, year, name, quarter, CAST(k AS INT) AS batch, " + ", ".join(f"coalesce({c}, '') AS {c}" for c in FIELDS.values()) + """, count(*) OVER (PARTITION BY code) AS n_years, CAST(json_extract_string(rnd_json, '$.a') AS INT) AS rnd_a, json_array_length(nullif(cost_json, '')) AS n_costs, year = max(year) OVER (PARTITION BY code) AS latest
+FROM annual WHERE quarter = 'annual' QUALIFY row_number() OVER (ORDER BY code, year DESC) <= 500""".replace("json_array_length(nullif(cost_json, ''))", "CAST(json_array_length(cost_json) AS INT)"))
+def export_rows(load):
+    """The export of annual rows: fifteen columns, JSON ones expanded where they are asked for, ordered, the first 500."""
+    by_code = Window.partitionBy("code")
+    rows = load("annual").where("quarter = 'annual'").select(
+        "code", "year", "name", "quarter", F.col("k").cast("int").alias("batch"), *(F.coalesce(c, F.lit("")).alias(c) for c in FIELDS.values()), F.count("*").over(by_code).alias("n_years"),
+        F.get_json_object("rnd_json", "$.a").cast("int").alias("rnd_a"), F.json_array_length("cost_json").alias("n_costs"), (F.col("year") == F.max("year").over(by_code)).alias("latest"),
+    )
+    return rows.orderBy("code", F.desc("year")).limit(500)
 
 
-@query("q_results", "SELECT code, year, rev IS NOT NULL AS has_rev, rnd_json IS NOT NULL AS has_rnd, emp_json IS NOT NULL AS has_emp FROM annual")
+@query("q_results", "SELECT code, year, " + ", ".join(f"{c} IS NOT NULL AS has_{n}" for n, c in FIELDS.items()) + " FROM annual")
 def results(load):
-    return load("annual").select("code", "year", F.col("rev").isNotNull().alias("has_rev"), F.col("rnd_json").isNotNull().alias("has_rnd"), F.col("emp_json").isNotNull().alias("has_emp"))
+    """Whether each field has a value at all: here empty ones count, unlike in the export."""
+    return load("annual").select("code", "year", *(F.col(c).isNotNull().alias(f"has_{n}") for n, c in FIELDS.items()))
 
 
 @query("q_discover", "SELECT code, min(file) AS file FROM pdfs WHERE year = 1997 GROUP BY code")
@@ -85,14 +102,21 @@ def golden_seed(load):
     return j.select("code", "year", F.when(F.col("verdict") == "pass", "confirmed").when(F.col("confidence") == "low", "todo_fix").otherwise("todo_confirm").alias("status"))
 
 
-VIEWS["presence"] = "SELECT code, year, field, present, rule FROM (SELECT code, year, 'revenue' AS field, rev IS NOT NULL AND rev <> '' AS present, k = 3 AS rule FROM annual UNION ALL SELECT code, year, 'rnd', rnd_json IS NOT NULL, k = 2 FROM annual UNION ALL SELECT code, year, 'employees', emp_json IS NOT NULL, k = 4 FROM annual) p"
+VIEWS["presence"] = """SELECT code, year, field, present, rule FROM (SELECT code, year, 'revenue' AS field, rev IS NOT NULL AND rev <> '' AS present, k = 3 AS rule FROM annual UNION ALL SELECT code, year, 'rnd', rnd_json IS NOT NULL, k = 2 FROM annual
+    UNION ALL SELECT code, year, 'employees', emp_json IS NOT NULL, k = 4 FROM annual UNION ALL SELECT code, year, 'cost', cost_json IS NOT NULL AND cost_json <> '[]', k = 6 FROM annual
+    UNION ALL SELECT code, year, 'clients', clients_json IS NOT NULL, false FROM annual UNION ALL SELECT code, year, 'suppliers', suppliers_json IS NOT NULL AND suppliers_json <> '', false FROM annual) p"""
 
 
 @query("q_goldset", "SELECT code, year, field, CAST(NULL AS BOOLEAN) AS correct, present, rule AS hard_rule FROM presence")
 def goldset(load):
-    a = load("annual").select("code", "year", "k", (F.col("rev") != "").alias("revenue"), F.col("rnd_json").isNotNull().alias("rnd"), F.col("emp_json").isNotNull().alias("employees"))
-    u = a.unpivot(["code", "year", "k"], ["revenue", "rnd", "employees"], "field", "present")
-    rule = F.when(F.col("field") == "revenue", F.col("k") == 3).when(F.col("field") == "rnd", F.col("k") == 2).otherwise(F.col("k") == 4)
+    """A template row for each of six fields of each report: whether it has a value and breaks a hard rule, and room for a verdict."""
+    a = load("annual").select(
+        "code", "year", "k", (F.col("rev") != "").alias("revenue"), F.col("rnd_json").isNotNull().alias("rnd"), F.col("emp_json").isNotNull().alias("employees"),
+        (F.col("cost_json") != "[]").alias("cost"), F.col("clients_json").isNotNull().alias("clients"), (F.col("suppliers_json") != "").alias("suppliers"),
+    )
+    u = a.unpivot(["code", "year", "k"], ["revenue", "rnd", "employees", "cost", "clients", "suppliers"], "field", "present")
+    broken = F.create_map(*(F.lit(x) for kv in {"revenue": 3, "rnd": 2, "employees": 4, "cost": 6}.items() for x in kv))
+    rule = F.coalesce(F.try_element_at(broken, F.col("field")) == F.col("k"), F.lit(False))
     return u.select("code", "year", "field", F.lit(None).cast("boolean").alias("correct"), F.coalesce("present", F.lit(False)).alias("present"), rule.alias("hard_rule"))
 
 
@@ -152,15 +176,24 @@ def run_summary(load):
     return _hard(load).groupBy(F.col("k").cast("int").alias("batch")).agg(F.count("*").alias("n"), F.count_if("passed").alias("clean"), F.sum("red_count").alias("reds"))
 
 
-@query("q_confusion", BASE_SQL + """, j AS (SELECT CASE WHEN k % 2 = 0 THEN 'even' ELSE 'odd' END AS field, red > 0 AS flagged, k IN (2, 3, 4, 6) AS wrong FROM h)
-SELECT coalesce(field, 'overall') AS field, count(*) FILTER (flagged AND wrong) AS tp, count(*) FILTER (NOT flagged AND wrong) AS fn, count(*) FILTER (flagged AND NOT wrong) AS fp, count(*) FILTER (NOT flagged AND NOT wrong) AS tn,
- round(count(*) FILTER (flagged AND wrong) / nullif(count(*) FILTER (wrong), 0), 4) AS recall FROM j GROUP BY GROUPING SETS ((field), ())""")
+#: The classes in which each field of a report is wrong.
+WRONG = {"revenue_breakdown": (2, 3, 4, 6), "cost_breakdown": (2, 4, 6), "rnd_info": (2, 3), "employees": (3, 4)}
+
+
+@query("q_confusion", BASE_SQL + """, fs AS (SELECT DISTINCT code, year, split_part(field, '.', 1) AS field FROM v WHERE severity = 'red'),
+j AS (SELECT x.field, fs.field IS NOT NULL AS flagged, list_contains(x.ks, CAST(r.k AS INT)) AS wrong FROM reports r CROSS JOIN (VALUES """ + ", ".join(f"('{f}', {list(ks)})" for f, ks in WRONG.items()) + """) AS x(field, ks) LEFT JOIN fs ON fs.code = r.code AND fs.year = r.year AND fs.field = x.field),
+c AS (SELECT coalesce(field, 'overall') AS field, count(*) FILTER (flagged AND wrong) AS tp, count(*) FILTER (NOT flagged AND wrong) AS fn, count(*) FILTER (flagged AND NOT wrong) AS fp, count(*) FILTER (NOT flagged AND NOT wrong) AS tn FROM j GROUP BY GROUPING SETS ((field), ()))
+SELECT *, round(tp / nullif(tp + fn, 0), 4) AS recall, round(tp / nullif(tp + fp, 0), 4) AS precision, round((tp + tn) / nullif(tp + tn + fp + fn, 0), 4) AS accuracy FROM c""")
 def confusion(load):
-    """How well hard rules find wrong reports, overall and by group in one pass."""
-    h = _hard(load).select(F.when(F.col("k") % 2 == 0, "even").otherwise("odd").alias("field"), (~F.col("passed")).alias("flagged"), F.col("k").isin(2, 3, 4, 6).alias("wrong"))
+    """How well hard rules find wrong fields, overall and for each field in one pass; null where there is nothing to divide by."""
+    h = _hard(load)
+    each = F.array(*(F.struct(F.lit(f).alias("field"), F.array_contains(F.split("red_fields", ","), f).alias("flagged"), F.col("k").isin(*ks).alias("wrong")) for f, ks in WRONG.items()))
+    h = h.select(F.inline(each))
     f, w = F.col("flagged"), F.col("wrong")
     c = h.rollup("field").agg(F.count_if(f & w).alias("tp"), F.count_if(~f & w).alias("fn"), F.count_if(f & ~w).alias("fp"), F.count_if(~f & ~w).alias("tn"))
-    return c.select(F.coalesce("field", F.lit("overall")).alias("field"), "tp", "fn", "fp", "tn", F.round(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), 4).alias("recall"))
+    rate = lambda a, b: F.round(F.try_divide(a, b), 4)
+    tp, fn, fp, tn = map(F.col, ("tp", "fn", "fp", "tn"))
+    return c.select(F.coalesce("field", F.lit("overall")).alias("field"), "tp", "fn", "fp", "tn", rate(tp, tp + fn).alias("recall"), rate(tp, tp + fp).alias("precision"), rate(tp + tn, tp + fn + fp + tn).alias("accuracy"))
 
 
 #: What reviewers suspect, from their verdicts.
@@ -314,9 +347,9 @@ def validator_logic(load):
     return s.select("code", "year", "dim", F.round("t", 2).alias("s"), F.round("t", 2).between(95, 105).alias("ok"))
 
 
-@query("q_validator_complete", "SELECT code, year, count(*) FILTER (present) AS n_present, count(*) FILTER (present) = 3 AS complete FROM presence GROUP BY ALL")
+@query("q_validator_complete", "SELECT code, year, count(*) FILTER (present) AS n_present, count(*) FILTER (present) = 6 AS complete FROM presence GROUP BY ALL")
 def validator_complete(load):
-    return load("presence").groupBy("code", "year").agg(F.count_if("present").alias("n_present"), (F.count_if("present") == 3).alias("complete"))
+    return load("presence").groupBy("code", "year").agg(F.count_if("present").alias("n_present"), (F.count_if("present") == 6).alias("complete"))
 
 
 @query("q_validator_score", """WITH c AS (SELECT code, year, round(sum(ratio), 2) BETWEEN 95 AND 105 AS ok FROM shared WHERE ratio IS NOT NULL GROUP BY code, year, dim UNION ALL SELECT code, year, present FROM presence)
