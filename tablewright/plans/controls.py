@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablewright.operators import anchors as A
-from tablewright.operators import batches, context, evidence, vectors
+from tablewright.operators import batches, context, evidence, profiles, vectors
 from tablewright.operators import reconcile as R
 from tablewright.operators import selection as S
 from tablewright.operators.grid import TABLE, text_doc
@@ -165,3 +165,35 @@ def sampled_survey(load):
     passes = R.confidence(load("pred"), load("anchor")).select("code", "year", (F.col("confidence") == "high").alias("pass"))
     j = some.join(passes, ["code", "year"], "left")
     return j.groupBy("hash").agg(F.first("size").alias("size"), F.count("*").alias("sampled"), F.count_if("pass").alias("passed"), F.round(F.count_if("pass") / F.count("*"), 4).alias("pass_rate"))
+
+
+VIEWS["own_profiles"] = "SELECT code, year, CAST(10 + n AS INT) AS page, CASE WHEN n = 2 THEN 'cost_breakdown' WHEN n = 3 THEN CAST(NULL AS STRING) ELSE 'revenue_breakdown' END AS field, concat('own', CAST((k + n) % 3 AS STRING)) AS profile, (year + n) % 3 = 0 AS synced FROM reports CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3) x WHERE k % 2 = 0"
+VIEWS["layout_profiles"] = "SELECT 'revenue_breakdown' AS field, CAST(p AS INT) AS print, CAST(10 + n AS INT) AS page, concat('layout', CAST(n AS STRING)) AS profile FROM (SELECT DISTINCT n_lines % 5 AS p FROM reports) q CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 4) x WHERE p <> 3"
+VIEWS["profile_log"] = "SELECT code, year, 'revenue_breakdown' AS field, CAST(14 AS INT) AS page FROM reports WHERE year % 4 = 1"
+VIEWS["page_tables"] = "SELECT code, year, CAST(10 + n AS INT) AS page, CAST(n * 10 + m AS INT) AS table_id FROM reports CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) x CROSS JOIN (SELECT 1 AS m UNION ALL SELECT 2) y"
+VIEWS["page_rescans"] = "SELECT code, year, page, profile, CAST(500 + page AS INT) AS table_id FROM (SELECT code, year, page, profile FROM own_profiles UNION SELECT r.code, r.year, l.page, l.profile FROM reports r JOIN layout_profiles l ON l.print = r.n_lines % 5) z WHERE (year + page) % 4 <> 0"
+_PENDING = """mn AS (SELECT code, year, page, min(profile) AS profile FROM own_profiles WHERE NOT synced AND coalesce(field = 'revenue_breakdown', true) GROUP BY ALL),
+ th AS (SELECT r.code, r.year, l.page, l.profile FROM reports r JOIN layout_profiles l ON l.print = r.n_lines % 5 ANTI JOIN mn ON mn.code = r.code AND mn.year = r.year AND mn.page = l.page ANTI JOIN profile_log g ON g.code = r.code AND g.year = r.year AND g.page = l.page),
+ td AS (SELECT code, year, page, profile, 'report' AS source FROM mn UNION ALL SELECT code, year, page, profile, 'fingerprint' FROM th)"""
+
+
+def _pending(load):
+    reports = load("reports").select("code", "year", (F.col("n_lines") % 5).cast("int").alias("print"))
+    return profiles.pending(reports, load("own_profiles"), load("layout_profiles"), load("profile_log"), "revenue_breakdown")
+
+
+@query("q_profile_pending", f"WITH {_PENDING} SELECT * FROM td")
+def profile_pending(load):
+    """Pages that a kept profile has still to be applied to: a report's own before its layout's."""
+    return _pending(load)
+
+
+@query("q_profile_applied", f"""WITH {_PENDING}, nw AS (SELECT r.* FROM page_rescans r SEMI JOIN td USING (code, year, page, profile)), pg AS (SELECT DISTINCT code, year, page FROM nw),
+ pt AS (SELECT code, year, page, table_id FROM page_tables ANTI JOIN pg USING (code, year, page) UNION ALL SELECT code, year, page, table_id FROM nw), lg AS (SELECT code, year, count(*) AS n_applied FROM td SEMI JOIN pg USING (code, year, page) GROUP BY ALL)
+SELECT code, year, count(*) AS n_tables, CAST(sum(table_id) AS BIGINT) AS ids, coalesce(any_value(n_applied), 0) AS n_applied FROM pt LEFT JOIN lg USING (code, year) GROUP BY ALL""")
+def profile_applied(load):
+    """Reports after their pending profiles: how many tables they have, and how many pages were patched."""
+    patched, log = profiles.applied(load("page_tables").select("code", "year", "page", "table_id"), load("page_rescans"), _pending(load), "revenue_breakdown")
+    n = log.groupBy("code", "year").agg(F.count("*").alias("n_applied"))
+    t = patched.groupBy("code", "year").agg(F.count("*").alias("n_tables"), F.sum("table_id").alias("ids"))
+    return t.join(n, ["code", "year"], "left").select("code", "year", "n_tables", "ids", F.coalesce("n_applied", F.lit(0)).alias("n_applied"))
