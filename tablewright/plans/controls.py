@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablewright.operators import anchors as A
-from tablewright.operators import batches, context, evidence, profiles, vectors
+from tablewright.operators import batches, checks, context, evidence, experience, profiles, vectors
 from tablewright.operators import reconcile as R
 from tablewright.operators import selection as S
 from tablewright.operators.grid import TABLE, text_doc
@@ -197,3 +197,78 @@ def profile_applied(load):
     n = log.groupBy("code", "year").agg(F.count("*").alias("n_applied"))
     t = patched.groupBy("code", "year").agg(F.count("*").alias("n_tables"), F.sum("table_id").alias("ids"))
     return t.join(n, ["code", "year"], "left").select("code", "year", "n_tables", "ids", F.coalesce("n_applied", F.lit(0)).alias("n_applied"))
+
+
+_RATIO = {"clients": ORACLES["q_v_clients"], "suppliers": ORACLES["q_v_suppliers"]}
+CHECKS = f"""cl AS ({_RATIO['clients']}), su AS ({_RATIO['suppliers']}),
+ rv0 AS (SELECT r.code, r.year, d.dim, count(s.name) AS n, round(sum(ratio), 2) AS s FROM reports r CROSS JOIN (VALUES ('segments'), ('industries'), ('regions'), ('by_channel')) AS d(dim) LEFT JOIN shared s ON s.code = r.code AND s.year = r.year AND s.dim = d.dim GROUP BY r.code, r.year, d.dim),
+ rv AS (SELECT *, sum(n) OVER (PARTITION BY code, year) AS alls FROM rv0),
+ rn AS (SELECT r.code, r.year, count(x.name) AS n, coalesce(CAST(sum(amount) AS DOUBLE), 0) AS s, any_value(CAST(total AS DOUBLE)) AS t FROM reports r LEFT JOIN (SELECT * FROM rnd WHERE k <> 1) x ON x.code = r.code AND x.year = r.year LEFT JOIN rnd_total t ON t.code = r.code AND t.year = r.year GROUP BY r.code, r.year),
+ em AS (SELECT r.code, r.year, any_value(total) AS t, sum(n) FILTER (dim = 'composition') AS c, sum(n) FILTER (dim = 'education') AS e FROM reports r LEFT JOIN (SELECT * FROM emp_total WHERE year % 4 <> 0) t ON t.code = r.code AND t.year = r.year LEFT JOIN emp x ON x.code = r.code AND x.year = r.year GROUP BY r.code, r.year),
+ ca AS (SELECT r.code, r.year, count(dim) FILTER (dim <> 'total') AS n, round(sum(coalesce(ratio, 0)) FILTER (dim <> 'total'), 4) AS s, coalesce(any_value(ratio) FILTER (dim = 'total'), 0) AS t FROM reports r LEFT JOIN cl ON cl.code = r.code AND cl.year = r.year GROUP BY r.code, r.year),
+ ck AS (SELECT DISTINCT code, year, 'revenue_breakdown' AS field, 'MISSING' AS status FROM rv WHERE alls = 0
+  UNION ALL SELECT code, year, 'revenue_breakdown.' || dim, CASE WHEN n = 0 THEN 'EMPTY' ELSE 'SUSPICIOUS' END FROM rv WHERE alls > 0 AND dim <> 'by_channel' AND (n = 0 OR s < 80 OR s > 120)
+  UNION ALL SELECT code, year, 'revenue_breakdown.' || dim || '.' || name, 'ERROR' FROM shared WHERE ratio > 100 AND dim <> 'by_channel'
+  UNION ALL SELECT code, year, 'rnd_info', 'MISSING' FROM rn WHERE n = 0
+  UNION ALL SELECT code, year, 'rnd_info.total_this', CASE WHEN abs(s - t) / greatest(t, 1) * 100 <= 5 THEN 'PASS' ELSE 'SUSPICIOUS' END FROM rn WHERE n > 0 AND t <> 0
+  UNION ALL SELECT code, year, 'rnd_info.detail_count', CASE WHEN n BETWEEN 3 AND 20 THEN 'PASS' ELSE 'SUSPICIOUS' END FROM rn WHERE n > 0
+  UNION ALL SELECT code, year, 'employees', 'MISSING' FROM em WHERE coalesce(t, 0) = 0
+  UNION ALL SELECT code, year, 'employees.composition', CASE WHEN abs(c - t) > 10 THEN 'SUSPICIOUS' ELSE 'PASS' END FROM em WHERE t <> 0 AND c IS NOT NULL
+  UNION ALL SELECT code, year, 'employees.education', 'SUSPICIOUS' FROM em WHERE t <> 0 AND abs(e - t) > 10
+  UNION ALL SELECT code, year, 'top_clients', CASE WHEN n = 0 THEN 'MISSING' ELSE 'SUSPICIOUS' END FROM ca WHERE n = 0 OR round(abs(t - s), 4) > 1
+  UNION ALL SELECT code, year, 'top_suppliers', 'MISSING' FROM reports r ANTI JOIN (SELECT * FROM su WHERE dim <> 'total') x ON x.code = r.code AND x.year = r.year)"""
+
+
+def _issues(load):
+    reports = load("reports")
+    parts = (
+        checks.revenue(reports, load("shared")), checks.rnd(reports, load("rnd").where("k <> 1"), load("rnd_total")),
+        checks.employees(reports, load("emp"), load("emp_total").where("year % 4 <> 0")), checks.partners(reports, variants.partners(load, "client"), variants.partners(load, "supplier")),
+    )
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("q_result_checks", f"WITH {CHECKS} SELECT * FROM ck")
+def result_checks(load):
+    """The four checkers over all reports: here some reports have no R&D details and some no head count."""
+    return _issues(load)
+
+
+@query("q_check_summary", f"WITH {CHECKS} SELECT code, year, count(*) AS total_checks, " + ", ".join(f"count(*) FILTER (status = '{k}') AS n_{k.lower()}" for k in ("PASS", "SUSPICIOUS", "ERROR", "MISSING", "EMPTY")) + " FROM ck GROUP BY ALL")
+def check_summary(load):
+    return checks.summary(_issues(load))
+
+
+VIEWS["fixes"] = "SELECT event_id AS id, CAST(user_id % 50 AS STRING) AS code, event_type AS field, concat('fix', CAST(user_id % 3 AS STRING)) AS fix FROM events WHERE user_id % 4 <> 0"
+VIEWS["fix_cases"] = "SELECT DISTINCT CAST(user_id % 50 AS STRING) AS code, event_type AS field FROM events UNION SELECT 'none' AS code, 'unheard of' AS field FROM events"
+_KNOWN = "kn AS (SELECT code, field, fix, count(*) AS hits, min(id) AS first FROM fixes GROUP BY ALL)"
+
+
+@query("q_known_fix", f"""WITH {_KNOWN}, ow AS (SELECT code, field, arg_min(fix, first) AS own FROM kn GROUP BY ALL), cm AS (SELECT field, arg_min(fix, (-hits, first)) AS common FROM kn GROUP BY ALL)
+SELECT code, field, coalesce(own, common) AS fix, CASE WHEN own IS NOT NULL THEN 'exact' WHEN common IS NOT NULL THEN 'field' END AS source FROM fix_cases LEFT JOIN ow USING (code, field) LEFT JOIN cm USING (field)""")
+def known_fix(load):
+    """What to try first for each case: its own fix, or its field's commonest."""
+    return experience.known_fix(load("fix_cases"), experience.recorded(load("fixes")))
+
+
+@query("q_top_fixes", f"WITH {_KNOWN} SELECT CAST(row_number() OVER (ORDER BY hits DESC, first) AS INT) AS rank, code, field, fix, hits FROM kn WHERE hits > 1 QUALIFY rank <= 5")
+def top_fixes(load):
+    return experience.top_fixes(experience.recorded(load("fixes")))
+
+
+#: Candidate rules of each report: three years stand for three of them, the least year for the rule in force.
+VIEWS["rule_trials"] = "SELECT code, year, red_count FROM (SELECT code, year, CAST(n_lines % 4 AS BIGINT) AS red_count FROM reports) q"
+_FIELDS3 = "list_filter(['revenue', 'cost', 'rnd'], lambda x: CASE x WHEN 'revenue' THEN red_count >= 1 WHEN 'cost' THEN red_count >= 2 ELSE red_count >= 3 END)"
+
+
+@query("q_best_candidate", f"""WITH t AS (SELECT *, {_FIELDS3} AS f, year = min(year) OVER (PARTITION BY code) AS base FROM rule_trials), b AS (SELECT * FROM t WHERE base),
+ j AS (SELECT a.code, a.year AS candidate, a.red_count, (b.red_count = 0 AND a.red_count > 0) OR len(list_filter(a.f, lambda x: NOT list_contains(b.f, x))) > 0 AS worse, (b.red_count > 0 AND a.red_count = 0) OR a.red_count < b.red_count AS better FROM t a JOIN b ON b.code = a.code WHERE NOT a.base)
+SELECT code, count(*) AS evaluated, count(*) FILTER (better AND NOT worse) > 0 AS accepted, arg_min(candidate, (red_count, candidate)) FILTER (better AND NOT worse) AS candidate FROM j GROUP BY code""")
+def best_candidate(load):
+    """Of all candidate rules of a report the accepted one with fewest reds."""
+    reds = F.array(*(F.when(F.col("red_count") >= i, f) for i, f in enumerate(("revenue", "cost", "rnd"), 1)))
+    t = load("rule_trials").withColumn("red_fields", F.array_compact(reds)).withColumn("passed", F.col("red_count") == 0).withColumn("base", F.col("year") == F.min("year").over(Window.partitionBy("code")))
+    return experience.best_candidate(experience.accepted(t.where("base"), t.where("not base").withColumnRenamed("year", "candidate")))
