@@ -67,11 +67,11 @@ _MEET = "NOT (a.x1 < b.x0 - 3 OR b.x1 < a.x0 - 3 OR a.y1 < b.y0 - 3 OR b.y1 < a.
 _SHIFTED = "SELECT code, year, dim || '/' || idx || '/' || part AS value, page, x0 + 30 * (idx % 3) AS x0, y0 + 20 * (idx % 2) AS y0, x1 + 30 * (idx % 3) AS x1, y1 + 20 * (idx % 2) AS y1 FROM atd"
 
 
-@query("q_prov_vote", f"""WITH {ATTACHED}, vs AS ({_SHIFTED}), ol AS (SELECT code, year, table_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM cell_rects GROUP BY ALL),
+@query("q_prov_vote_boxes", f"""WITH {ATTACHED}, vs AS ({_SHIFTED}), ol AS (SELECT code, year, table_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM cell_rects GROUP BY ALL),
  pp AS (SELECT s.code, s.year, s.table_id, a.value, max(CASE WHEN EXISTS (SELECT 1 FROM cell_rects b WHERE b.code = a.code AND b.year = a.year AND b.page = a.page AND b.table_id = s.table_id AND {_MEET}) THEN 3 WHEN EXISTS (SELECT 1 FROM ol b WHERE b.code = a.code AND b.year = a.year AND b.table_id = s.table_id AND b.page = a.page AND {_MEET}) THEN 2 ELSE 1 END) AS v
    FROM sheets s JOIN vs a ON a.code = s.code AND a.year = s.year AND a.page = s.page GROUP BY ALL)
 SELECT code, year, arg_max(table_id, (votes, -table_id)) AS table_id, CAST(max(votes) AS BIGINT) AS votes FROM (SELECT code, year, table_id, sum(v) AS votes FROM pp GROUP BY ALL) q GROUP BY ALL""")
-def prov_vote(load):
+def prov_vote_boxes(load):
     """The table that the values' rectangles point to; here values stand up to 60 points beside and 20 below their cells."""
     at = _attached(load)
     dx, dy = 30 * (F.col("idx") % 3), 20 * (F.col("idx") % 2)
