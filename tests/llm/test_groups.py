@@ -5,7 +5,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from tablewright.llm import decontaminate, exact, phrases, spelling
 
@@ -127,7 +126,6 @@ def test_one_apart():
 def test_native_plan_has_no_python(spark, docs):
     plan = exact.exact_copies(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
-    assert F is not None
 
 
 def test_blocks_of_windows_are_bounded_by_the_ids_too(spark):
