@@ -113,15 +113,12 @@ def detect_unit(c: Column) -> Column:
 
 
 def bank_unit(c: Column) -> Column:
-    """The bank path's rule: the first unit that contains the token or is contained in it."""
-    found = []
-    for p in BANK_PATTERNS:
-        token, out = F.nullif(F.regexp_extract(c, p, 1), F.lit("")), None
-        for k, v in BANK_UNITS:
-            test = token.contains(k) | F.lit(k).contains(token)
-            out = F.when(test, v) if out is None else out.when(test, v)
-        found.append(out)
-    return F.coalesce(*found, F.lit(1))
+    """The bank path's rule: the first unit that contains the token or is contained in it. Tokens are elements of an array, so
+    that each is read once and not in every branch."""
+    tokens = F.array(*(F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in BANK_PATTERNS))
+    known = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in BANK_UNITS))
+    factors = F.transform(tokens, lambda t: F.get(F.filter(known, lambda u: t.contains(u["k"]) | u["k"].contains(t)), F.lit(0))["v"])
+    return F.coalesce(F.get(F.array_compact(factors), F.lit(0)), F.lit(1))
 
 
 def to_yuan(amount: Column, unit: Column) -> Column:
