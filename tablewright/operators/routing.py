@@ -61,12 +61,17 @@ def plausibility(items: DataFrame, truths: DataFrame) -> DataFrame:
     return r.withColumn("confidence", level).withColumn("clean", clean).select(*ITEMS[:5], "n_rows", "n_dims", "ok_dims", "confidence", "clean")
 
 
+def best(judged: DataFrame) -> DataFrame:
+    """field, code, year, source, clean, confidence, n_tried: of a report's candidates for a field that which is clean, then that with most dimensions in order, then most
+    rows, then the first."""
+    first = F.max_by(F.struct("source", "clean", "confidence"), F.struct(F.col("clean").cast("int"), "ok_dims", "n_rows", -F.col("ord")))
+    return judged.groupBy(*KEY).agg(first.alias("b"), F.count("*").alias("n_tried")).select(*KEY, "b.source", "b.clean", "b.confidence", "n_tried")
+
+
 def route(judged: DataFrame) -> DataFrame:
-    """field, code, year, status, source, n_tried: of a report's candidates for a field that which is clean, then that with most dimensions in order, then most
-    rows, then the first. routed if it is clean; needs_repair, without a source, if none is."""
-    best = F.max_by(F.struct("source", "clean"), F.struct(F.col("clean").cast("int"), "ok_dims", "n_rows", -F.col("ord")))
-    b = judged.groupBy(*KEY).agg(best.alias("b"), F.count("*").alias("n_tried"))
-    return b.select(*KEY, F.when(F.col("b.clean"), "routed").otherwise("needs_repair").alias("status"), F.when(F.col("b.clean"), F.col("b.source")).alias("source"), "n_tried")
+    """field, code, year, status, source, n_tried: routed to the best candidate if it is clean; needs_repair, without a source, if none is."""
+    clean = F.col("clean")
+    return best(judged).select(*KEY, F.when(clean, "routed").otherwise("needs_repair").alias("status"), F.when(clean, F.col("source")).alias("source"), "n_tried")
 
 
 def routed_items(items: DataFrame, routes: DataFrame) -> DataFrame:

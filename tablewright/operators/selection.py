@@ -88,6 +88,18 @@ def scored(tables: DataFrame, names: tuple[str, ...] = tuple(SIGNATURES), least:
     return t.select(*TABLE, "sig", "score", F.row_number().over(Window.partitionBy("code", "year", "sig").orderBy(F.desc("score"), "table_id")).alias("rank"))
 
 
+#: Accounts that only the details of R&D expense have.
+RND_DETAILS = ("研发材料", "职工薪酬")
+
+
+def rnd_target(tables: DataFrame) -> DataFrame:
+    """code, year, table_id, n_rows, detail: of a report's tables (facts) that pass the R&D signature those with a detail account come
+    first, then the longest, then the best scored. Reports without such a table are absent."""
+    t = scored(tables, ("rnd",)).join(tables.select(*TABLE, "n_rows", T.contains_any(F.col("text"), RND_DETAILS).alias("detail")), list(TABLE))
+    best = F.max_by(F.struct("table_id", "n_rows", "detail"), F.struct("detail", "n_rows", -F.col("rank")))
+    return t.groupBy("code", "year").agg(best.alias("b")).select("code", "year", "b.table_id", "b.n_rows", "b.detail")
+
+
 def bigrams(text: Column) -> Column:
     """The distinct pairs of neighbouring characters."""
     n = F.length(text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablewright.plans import banking, boxing, choosing, controls, extras, fieldtables, grids, ledgers, paging, parsing, revenue, rollups, scalar, scores, selections, variants  # noqa: F401
+from tablewright.plans import banking, boxing, choosing, controls, extras, fieldtables, grids, ledgers, paging, parsing, revenue, rollups, scalar, scores, selections, stewarding, variants  # noqa: F401
 from tablewright.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -262,8 +262,8 @@ def steward_buckets(load):
     return _classed(load).groupBy(layer.alias("layer")).agg(F.count("*").alias("n"))
 
 
-@query("q_dossier", CONFIDENCE_SQL + f" SELECT conf.code, conf.year, {OUTCOME} AS outcome, n_dims, dims_hit FROM conf JOIN annual USING (code, year) WHERE confidence = 'low'")
-def dossier(load):
+@query("q_low_outcomes", CONFIDENCE_SQL + f" SELECT conf.code, conf.year, {OUTCOME} AS outcome, n_dims, dims_hit FROM conf JOIN annual USING (code, year) WHERE confidence = 'low'")
+def low_outcomes(load):
     return _outcome(load).where("confidence = 'low'").select("code", "year", "outcome", "n_dims", "dims_hit")
 
 

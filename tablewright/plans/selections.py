@@ -176,11 +176,11 @@ def candidates(load):
     return w.groupBy("code", "year").agg(F.count("*").alias("n"), F.min("parser").alias("first_parser"))
 
 
-@query("q_rnd_pick", "WITH t AS (SELECT code, year, table_id, max(coalesce(contains(v, '员工A'), false)) AS flag, max(r) + 1 AS n FROM cells GROUP BY ALL) SELECT code, year, arg_max(table_id, (flag, n, -table_id)) AS table_id FROM t GROUP BY ALL")
+@query("q_rnd_pick", EXPLAINED + """, rm AS (SELECT code, year, table_id, rank, n_rows, contains(text, '研发材料') OR contains(text, '职工薪酬') AS detail FROM rk JOIN fc USING (code, year, table_id) WHERE sig = 'rnd')
+SELECT code, year, table_id, CAST(n_rows AS BIGINT) AS n_rows, detail FROM (SELECT *, row_number() OVER (PARTITION BY code, year ORDER BY detail DESC, n_rows DESC, rank) AS rn FROM rm) x WHERE rn = 1""")
 def rnd_pick(load):
-    """Of the matches those with a detail word first, then the longest, then the first."""
-    t = load("cells").groupBy(*TABLE).agg(F.max(F.coalesce(F.col("v").contains("员工A"), F.lit(False))).alias("flag"), (F.max("r") + 1).alias("n"))
-    return t.groupBy("code", "year").agg(F.max_by("table_id", F.struct("flag", "n", -F.col("table_id"))).alias("table_id"))
+    """The R&D table of each report: of those that pass its signature, the ones with detail accounts before the rest."""
+    return S.rnd_target(S.facts(load("all_cells"), load("table_meta"))).withColumn("n_rows", F.col("n_rows").cast("bigint"))
 
 
 @query("q_select_parser", "SELECT code, year, CASE WHEN (SELECT sum((length(text) - length(replace(text, '非利息净收入', ''))) / 6) FROM report_page p WHERE p.code = r.code AND p.year = r.year AND page <= 80) >= 2 THEN 'bank' ELSE 'default' END AS parser FROM reports r")
