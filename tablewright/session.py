@@ -21,6 +21,7 @@ def local_session(cpus: int | str = 8, app: str = "tablewright", **conf: str) ->
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.python.filterPushdown.enabled", "true")  # the table cache's reader filters file names
     )
     for key, value in conf.items():
         b = b.config(key, value)
