@@ -22,6 +22,8 @@ from array import array
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ from tablewright.llm.common import map_rows
 
 #: The four control characters are white space to Python but not to the tokenizer.
 PIECE = re.compile(r"[^\S\x1c-\x1f]*(?:[\S\x1c-\x1f])+|[^\S\x1c-\x1f]+")
+#: Signs of which any number at the end of a word may be encoded by themselves, after an ASCII letter.
+SIGNS = ".,;:!?"
 WINDOW, MASK, SHORTEST, LONGEST = 32, 511, 128, 8192
 _GEAR = np.random.default_rng(20).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -72,7 +76,8 @@ def _whole(data: bytes, p: int) -> int:
 
 class Coder:
     """Texts to ids (little-endian unsigned 32-bit) and back; one for each worker and tokenizer file.
-    The vocabulary stays with the worker; ``forget`` empties the stores, which tasks do when they end.
+    The vocabulary stays with the worker, and so do the words of ``whole`` (at most about
+    ``word_bytes``); ``forget`` empties the other stores, which tasks do when they end.
 
     Pieces not met before go to the library itself (engine "library"), or to a second
     encoder with the same vocabulary that is quicker on short strings (engine "ranks");
@@ -88,7 +93,7 @@ class Coder:
             cls._made[path, engine] = cls(path, engine)
         return cls._made[path, engine]
 
-    def __init__(self, path: str, engine: str = "ranks", piece_bytes: int = 32 << 20, chunk_bytes: int = 16 << 20) -> None:
+    def __init__(self, path: str, engine: str = "ranks", piece_bytes: int = 32 << 20, chunk_bytes: int = 16 << 20, word_bytes: int = 128 << 20) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -102,6 +107,9 @@ class Coder:
         self.chunks: dict[bytes, tuple | None] = {}
         self.joins: dict[str, bytes | None] = {}
         self.held = dict.fromkeys(self.most, 0)
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.most_words, self.held_words = word_bytes, 0
         self.encoded_chunks = self.reused_chunks = 0
         vocab = self.library.get_vocab(with_added_tokens=True)
         back = _byte_of_char()
@@ -156,10 +164,99 @@ class Coder:
         return out
 
     def whole(self, texts: list[str | None]) -> list[bytes]:
-        """As encode(), through the piece store alone."""
-        special = [any(a in (t or "") for a in self.added) for t in texts]
-        out = self.by_pieces([[] if x else PIECE.findall(t or "") for t, x in zip(texts, special, strict=True)])
-        return [self.by_library([t])[0] if x else ids for t, x, ids in zip(texts, special, out, strict=True)]
+        """As encode(), from words alone."""
+        ids, n = self.in_one(pa.array(texts, pa.string()))
+        ends = np.cumsum(n)
+        return [ids[a:b].tobytes() for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+
+    def in_one(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """As encode(), in one array, with the number of ids of each text; ``end_id`` follows each text.
+
+        Texts are dealt into words, of which the library encodes each once. A word begins before a
+        space or a line feed; its key leaves a leading space out, and a text's first word, which has
+        none, has a space at the end of its key. A text where white space follows on white space has
+        words without ids, and goes by pieces."""
+        column = pc.fill_null(texts, "")
+        split = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
+        starts = np.asarray(split.offsets)
+        first = starts[:-1] - starts[0]
+        flat = split.flatten()
+        words = flat.dictionary_encode()
+        which = np.array(words.indices)
+        keys = words.dictionary.to_pylist()
+        which[first] = np.arange(len(keys), len(keys) + len(first))
+        keys += [k + " " for k in flat.take(pa.array(first)).to_pylist()]
+        ids_of = self._ids_of(keys)
+        table = np.frombuffer(b"".join(ids_of), "<u4")
+        sizes = np.fromiter(map(len, ids_of), np.int64, len(ids_of)) // 4
+        n = sizes[which]
+        odd = np.maximum.reduceat(n == 0, first) if len(first) else np.zeros(0, bool)
+        for a in self.added:
+            odd |= np.asarray(pc.match_substring(column, a))
+        if end_id is not None:  # as a word of one id behind each text
+            table, sizes, at = np.append(table, np.uint32(end_id)), np.append(sizes, 1), np.append(first, len(which))[1:]
+            which, n = np.insert(which, at, len(ids_of)), np.insert(n, at, 1)
+            first = first + np.arange(len(first))
+        lengths = np.add.reduceat(n, first) if len(first) else np.zeros(0, np.int64)
+        total = int(n.sum())
+        kind = np.int32 if max(total, len(table)) < 1 << 31 else np.int64
+        begin = (np.cumsum(sizes) - sizes)[which]
+        begin -= np.cumsum(n) - n
+        at = np.repeat(begin.astype(kind), n)
+        at += np.arange(total, dtype=kind)
+        ids = table[at]
+        if odd.any():
+            parts = np.split(ids, np.cumsum(lengths)[:-1])
+            tail = np.array([] if end_id is None else [end_id], np.uint32)
+            for i in np.flatnonzero(odd).tolist():
+                t = column[i].as_py()
+                mine = self.by_library([t]) if any(a in t for a in self.added) else self.by_pieces([PIECE.findall(t)])
+                parts[i] = np.concatenate((np.frombuffer(mine[0], "<u4"), tail))
+            ids, lengths = np.concatenate(parts), np.array([len(p) for p in parts])
+        return ids, lengths
+
+    def _ids_of(self, keys: list[str]) -> list[bytes]:
+        """The ids of words by their keys; none for those that are no words by themselves.
+        When half the store is full, it becomes ``older``, from which a word comes back when it is met."""
+        if self.held_words > self.most_words // 2:
+            self.older, self.words, self.held_words = self.words, {}, 0
+        known, older = self.words, self.older
+        got = list(map(known.get, keys))
+        new = [i for i, ids in enumerate(got) if ids is None]
+        if not new:
+            return got
+        met = [keys[i] for i in new]
+        back = list(map(older.get, met))
+        known.update(zip(met, back, strict=True))
+        stems, ends, signed, todo = [], [], [], set()
+        for k in [k for k, ids in zip(met, back, strict=True) if ids is None]:
+            last = k[-1:]
+            if not last.strip() and (not k[:-1] or last != " " or k[-2].isspace()):
+                known[k] = b""
+            # a letter and what isn't one never share a pre-token, so signs at the end go by themselves
+            elif last in SIGNS and (stem := k.rstrip(SIGNS))[-1:].isalpha() and stem[-1].isascii():
+                signed.append(k)
+                stems.append(stem)
+                ends.append(k[len(stem) :] + " ")
+            else:
+                todo.add(k)
+        parts = [k for k in {*stems, *ends} if known.get(k) is None]
+        back = list(map(older.get, parts))
+        known.update(zip(parts, back, strict=True))
+        todo.update(k for k, ids in zip(parts, back, strict=True) if ids is None)
+        pieces = {k: k[:-1] if k[-1] == " " else k if k[0] == "\n" else " " + k for k in todo}
+        fresh = sorted(pieces, key=lambda k: pieces[k][0] in " \n")
+        known.update(zip(fresh, self.in_runs([pieces[k] for k in fresh]), strict=True))
+        known.update((k, known[stem] + known[end]) for k, stem, end in zip(signed, stems, ends, strict=True))
+        for i, k in zip(new, met, strict=True):
+            got[i] = known[k]
+        for some in (met, parts):
+            self.held_words += 180 * len(some) + 3 * sum(map(len, some))
+            for k in some:
+                if len(k) > 64 and k in known:
+                    self.held_words -= 180 + 3 * len(k)
+                    del known[k]
+        return got
 
     def by_library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]

@@ -1,15 +1,18 @@
 """An adaptive range coder for token ids whose models mix predictions of order 0, 1 and 2.
 
 Ids are cut into blocks of BLOCK; each block starts from fresh models and ends in its own
-checksum, so it can be decoded alone. Orders 1 and 2 predict an id from a table by the
-one or two ids before (with a confidence that hits raise and misses lower), order 0
-predicts the id met most often so far. What is coded is which prediction holds, by a
-mixture of three adaptive experts, one for each order, whose weights follow how well each
-has done lately; if none holds, the id follows under the order-0 frequencies.
+checksum, so it can be decoded alone. Orders 1 and 2 predict the id that last followed the one
+or two ids before, with a confidence: how often in a row it has. Order 0 is the file's table of
+frequencies. An id's share is the sum of what each order gives it, by weights that adapt in each
+block: a set of its own for either confidence and whether both predictions agree. What is coded
+is which prediction holds under these weights; if none does, the id follows under order 0.
 
 Blocks of one file go in lockstep: step t codes the t-th id of every block at once, so each
-numpy call works on as many lanes as there are blocks. Only +, -, *, / and comparisons
-on doubles decide anything, which gives the same results on every machine.
+numpy call works on as many lanes as there are blocks. All is integer arithmetic, which gives
+the same results on every machine. Tables are small (SLOTS) and calls few, as what a step costs
+is memory out of reach of the caches and the calls themselves.
+
+The coder's range has 63 bits and gives 32 at a time; the encoder adds carries at the end.
 """
 
 from __future__ import annotations
@@ -20,12 +23,15 @@ import zlib
 import numpy as np
 
 BLOCK, LANES = 4096, 2048
-MAGIC = b"TWIDS\x00\x01\n"
-SLOTS = 11  # bits of a prediction table
-SYMBOLS, ESCAPES = 16, 24  # bits of a total
-U = np.uint64
-LOW32 = U(0xFFFFFFFF)
-FLOOR = 1e-5  # least share of a symbol with any expert
+MAGIC = b"TWIDS\x00\x02\n"
+SLOTS = 10  # bits of a prediction table
+SYMBOLS = 12  # bits of a total of the weights
+U, U32 = np.uint64, np.uint32
+LOW31, LOW32 = U(0x7FFFFFFF), U(0xFFFFFFFF)
+SURE = U32(3)  # the bits of a slot that say how sure it is
+GROWN = np.array([1, 2, 3, 3, 0], U32)  # the next confidence, by the last one where a prediction held; 4: it didn't
+LEAST = U32(16)  # least weight of orders 1 and 2
+GAIN = np.array([1984 << 16, 1984, 0], U32)  # what the weight of the order that held gains, 16 bits for each
 
 
 class CorruptFile(ValueError):
@@ -33,163 +39,143 @@ class CorruptFile(ValueError):
 
 
 class Models:
-    """State of all lanes; predict() and learn() alternate. Shares are (4, lanes) arrays.
-    A slot of a prediction table holds an id and, in its lowest 3 bits, how sure it is."""
+    """State of all lanes; predict() and learn() alternate. A slot of a prediction table holds an
+    id and, in its lowest 2 bits, how sure it is; a row of weights those of order 2 and 1."""
 
     def __init__(self, lanes: int) -> None:
-        self.lanes = np.arange(lanes)
-        self.base = self.lanes << SLOTS
-        self.tables = [np.zeros(lanes << SLOTS, np.uint32) for _ in range(2)]
-        self.seen = np.zeros(lanes << 10, np.uint16)
-        self.seen_base = self.lanes << 10
-        self.often = np.zeros(lanes, np.uint32)
-        self.most = np.zeros(lanes, np.uint16)
-        start = np.array([0.05, 0.05, 0.05, 0.85])
-        self.experts = [np.tile(start, (lanes * n, 1)) for n in (16, 16, 4)]
-        self.rows = [self.lanes * n for n in (16, 16, 4)]
-        self.weights = [np.full(lanes, 1 / 3) for _ in range(3)]
-        self.before = [np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)]
-        self.last = np.full(lanes, 3)
-        self.bounds = np.zeros((5, lanes), U)
-        self.bounds[4] = 1 << SYMBOLS
+        lane = np.arange(lanes)
+        self.base, self.row = lane << SLOTS, lane << 5
+        self.one, self.two = np.zeros(lanes << SLOTS, U32), np.zeros(lanes << SLOTS, U32)
+        self.weights = np.zeros(lanes << 5, U32)
+        self.last, self.before = np.zeros(lanes, U32), np.zeros(lanes, U32)
 
-    def predict(self) -> np.ndarray:
-        """Bounds (5, lanes) of the four symbols in a total of 1 << SYMBOLS."""
-        one, two = self.before
-        h = one * np.uint32(2654435761)
-        h2 = (h ^ (two * np.uint32(2246822519) + np.uint32(374761393))) * np.uint32(3266489917)
-        self.slot = [self.base + (h >> np.uint32(32 - SLOTS)), self.base + (h2 >> np.uint32(32 - SLOTS))]
-        got = [t.take(x) for t, x in zip(self.tables, self.slot, strict=True)]
-        self.conf = [g & np.uint32(7) for g in got]
-        self.guess = [g >> np.uint32(3) for g in got]
-        agree = (self.guess[0] == self.guess[1]) & (self.conf[0] > 0)
-        self.row = [self.rows[0] + (2 * self.conf[1] + agree), self.rows[1] + (2 * self.conf[0] + (self.last < 3)), self.rows[2] + self.last]
-        self.p = [np.ascontiguousarray(e.take(r, axis=0).T) for e, r in zip(self.experts, self.row, strict=True)]
-        w, p, bounds = self.weights, self.p, self.bounds
-        self.mixed = p[0] * w[0]
-        self.mixed += p[1] * w[1]
-        self.mixed += p[2] * w[2]
-        bounds[1:4] = self.mixed[:3] * ((1 << SYMBOLS) - 8)
-        bounds[1:4] += U(1)
-        bounds[2] += bounds[1]
-        bounds[3] += bounds[2]
-        return bounds
+    def drop(self) -> None:
+        """The last lane has ended."""
+        self.base, self.row, self.last, self.before = self.base[:-1], self.row[:-1], self.last[:-1], self.before[:-1]
 
-    def symbols(self, ids: np.ndarray) -> np.ndarray:
-        """0 to 2: the prediction of order 2, 1 or 0 holds; 3: none."""
-        s = np.where(ids == self.often, 2, 3)
-        s[(ids == self.guess[0]) & (self.conf[0] > 0)] = 1
-        s[(ids == self.guess[1]) & (self.conf[1] > 0)] = 0
-        return s
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where the share of order 2 ends and where that of order 1 does, in 1 << SYMBOLS."""
+        h = self.last * U32(2654435761)
+        self.at1 = (h >> U32(32 - SLOTS)) + self.base
+        h ^= self.before
+        h *= U32(3266489917)
+        self.at2 = (h >> U32(32 - SLOTS)) + self.base
+        self.got1, self.got2 = a, b = self.one.take(self.at1, mode="clip"), self.two.take(self.at2, mode="clip")
+        k = b & SURE
+        k <<= U32(2)
+        k |= a & SURE
+        k |= ((a ^ b) <= SURE).view(np.uint8) << np.uint8(4)
+        self.at = k + self.row
+        self.weight = w = self.weights.take(self.at, mode="clip")
+        # weights tend to 1984 << 5 in sum, so order 0 always keeps a share
+        two = (w >> U32(20)) + LEAST
+        one = (w >> U32(4)) & U32(0xFFF)
+        one += LEAST
+        one += two
+        return two.astype(U), one.astype(U)
 
     def learn(self, ids: np.ndarray, s: np.ndarray) -> None:
-        hit = s * len(self.lanes) + self.lanes
-        gain = 0.96 / self.mixed.take(hit)
-        weights = []
-        for k, (e, r, p) in enumerate(zip(self.experts, self.row, self.p, strict=True)):
-            weights.append(self.weights[k] * p.take(hit) * gain + 0.04 / 3)
-            rate = 0.04 if k < 2 else 0.02
-            p *= 1 - rate
-            p += rate * FLOOR
-            flat = p.reshape(-1)
-            flat[hit] += rate * (1 - 4 * FLOOR)
-            e[r] = p.T
-        total = weights[0] + weights[1] + weights[2]
-        self.weights = [w / total for w in weights]
-        fresh = (ids << np.uint32(3)) | np.uint32(1)
-        for t, slot, guess, conf in zip(self.tables, self.slot, self.guess, self.conf, strict=True):
-            held = (guess == ids) & (conf > 0)
-            kept = (guess << np.uint32(3)) | np.where(held, np.minimum(conf + np.uint32(1), np.uint32(7)), conf >> np.uint32(1))
-            t[slot] = np.where(held | (conf > 2), kept, fresh)
-        k = self.seen_base + ((ids * np.uint32(2654435761)) >> np.uint32(22))
-        got = self.seen.take(k) + np.uint16(1)
-        self.seen[k] = got
-        more = got > self.most
-        np.copyto(self.most, got, where=more)
-        self.often = np.where(more, ids, self.often)
-        self.before = [ids, self.before[0]]
-        self.last = s
+        w = self.weight
+        w -= (w >> U32(5)) & U32(0x07FF07FF)
+        w += GAIN.take(s, mode="clip")
+        self.weights[self.at] = w
+        x = ids << U32(2)
+        for table, at, got in ((self.one, self.at1, self.got1), (self.two, self.at2, self.got2)):
+            got ^= x
+            table[at] = GROWN.take(np.minimum(got, U32(4), out=got), mode="clip") + x
+        self.before, self.last = self.last, ids
 
 
 def frequencies(ids: np.ndarray) -> np.ndarray:
-    """Order-0 counts, scaled to a total of 1 << ESCAPES, at least 1 for each id that occurs."""
+    """Order-0 counts, scaled to a total of 1 << 20 (1 << 24 for many different ids), at least 1
+    for each id that occurs."""
     counts = np.bincount(ids) if len(ids) else np.ones(1, np.int64)
-    room = (1 << ESCAPES) - int((counts > 0).sum())
+    n = int((counts > 0).sum())
+    bits = 20 if n <= 1 << 18 else 24
+    room = (1 << bits) - n
     f = np.where(counts > 0, 1 + counts * room // counts.sum(), 0)
-    f[int(f.argmax())] += (1 << ESCAPES) - int(f.sum())
+    f[int(f.argmax())] += (1 << bits) - int(f.sum())
     return f.astype(np.uint32)
 
 
-def _narrow(low, size, cum, freq, bits):
-    r = size >> U(bits)
-    return low + r * cum, r * freq
+def _bounds(f: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+    """Sums before each frequency, and the bits of their total."""
+    cum = np.concatenate(([0], np.cumsum(f, dtype=U))).astype(U)
+    return cum, U(int(cum[-1]).bit_length() - 1)
+
+
+def _runs(count: int) -> list[tuple[int, int, int]]:
+    """Steps (from, to) and the lanes that have them: the last block may be short."""
+    n, rest = -(-count // BLOCK), count % BLOCK
+    runs = [(0, rest, n), (rest, BLOCK, n - 1)] if rest else [(0, BLOCK, n)]
+    return [r for r in runs if r[2]]
 
 
 def encode(ids: np.ndarray) -> bytes:
-    """The file body of an array of ids (below 2**29)."""
+    """The file body of an array of ids (below 2**30)."""
     ids = np.ascontiguousarray(ids, np.uint32)
     f = frequencies(ids)
-    cum = np.concatenate(([0], np.cumsum(f, dtype=np.uint64))).astype(U)
     table = zlib.compress(f.astype("<u4").tobytes(), 6)
-    blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
-    out = [MAGIC, struct.pack("<QIII", len(ids), len(blocks), len(table), zlib.crc32(table)), table]
-    for i in range(0, len(blocks), LANES):
-        out += _encode_lanes(blocks[i : i + LANES], f.astype(U), cum)
+    cum, bits = _bounds(f)
+    n = -(-len(ids) // BLOCK)
+    out = [MAGIC, struct.pack("<QIII", len(ids), n, len(table), zlib.crc32(table)), table]
+    for i in range(0, n, LANES):
+        out += _encode_lanes(ids[i * BLOCK : (i + LANES) * BLOCK], f.astype(U), cum, bits)
     return b"".join(out)
 
 
-def _encode_lanes(blocks: list[np.ndarray], f: np.ndarray, cum: np.ndarray) -> list[bytes]:
-    n = len(blocks)
-    sizes = np.array([len(b) for b in blocks])
-    grid = np.zeros((n, int(sizes.max())), np.uint32)
-    for i, b in enumerate(blocks):
-        grid[i, : len(b)] = b
+def _encode_lanes(ids: np.ndarray, f: np.ndarray, cum: np.ndarray, bits: np.uint64) -> list[bytes]:
+    n = -(-len(ids) // BLOCK)
+    grid = np.zeros((n, BLOCK), U32)
+    grid.reshape(-1)[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.T)
-    words = np.zeros((n, 2 * len(grid) + 4), np.uint32)
-    low, size, at = np.zeros(n, U), np.full(n, 0xFFFFFFFFFFFFFFFF, U), np.zeros(n, np.int64)
-    m, lanes = Models(n), np.arange(n)
-    short = sizes.min()
-
-    def settle(low, size, rows, live):
-        """Send the upper half of what is settled; where it isn't but the range has become small, cut it."""
-        same = ((low ^ (low + size)) >> U(32)) == 0
-        cutoff = ~same & (size <= LOW32)
-        if cutoff.any():
-            size = np.where(cutoff, (U(0) - low) & LOW32, size)
-            same |= cutoff
-        same &= live
-        go = np.flatnonzero(same)
-        r = rows[go]
-        words[r, at[r]] = (low[go] >> U(32)).astype(np.uint32)
-        at[r] += 1
-        low[go] <<= U(32)
-        size[go] <<= U(32)
-        return low, size
-
-    every = np.ones(n, bool)
-    for t in range(len(grid)):
-        x = grid[t]
-        live = every if t < short else sizes > t
-        bounds = m.predict()
-        s = m.symbols(x)
-        at_s = s * n + lanes
-        a = bounds.take(at_s)
-        new_low, new_size = _narrow(low, size, a, bounds.take(at_s + n) - a, SYMBOLS)
-        new_low, new_size = settle(new_low, new_size, lanes, live)
-        esc = np.flatnonzero((s == 3) & live)
-        if len(esc):
+    words = np.zeros((n, BLOCK + 4), U)
+    flat = words.reshape(-1)
+    at = np.arange(n) * (BLOCK + 4)
+    low, size = np.zeros(n, U), np.full(n, LOW31 << U(32), U)
+    m = Models(n)
+    for begin, end, lanes in _runs(len(ids)):
+        if lanes < n:
+            m.drop()
+        lo, sz, to = low[:lanes], size[:lanes], at[:lanes]
+        for t in range(begin, end):
+            x = grid[t, :lanes]
+            two, one = m.predict()
+            g = x << U32(2)  # 0: order 2 holds, 1: order 1, 2: neither
+            s = ((g ^ m.got1) > SURE).view(np.uint8) + np.uint8(1)
+            s *= ((g ^ m.got2) > SURE).view(np.uint8)
+            past1, past2 = s > 0, s > 1
+            esc = past2.nonzero()[0]
+            a, e = two * past1, np.where(past1, one, two)
+            a[esc] = one[esc]
+            e[esc] = 1 << SYMBOLS
+            sz >>= U(SYMBOLS)
+            lo += sz * a
+            sz *= e - a
             y = x[esc]
-            el, es = _narrow(new_low[esc], new_size[esc], cum[y], f[y], ESCAPES)
-            new_low[esc], new_size[esc] = settle(el, es, esc, np.ones(len(esc), bool))
-        low, size = (new_low, new_size) if live is every else (np.where(live, new_low, low), np.where(live, new_size, size))
-        m.learn(x, s)
-    for shift in (32, 0):
-        words[lanes, at] = ((low >> U(shift)) & LOW32).astype(np.uint32)
+            r = sz[esc] >> bits
+            lo[esc] += r * cum[y]
+            sz[esc] = r * f[y]
+            go = (sz <= LOW31).nonzero()[0]
+            k, v = to[go], lo[go]
+            flat[k] = v >> U(31)
+            to[go] = k + 1
+            lo[go] = (v & LOW31) << U(32)
+            sz[go] <<= U(32)
+            m.learn(x, s)
+    for _ in range(2):
+        flat[at] = low >> U(31)
+        low = (low & LOW31) << U(32)
         at += 1
+    lengths = at - np.arange(n) * (BLOCK + 4)
+    words = words[:, : int(lengths.max())]
+    while (carry := words >> U(32)).any():
+        words &= LOW32
+        words[:, :-1] += carry[:, 1:]
     out = []
     for i in range(n):
-        body = words[i, : at[i]].astype("<u4").tobytes()
-        out.append(struct.pack("<III", sizes[i], len(body), zlib.crc32(body)) + body)
+        body = words[i, : lengths[i]].astype("<u4").tobytes()
+        out.append(struct.pack("<III", min(BLOCK, len(ids) - i * BLOCK), len(body), zlib.crc32(body)) + body)
     return out
 
 
@@ -203,7 +189,7 @@ def decode(data: bytes) -> np.ndarray:
     if zlib.crc32(table) != crc:
         raise CorruptFile("frequency table")
     f = np.frombuffer(zlib.decompress(table), "<u4").astype(U)
-    cum = np.concatenate(([0], np.cumsum(f, dtype=np.uint64))).astype(U)
+    cum, bits = _bounds(f)
     at, blocks = head + size, []
     for i in range(n):
         if len(data) < at + 12:
@@ -212,69 +198,59 @@ def decode(data: bytes) -> np.ndarray:
         body = data[at + 12 : at + 12 + length]
         if len(body) != length or zlib.crc32(body) != crc:
             raise CorruptFile(f"block {i}")
-        blocks.append((count, np.frombuffer(body, "<u4")))
+        if count != min(BLOCK, total - i * BLOCK):
+            raise CorruptFile(f"size of block {i}")
+        blocks.append(np.frombuffer(body, "<u4"))
         at += 12 + length
     if at != len(data):
         raise CorruptFile("more than its blocks")
-    parts = [p for i in range(0, n, LANES) for p in _decode_lanes(blocks[i : i + LANES], f, cum)]
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-    if len(ids) != total:
-        raise CorruptFile("number of ids")
-    return ids
+    find = np.repeat(np.arange(len(f), dtype=U32), f.astype(np.int64)) if bits <= 20 else None
+    parts = [_decode_lanes(blocks[i : i + LANES], min(LANES * BLOCK, total - i * BLOCK), f, cum, bits, find) for i in range(0, n, LANES)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
-def _decode_lanes(blocks: list[tuple[int, np.ndarray]], f: np.ndarray, cum: np.ndarray) -> list[np.ndarray]:
+def _decode_lanes(blocks: list[np.ndarray], count: int, f: np.ndarray, cum: np.ndarray, bits: np.uint64, find: np.ndarray | None) -> np.ndarray:
     n = len(blocks)
-    sizes = np.array([c for c, _ in blocks])
-    words = np.zeros((n, max(len(w) for _, w in blocks) + 4), np.uint32)
-    for i, (_, w) in enumerate(blocks):
+    words = np.zeros((n, max(map(len, blocks)) + 4), U)
+    for i, w in enumerate(blocks):
         words[i, : len(w)] = w
-    grid = np.zeros((int(sizes.max()), n), np.uint32)
-    low, size = np.zeros(n, U), np.full(n, 0xFFFFFFFFFFFFFFFF, U)
-    code = (words[:, 0].astype(U) << U(32)) | words[:, 1].astype(U)
-    at = np.full(n, 2)
-    m, lanes = Models(n), np.arange(n)
-    short, every = sizes.min(), np.ones(n, bool)
-
-    def settle(low, size, code, rows, live):
-        same = ((low ^ (low + size)) >> U(32)) == 0
-        cutoff = ~same & (size <= LOW32)
-        if cutoff.any():
-            size = np.where(cutoff, (U(0) - low) & LOW32, size)
-            same |= cutoff
-        same &= live
-        go = np.flatnonzero(same)
-        r = rows[go]
-        code[go] = (code[go] << U(32)) | words[r, at[r]].astype(U)
-        at[r] += 1
-        low[go] <<= U(32)
-        size[go] <<= U(32)
-        return low, size, code
-
-    for t in range(len(grid)):
-        live = every if t < short else sizes > t
-        bounds = m.predict()
-        v = np.minimum((code - low) // (size >> U(SYMBOLS)), U((1 << SYMBOLS) - 1))
-        s = (v >= bounds[1]).astype(np.int64) + (v >= bounds[2]) + (v >= bounds[3])
-        at_s = s * n + lanes
-        a = bounds.take(at_s)
-        new_low, new_size = _narrow(low, size, a, bounds.take(at_s + n) - a, SYMBOLS)
-        new_low, new_size, new_code = settle(new_low, new_size, code.copy(), lanes, live)
-        x = np.where(s == 0, m.guess[1], np.where(s == 1, m.guess[0], m.often))
-        esc = np.flatnonzero((s == 3) & live)
-        if len(esc):
-            el, es, ec = new_low[esc], new_size[esc], new_code[esc]
-            v = np.minimum((ec - el) // (es >> U(ESCAPES)), U((1 << ESCAPES) - 1))
-            y = np.searchsorted(cum, v, "right") - 1
+    code = (words[:, 0] << U(31)) | (words[:, 1] >> U(1))
+    # a state holds 63 bits, so what follows begins within a word
+    words[:, :-1] = ((words[:, :-1] & U(1)) << U(31)) | (words[:, 1:] >> U(1))
+    flat = words.reshape(-1)
+    at = np.arange(n) * words.shape[1] + 1
+    grid = np.zeros((BLOCK, n), U32)
+    size = np.full(n, LOW31 << U(32), U)
+    m = Models(n)
+    for begin, end, lanes in _runs(count):
+        if lanes < n:
+            m.drop()
+        co, sz, to = code[:lanes], size[:lanes], at[:lanes]
+        for t in range(begin, end):
+            two, one = m.predict()
+            sz >>= U(SYMBOLS)
+            past1, past2 = co >= sz * two, co >= sz * one
+            s = past1.view(np.uint8) + past2.view(np.uint8)
+            x = np.where(past1, m.got1, m.got2)
+            x >>= U32(2)
+            esc = past2.nonzero()[0]
+            a, e = two * past1, np.where(past1, one, two)
+            a[esc] = one[esc]
+            e[esc] = 1 << SYMBOLS
+            co -= sz * a
+            sz *= e - a
+            r = sz[esc] >> bits
+            c = co[esc]
+            v = c // r
+            y = find.take(v.view(np.int64), mode="clip") if find is not None else np.searchsorted(cum, v, "right") - 1
             x[esc] = y
-            el, es = _narrow(el, es, cum[y], f[y], ESCAPES)
-            new_low[esc], new_size[esc], new_code[esc] = settle(el, es, ec, esc, np.ones(len(esc), bool))
-        if live is every:
-            low, size, code = new_low, new_size, new_code
-        else:
-            low, size, code = np.where(live, new_low, low), np.where(live, new_size, size), np.where(live, new_code, code)
-            x = np.where(live, x, 0).astype(np.uint32)
-            s = np.where(live, s, m.symbols(x))
-        grid[t] = x
-        m.learn(x.astype(np.uint32, copy=False), s)
-    return [grid[: sizes[i], i].copy() for i in range(n)]
+            co[esc] = c - r * cum[y]
+            sz[esc] = r * f[y]
+            go = (sz <= LOW31).nonzero()[0]
+            k = to[go]
+            co[go] = (co[go] << U(32)) | flat[k]
+            to[go] = k + 1
+            sz[go] <<= U(32)
+            grid[t, :lanes] = x
+            m.learn(x, s)
+    return np.ascontiguousarray(grid.T).reshape(-1)[:count]

@@ -50,6 +50,19 @@ def unpack(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [int(d) if k else None for k, d in zip(known, docs, strict=True)], lengths.astype(np.int64), ids
 
 
+def joined(batches, most: int = 12 << 20):
+    """Ids and texts of some batches at a time, until they have ``most`` bytes: words are looked up once for each."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield tuple(pa.concat_arrays([b.column(k) for b in held]) for k in range(2))
+            held, size = [], 0
+    if held:
+        yield tuple(pa.concat_arrays([b.column(k) for b in held]) for k in range(2))
+
+
 def write_coded(df: DataFrame, tokenizer: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", file_ids: int = 4 << 20, folder: str | None = None) -> DataFrame:
     """The manifest (part, seq, path, n_docs, n_ids) of the files that count. Documents are in ascending
     order of id, nulls first; rows that share an id are ordered by text, null texts (empty) first. Ids must
@@ -61,27 +74,29 @@ def write_coded(df: DataFrame, tokenizer: str, end_id: int = 2, doc_id: str = "d
         part, seq, coder = TaskContext.get().partitionId(), 0, Coder.of(tokenizer, "library")
         fs, at = open_fs(folder)
         docs, lengths, held, size = [], [], [], 0
-        end = np.array([end_id], "<u4").tobytes()
 
         def flush():
             name = f"part-{part:08d}-{seq:06d}-{uuid.uuid4().hex}.tok"
             fs.create_dir(at, recursive=True)
             with fs.open_output_stream(f"{at}/{name}", compression=None) as out:
-                out.write(pack(docs, np.array(lengths), np.frombuffer(b"".join(held), "<u4")))
+                out.write(pack(docs, np.concatenate(lengths), np.concatenate(held)))
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "path": [f"{folder}/{name}"], "n_docs": [len(docs)], "n_ids": [size]}, schema=schema)
 
         schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
-        for batch in batches:
-            keys, texts = (c.to_pylist() for c in batch.columns)
-            for i in range(0, len(keys), 128):
-                for k, ids in zip(keys[i : i + 128], coder.whole(texts[i : i + 128]), strict=True):
-                    docs.append(k)
-                    held += (ids, end)
-                    lengths.append(len(ids) // 4 + 1)
-                    size += lengths[-1]
-                    if size >= file_ids:
-                        yield flush()
-                        seq, docs, lengths, held, size = seq + 1, [], [], [], 0
+        for doc_ids, texts in joined(batches):
+            keys = doc_ids.to_pylist()
+            ids, n = coder.in_one(texts, end_id)
+            ends, done, used = np.cumsum(n), 0, 0
+            while done < len(keys):  # up to the document that fills the file
+                stop = min(len(keys), int(np.searchsorted(ends, used + file_ids - size)) + 1)
+                to = int(ends[stop - 1])
+                docs += keys[done:stop]
+                lengths.append(n[done:stop])
+                held.append(ids[used:to])
+                size, done, used = size + to - used, stop, to
+                if size >= file_ids:
+                    yield flush()
+                    seq, docs, lengths, held, size = seq + 1, [], [], [], 0
         if docs:
             yield flush()
         coder.forget()

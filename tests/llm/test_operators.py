@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,6 +308,42 @@ def test_range_coder_round_trips_and_checks():
             rangecoder.decode(data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :])
 
 
+def test_words_go_to_the_library_once(library, monkeypatch):
+    coder, asked = bpe.Coder(PATH, "library"), []
+    plain = bpe.Coder.in_runs
+    monkeypatch.setattr(coder, "in_runs", lambda pieces: asked.extend(pieces) or plain(coder, pieces))
+    texts = ["a word, word. word!\nword", None, "", " word", "a\n\nword \n", "a\u3000 word\x1c ?!", "it's. 's, <|endoftext|> x", "é. 1.5, x" + "y" * 90 + "."]
+    for part in (texts[:1], texts[:1], texts, texts[::-1]):
+        if len(part) > 1:  # texts with white space after white space go by pieces
+            monkeypatch.undo()
+        ids, n = coder.in_one(pa.array(part, pa.string()), end_id=2)
+        assert ids.tolist() == [i for t in part for i in (*ids_of(library, t), 2)]
+        assert n.tolist() == [len(ids_of(library, t)) + 1 for t in part]
+        coder.forget()  # as at the end of a task
+    assert asked.count(" word") == 1 and not {" word,", " word.", " word!"} & {*asked}
+    assert [len(x) for x in coder.in_one(pa.array([], pa.string()), end_id=2)] == [0, 0]
+
+
+def seconds(work):
+    """CPU seconds of the better of two calls, and what the last gave."""
+    took = []
+    for _ in range(2):
+        start = time.process_time()
+        got = work()
+        took.append(time.process_time() - start)
+    return min(took), got
+
+
+def test_range_coder_keeps_up_with_the_library(library):
+    rng = np.random.default_rng(2)
+    words = ["".join(w) for w in rng.choice(list("etaoinshrdlu"), (150_000, 8))]
+    texts = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+    encoded, got = seconds(lambda: library.encode_batch_fast(texts, add_special_tokens=False))
+    ids = np.array([i for e in got for i in e.ids], np.uint32)
+    coded, got = seconds(lambda: rangecoder.decode(rangecoder.encode(np.tile(ids, 2))))
+    assert (got[: len(ids)] == ids).all() and coded / 2 < 1.5 * encoded
+
+
 def test_token_files(spark, docs, rows, empty, library):
     manifest = tokenfiles.write_coded(docs, PATH, file_ids=5000)
     assert manifest.count() >= 2
