@@ -10,7 +10,7 @@ VIEWS["partners"] = """
         SELECT code, year, 7 AS side, c_custkey AS id, CAST(round(sum(amt), 2) AS DECIMAL(20,2)) AS amount FROM fact GROUP BY code, year, c_custkey
         UNION ALL SELECT code, year, 9, l_partkey, CAST(round(sum(cst), 2) AS DECIMAL(20,2)) FROM fact GROUP BY code, year, l_partkey) p) q"""
 _NIL = "CAST(0 AS DECIMAL(20,2))"
-_PCT = "concat(CAST(CAST(round({0} * 100 / {1}, 2) AS DECIMAL(10,2)) AS STRING), '%')"
+_PCT = "concat(CAST(CAST(@places2({0} * 100 / {1}) AS DECIMAL(10,2)) AS STRING), '%')"
 VIEWS["field_rows"] = f"""
     SELECT code, year, table_id, CAST(row_number() OVER (PARTITION BY code, year, table_id ORDER BY part, amount DESC, name) - 1 AS INT) AS r, c0, c1, c2, c3, c4, c5, c6 FROM (
       SELECT code, year, 4 AS table_id, 0 AS part, {_NIL} AS amount, '' AS name, '行业分类' AS c0, '项目' AS c1, '金额' AS c2, CASE WHEN k = 1 THEN '占比' ELSE '占营业成本比重' END AS c3, '金额' AS c4, '占比' AS c5, '同比增减' AS c6 FROM reports
