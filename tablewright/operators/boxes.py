@@ -31,15 +31,20 @@ def cell_boxes(tables: DataFrame) -> DataFrame:
     return cells.select(*TABLE, "page", "r", "c", F.col("x.v").alias("v"), *(F.col(f"x.box.{k}").alias(k) for k in RECT))
 
 
-def attach(items: DataFrame, cells: DataFrame) -> DataFrame:
+def attach(items: DataFrame, cells: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
     """code, year, dim, idx, part, table_id, page, r, c and rectangle of each value of (code, year, dim, idx, name, amount, ratio)
     that stands in a cell with one.
 
     Looked for in the table of the report in which most rows hold some item's name (equal without space and punctuation): the
     first row with the name, and in that row the first number within 1, or a millionth, of the amount, and the first percent figure within
     0.01 of the ratio. Where a name is missing, nothing of its item is attached; null values have no part.
+
+    ``boxes`` (TABLE, page, r, c and rectangle) are the cells' rectangles where ``cells`` lacks them: values are looked for without
+    them, and only what was found is joined to its rectangle. All is dealt by report once and joined without a further shuffle.
     """
-    want = items.select("code", "year", "dim", "idx", "amount", "ratio", T.normal_name(F.col("name")).alias("key")).where("key <> ''")
+    boxes = (cells if boxes is None else boxes).select(*TABLE, "page", "r", "c", *RECT).where("x0 is not null").repartition(*PAGE[:2])
+    cells = cells.select(*TABLE, "r", "c", "v").repartition(*PAGE[:2])
+    want = items.select("code", "year", "dim", "idx", "amount", "ratio", T.normal_name(F.col("name")).alias("key")).where("key <> ''").repartition(*PAGE[:2])
     named = cells.select(*TABLE, "r", "c", T.normal_name(F.col("v")).alias("key")).where("key <> ''")
     held = named.join(want.select("code", "year", "key").distinct(), ["code", "year", "key"])
     hits = held.groupBy(*TABLE).agg(F.count_distinct("r").alias("n"))
@@ -47,17 +52,17 @@ def attach(items: DataFrame, cells: DataFrame) -> DataFrame:
     first = held.join(best, ["code", "year"]).where("table_id = _best").groupBy(*TABLE, "key").agg(F.min(F.struct("r", "c")).alias("at"))
     rows = want.join(first.select(*TABLE, "key", F.col("at.r").alias("r"), F.col("at.c").alias("name_c")), ["code", "year", "key"])
     v = F.col("v")
-    near = rows.join(cells, [*TABLE, "r"])
-    money, share = T.parse_money(v), F.when(v.contains("%"), T.parse_ratio(v))
+    near = rows.join(cells, [*TABLE, "r"]).withColumns({"_money": T.parse_money(v), "_share": F.when(v.contains("%"), T.parse_ratio(v))})
+    money, share = F.col("_money"), F.col("_share")
     tests = {
         "name": F.col("c") == F.col("name_c"),
         "amount": F.abs(money - F.col("amount")) <= F.greatest(F.lit(1.0), F.abs("amount") * 1e-6),
         "ratio": F.abs(share - F.col("ratio")) <= 0.01,
     }
-    box = F.struct("c", "page", *RECT)
-    found = near.groupBy("code", "year", "dim", "idx", "table_id", "r").agg(*(F.min_by(box, F.when(t, F.col("c"))).alias(part) for part, t in tests.items()))
-    parts = F.explode(F.array(*(F.struct(F.lit(part).alias("part"), F.col(part).alias("at")) for part in tests))).alias("p")
-    return found.select("code", "year", "dim", "idx", "table_id", "r", parts).where("p.at.x0 is not null").select("code", "year", "dim", "idx", "p.part", "table_id", "p.at.page", "r", "p.at.c", *(F.col(f"p.at.{k}").alias(k) for k in RECT))
+    found = near.groupBy("code", "year", "dim", "idx", "table_id", "r").agg(*(F.min(F.when(t, F.col("c"))).alias(part) for part, t in tests.items()))
+    parts = F.inline(F.array(*(F.struct(F.lit(part).alias("part"), F.col(part).alias("c")) for part in tests)))
+    at = found.select("code", "year", "dim", "idx", "table_id", "r", parts).where("c is not null")
+    return at.join(boxes, [*TABLE, "r", "c"]).select("code", "year", "dim", "idx", "part", "table_id", "page", "r", "c", *RECT)
 
 
 def _squares(a: str, b: str, wide: float) -> Column:
@@ -82,9 +87,12 @@ def votes(values: DataFrame, cells: DataFrame, tables: DataFrame) -> DataFrame:
 
     ``values`` (code, year, value, page, RECT) may lack rectangles, and ``tables`` (TABLE, page, RECT) outlines; tables on
     pages without values have no row. As each value gives a table of its page 1 anyway, only what comes on top is
-    searched for: no page's values are paired with all its tables.
+    searched for: no page's values are paired with all its tables. Everything is dealt by report first: a rectangle's rows, one for
+    each square, are made after that and never travel, and those of pages without values aren't made.
     """
+    values, cells, tables = (df.repartition(*PAGE[:2]) for df in (values, cells, tables))
     placed = values.where("x0 is not null").select(*PAGE, "value", *RECT)
+    cells = cells.join(placed.select(*PAGE).distinct(), PAGE, "left_semi")
     cell = meeting(placed, cells.where("x0 is not null").select(*PAGE, "table_id", *RECT)).select(*PAGE, F.col("_table_id").alias("table_id"), "value", F.lit(2).alias("more"))
     outline = meeting(placed, tables.where("x0 is not null").select(*PAGE, "table_id", *RECT)).select(*PAGE, F.col("_table_id").alias("table_id"), "value", F.lit(1).alias("more"))
     more = cell.unionByName(outline).groupBy(*PAGE, "table_id", "value").agg(F.max("more").alias("more")).groupBy(*PAGE, "table_id").agg(F.sum("more").alias("more"))

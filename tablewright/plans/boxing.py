@@ -9,6 +9,7 @@ from tablewright.operators import boxes as B
 from tablewright.operators.grid import TABLE
 from tablewright.plans.base import VIEWS, query
 from tablewright.plans.fieldtables import _IS
+from tablewright.session import kept
 
 VIEWS["cell_rects"] = """
     SELECT code, year, table_id, CAST(10 + (table_id - table_id % 3) / 3 AS INT) AS page, r, c, CAST(40 + c * 110 + table_id AS DOUBLE) AS x0, CAST(60 + 200 * (table_id % 3) + 14 * r AS DOUBLE) AS y0,
@@ -47,14 +48,10 @@ ATTACHED = f"""{_BOXED}, im AS (SELECT code, year, dim, CAST(row_number() OVER (
  atd AS (SELECT code, year, dim, idx, part, table_id, page, r, c, x0, y0, x1, y1 FROM pv WHERE x0 IS NOT NULL)"""
 
 
-def _boxed(load):
-    return load("all_cells").join(load("sheets"), list(TABLE)).join(load("cell_rects").drop("page"), [*TABLE, "r", "c"], "left")
-
-
 def _attached(load):
     idx = F.row_number().over(Window.partitionBy("code", "year", "dim").orderBy(F.desc("amount"), "name")) - 1
     items = load("shared").select("code", "year", "dim", idx.alias("idx"), F.concat(F.lit("类"), "name").alias("name"), F.col("amount").cast("double").alias("amount"), "ratio")
-    return B.attach(items, _boxed(load))
+    return B.attach(items, load("all_cells"), load("cell_rects"))
 
 
 @query("q_provenance_boxes", f"WITH {ATTACHED} SELECT * FROM atd")
@@ -73,7 +70,8 @@ _SHIFTED = "SELECT code, year, dim || '/' || idx || '/' || part AS value, page,
 SELECT code, year, arg_max(table_id, (votes, -table_id)) AS table_id, CAST(max(votes) AS BIGINT) AS votes FROM (SELECT code, year, table_id, sum(v) AS votes FROM pp GROUP BY ALL) q GROUP BY ALL""")
 def prov_vote_boxes(load):
     """The table that the values' rectangles point to; here values stand up to 60 points beside and 20 below their cells."""
-    at = _attached(load)
+    # read twice: by the count of a page's values and by the search; written once, else each would attach them anew
+    at = kept(_attached(load), "attached")
     dx, dy = 30 * (F.col("idx") % 3), 20 * (F.col("idx") % 2)
     values = at.select("code", "year", F.concat_ws("/", "dim", "idx", "part").alias("value"), "page", *((F.col(k) + (dx if k[0] == "x" else dy)).alias(k) for k in B.RECT))
     rects = load("cell_rects")

@@ -51,3 +51,18 @@ def test_stored_views_are_not_broadcast_by_the_size_of_their_files(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p
+
+
+@needs_tables
+def test_squares_and_empty_pages_do_not_travel(spark):
+    """Rectangles are dealt by report; rows for each of their squares are made after that."""
+    load = lambda n: base.view(spark, SF, n)
+    values = load("cell_rects").where("table_id = 1 and r < 2").select("code", "year", "r", "page", *B.RECT).withColumnRenamed("r", "value")
+    p = plan(B.votes(values, load("cell_rects"), load("sheets").selectExpr("*", "0D as x0", "0D as y0", "1D as x1", "1D as y1")))
+    assert "bx" in p and not re.search(r"hashpartitioning\([^)]*\bb[xy]#", p)
+
+
+@needs_tables
+def test_attached_values_read_cells_in_one_shuffle(spark):
+    p = plan(boxing._attached(lambda n: base.view(spark, SF, n)))
+    assert not re.search(r"hashpartitioning\([^)]*\b(table_id|key|r)#", p)
