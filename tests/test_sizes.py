@@ -66,3 +66,11 @@ def test_squares_and_empty_pages_do_not_travel(spark):
 def test_attached_values_read_cells_in_one_shuffle(spark):
     p = plan(boxing._attached(lambda n: base.view(spark, SF, n)))
     assert not re.search(r"hashpartitioning\([^)]*\b(table_id|key|r)#", p)
+
+
+@needs_tables
+def test_shuffles_of_a_scan_go_with_its_write(spark):
+    base.view(spark, SF, "field_cells"), base.view(spark, SF, "table_meta"), base.view(spark, SF, "cells")
+    before = shuffles(spark)
+    assert QUERIES["q_scan_tables"](spark, SF).count() > 0
+    assert shuffles(spark) <= before + 1  # the count's own
