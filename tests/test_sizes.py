@@ -74,3 +74,9 @@ def test_shuffles_of_a_scan_go_with_its_write(spark):
     before = shuffles(spark)
     assert QUERIES["q_scan_tables"](spark, SF).count() > 0
     assert shuffles(spark) <= before + 1  # the count's own
+
+
+@needs_tables
+def test_parsers_of_all_fields_are_several_jobs(spark):
+    """What is judged comes from files: the plans of seven parsers aren't one."""
+    assert "Exchange" not in plan(parsing._candidates(lambda n: base.view(spark, SF, n)))
